@@ -1,0 +1,39 @@
+"""Look-ups that stay balanced when a few keys hold most of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: How many of the most frequent keys are spread; the broadcast table has no more rows.
+HOT_KEYS = 64
+#: Over how many parts each of them is spread.
+PARTS = 32
+
+
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
+                hot_keys: int = HOT_KEYS, parts: int = PARTS) -> DataFrame:
+    """Join facts with a table, spreading the most frequent fact keys over several tasks.
+
+    The most frequent keys are found by one pre-aggregated count. Their facts get a part
+    number from a hash of the row, and only their look-up rows are repeated once per part,
+    so every pair still meets exactly once. All other keys take the plain join. Callers
+    de-duplicate the facts first: equal rows share a part.
+
+    ``how`` is one of inner, left, left_semi, left_anti.
+    """
+    on = list(on)
+    hot = (
+        facts.dropna(subset=on).groupBy(*on).count()
+        .orderBy(F.desc("count"), *on).limit(hot_keys)
+        .select(*on, F.lit(True).alias("_hot"))
+    )
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*facts.columns), F.lit(parts))).otherwise(F.lit(0))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    spread = facts.join(F.broadcast(hot), on, "left").withColumn("_part", part.cast("int")).drop("_hot")
+    repeated = (
+        lookup.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(copies)).drop("_hot")
+    )
+    return spread.join(repeated, [*on, "_part"], how).drop("_part")
