@@ -211,7 +211,7 @@ def scan_spark_conf(spark, folder):
 
 
 @CATALOG.add("""
-    WITH starts AS (SELECT event_type, epoch_ms(min(ts)) AS started_ms FROM events GROUP BY event_type)
+    WITH starts AS (SELECT event_type, epoch_us(min(ts)) // 1000 AS started_ms FROM events GROUP BY event_type)
     SELECT 'app-' || event_type AS app_id, event_type AS app_name, started_ms,
            event_id AS job_id, 'collect at Step' || (event_id % 3) || '.scala:' || user_id AS job_name
     FROM events JOIN starts USING (event_type)

@@ -39,7 +39,7 @@ def paths_check(subjects: DataFrame, texts: DataFrame, allowed: Sequence[str] |
     """
     paths = detected_paths(texts, keys, default_fs)
     if isinstance(allowed, DataFrame):
-        outside = unlisted(paths, allowed, "path", "pattern", keys, lambda value, entry: value.rlike(entry))
+        outside = unlisted(paths, allowed, "path", "pattern", keys, F.rlike)
     else:
         outside = unmatched(paths, "path", allowed)
     warnings = outside.select(*keys, "path", F.concat(F.lit("Unexpected path "), F.col("path")).alias("warning"))

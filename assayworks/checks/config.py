@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from assayworks.checks.outcome import Outcome
 from assayworks.operators.rules import Rule, rule_violations
@@ -20,3 +21,14 @@ def config_check(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],
     """
     violations = rule_violations(systems, entries, rules, keys)
     return Outcome(lowest_score(systems, violations, keys), violations)
+
+
+def config_checks(systems: DataFrame, entries: DataFrame, rulesets: Mapping[str, Sequence[Rule]],
+                  keys: Sequence[str] = ("system",)) -> Outcome:
+    """Several rule sets over the same entries in one pass; results and warnings gain the
+    column ``ruleset``."""
+    rules = [rule for ruleset in rulesets.values() for rule in ruleset]
+    names = [name for name, ruleset in rulesets.items() for _ in ruleset]
+    violations = rule_violations(systems, entries, rules, keys, labels=names).withColumnRenamed("label", "ruleset")
+    each = systems.select(*keys, F.explode(F.array(*[F.lit(name) for name in rulesets])).alias("ruleset"))
+    return Outcome(lowest_score(each, violations, [*keys, "ruleset"]), violations)

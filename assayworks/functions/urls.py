@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,48 +22,49 @@ REFUSED_IN_HOST = (
     "\ufe55\ufe56\ufe5f\ufe6b\uff03\uff0f\uff1a\uff1f\uff20"
 )
 
-_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
+_NO_SCHEME = rf"(?!{_SCHEME})"
+
+
+def _any_of(schemes: list[str]) -> str:
+    """Pattern for one of the schemes with its colon; '' stands for no scheme at all."""
+    named = "|".join(scheme.replace("+", r"\+") for scheme in schemes if scheme)
+    return rf"(?:(?:{named}):{'|' + _NO_SCHEME if '' in schemes else ''})"
+
+
+# What rebuilding changes, in order, on a location whose scheme is lower case already.
+_REBUILDING = [
+    # An empty fragment, then an empty query, go away.
+    (r"\A([^#]*)#\z", "$1"),
+    (r"\A([^?#]*)\?(#.*)?\z", "$1$2"),
+    # So does an empty parameter part of the last path segment.
+    (rf"\A({_any_of(SCHEMES_WITH_PARAMETERS)}(?://[^/?#]*+)?+(?:[^?#]*/)?[^/;?#]*);(?=[?#]|\z)", "$1"),
+    # `//` before an empty host goes away unless the scheme keeps it or the path needs it ...
+    (rf"\A((?!{_any_of(SCHEMES_WITH_HOST)})(?:{_SCHEME})?)//(?!//)(?=[/?#]|\z)", "$1"),
+    # ... and is added where the scheme wants it.
+    (rf"\A({_any_of(SCHEMES_WITH_HOST)})(?=/(?!/)|[?#]|\z)", "$1//"),
+]
+
+_HOST = rf"\A(?:{_SCHEME})?//"
+_UNREADABLE = (
+    rf"{_HOST}(?:[^/?#\[]*\][^/?#\[]*|[^/?#\]]*\[[^/?#\]]*)(?:[/?#]|\z)"
+    rf"|{_HOST}[^/?#]*[{REFUSED_IN_HOST}]"
+)
 
 
 def rebuild_url(location: Column, default_fs: str | None = None) -> Column:
-    """Parse a location and put it together again; NULL when it cannot be parsed.
+    """A location parsed and put together again; NULL when it cannot be parsed.
 
     The scheme becomes lower case and an empty query, fragment or parameter part goes away.
     A location without scheme stays as it is, unless ``default_fs`` (such as
     ``hdfs://localhost``) is given to qualify it.
     """
-    url = F.translate(F.regexp_replace(location, r"^[\x00-\x20]+", ""), "\t\r\n", "")
-    scheme = F.lower(F.regexp_extract(url, rf"^({_SCHEME}):", 1))
-    rest = F.regexp_extract(url, rf"(?s)^(?:{_SCHEME}:)?(.*)\z", 1)
-    host = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
-    path = F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1)
-    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(rest, r"(?s)^[^#]*#(.*)\z", 1)
-
-    path = F.when(
-        scheme.isin(SCHEMES_WITH_PARAMETERS), F.regexp_replace(path, r"(?s)^(|.*/)([^/;]*);\z", "$1$2")
-    ).otherwise(path)
-    body = (
-        F.when(host != "", F.concat(
-            F.lit("//"), host,
-            F.when((path != "") & ~path.startswith("/"), F.lit("/")).otherwise(F.lit("")), path))
-        .when(path.startswith("//"), F.concat(F.lit("//"), path))
-        .when(scheme.isin(SCHEMES_WITH_HOST) & ((path == "") | path.startswith("/")),
-              F.concat(F.lit("//"), path))
-        .otherwise(path)
-    )
-    parts = [
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        body,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
-    ]
-    whole = reduce(lambda left, right: F.concat(left, right), parts)
+    url = F.translate(F.regexp_replace(location, r"\A[\x00-\x20]+", ""), "\t\r\n", "")
+    rebuilt = F.concat(
+        F.lower(F.regexp_extract(url, rf"\A({_SCHEME})", 1)), F.regexp_replace(url, rf"\A{_SCHEME}", ""))
+    for pattern, replacement in _REBUILDING:
+        rebuilt = F.regexp_replace(rebuilt, f"(?s){pattern}", replacement)
     if default_fs is not None:
-        base = default_fs.rstrip("/")
-        whole = F.when(
-            (scheme == "") & (host == ""),
-            F.concat(F.lit(base), F.when(path.startswith("/"), F.lit("")).otherwise(F.lit("/")), whole),
-        ).otherwise(whole)
-    unreadable = (host.contains("[") != host.contains("]")) | host.rlike(f"[{REFUSED_IN_HOST}]")
-    return F.when(~unreadable, whole)
+        base = default_fs.rstrip("/").replace("\\", "\\\\").replace("$", "\\$")
+        rebuilt = F.regexp_replace(rebuilt, rf"\A{_NO_SCHEME}(?!//)/?", f"{base}/")
+    return F.when(~url.rlike(_UNREADABLE), rebuilt)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,28 +59,25 @@ def rules_from_table(table: DataFrame) -> list[Rule]:
 
 
 def rule_violations(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],
-                    keys: Sequence[str] = ("system",)) -> DataFrame:
+                    keys: Sequence[str] = ("system",), labels: Sequence[str] | None = None) -> DataFrame:
     """One row (keys, key, warning, score) per violated rule of each system.
 
     Instead of pairing every system with every rule, each system is aggregated once into
     two flags per rule (present, present with the bad value), which combine map-side.
+    ``labels`` names each rule in a column ``label``.
     """
+    if not rules:
+        raise ValueError("no rules given")
     passes = [
-        _violations_in_one_pass(systems, entries, rules[i:i + RULES_PER_PASS], keys)
+        _violations_in_one_pass(systems, entries, rules[i:i + RULES_PER_PASS], keys,
+                                labels and labels[i:i + RULES_PER_PASS])
         for i in range(0, len(rules), RULES_PER_PASS)
     ]
-    if not passes:
-        return systems.select(
-            *keys, F.lit("").alias("key"), F.lit("").alias("warning"), F.lit(1.0).alias("score")
-        ).where(F.lit(False))
-    whole = passes[0]
-    for further in passes[1:]:
-        whole = whole.unionByName(further)
-    return whole
+    return reduce(lambda a, b: a.unionByName(b), passes)
 
 
 def _violations_in_one_pass(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],
-                            keys: Sequence[str]) -> DataFrame:
+                            keys: Sequence[str], labels: Sequence[str] | None) -> DataFrame:
     relevant = entries.where(F.col("key").isin([rule.key for rule in rules])).select(*keys, "key", "value")
     listed = systems.select(
         *keys, F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
@@ -91,15 +89,14 @@ def _violations_in_one_pass(systems: DataFrame, entries: DataFrame, rules: Seque
             F.max(F.coalesce(here & (F.col("value") == rule.bad), F.lit(False))).alias(f"bad_{number}"),
         ]
     judged = listed.unionByName(relevant).groupBy(*keys).agg(*flags)
-    hits = [
-        F.when(
-            F.col(f"bad_{number}") | (~F.col(f"present_{number}") & F.lit(rule.default == rule.bad)),
-            F.struct(F.lit(rule.key).alias("key"), F.lit(rule.warning).alias("warning"),
-                     F.lit(rule.score).alias("score")),
-        )
-        for number, rule in enumerate(rules)
-    ]
-    return (
-        judged.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-        .select(*keys, "hit.*")
-    )
+
+    def hit(number: int, rule: Rule) -> Column:
+        fields = [F.lit(rule.key).alias("key"), F.lit(rule.warning).alias("warning"),
+                  F.lit(rule.score).alias("score")]
+        if labels:
+            fields.append(F.lit(labels[number]).alias("label"))
+        absent = ~F.col(f"present_{number}") & F.lit(rule.default == rule.bad)
+        return F.when(F.col(f"bad_{number}") | absent, F.struct(*fields))
+
+    hits = F.array_compact(F.array(*[hit(number, rule) for number, rule in enumerate(rules)]))
+    return judged.select(*keys, F.explode(hits).alias("hit")).select(*keys, "hit.*")
