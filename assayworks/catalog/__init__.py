@@ -41,6 +41,6 @@ CATALOG = Catalog()
 
 def load() -> Catalog:
     from assayworks.catalog import (  # noqa: F401  (each module registers its queries)
-        access, exposure, jobs, learning, reports, scans, settings, tables, texts)
+        access, assured, exposure, jobs, learning, reports, scans, settings, tables, texts)
 
     return CATALOG

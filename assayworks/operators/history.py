@@ -44,13 +44,15 @@ def last_results(results: DataFrame, keys: Sequence[str] = ("pipeline", "task_id
     return last_before(marked, keys, [(at, True), (run, True)], "_good", "last_run_id").drop("_good")
 
 
-def latest_success(results: DataFrame, keys: Sequence[str] = ("pipeline", "task_id")) -> DataFrame:
-    """The latest successful result per task: (keys, last_run_id, score)."""
-    good = results.where(F.col("state") == SUCCESS)
+def latest_success(results: DataFrame, keys: Sequence[str] = ("pipeline", "task_id"),
+                   carried: Sequence[str] = ("score",)) -> DataFrame:
+    """The latest successful result per task: (keys, last_run_id) and each carried column as
+    ``last_<column>``."""
     return (
-        good.groupBy(*keys)
-        .agg(F.max(F.struct("started_at", "run_id", "score")).alias("latest"))
-        .select(*keys, F.col("latest.run_id").alias("last_run_id"), F.col("latest.score").alias("last_score"))
+        results.where(F.col("state") == SUCCESS).groupBy(*keys)
+        .agg(F.max(F.struct("started_at", "run_id", *carried)).alias("latest"))
+        .select(*keys, F.col("latest.run_id").alias("last_run_id"),
+                *[F.col(f"latest.{name}").alias(f"last_{name}") for name in carried])
     )
 
 
