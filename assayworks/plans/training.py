@@ -31,13 +31,13 @@ def passenger_schema() -> T.StructType:
 
 
 def classification(spark: SparkSession, train_path: str, model_path: str, results_path: str,
-                   test_path: str | None = None) -> Trained:
+                   test_path: str | None = None, **options) -> Trained:
     """Train on the passenger table and save model and metrics. A labelled test table is
-    scored as well."""
+    scored as well; options go to :func:`~assayworks.ml.train.train_classifier`."""
     test = read_csv(spark, test_path, passenger_schema()) if test_path else None
     trained = train_classifier(
         read_csv(spark, train_path, passenger_schema()), PASSENGER_LABEL, PASSENGER_KEY,
-        PASSENGER_NUMERIC, PASSENGER_CATEGORICAL, ["Cabin"], test=test)
+        PASSENGER_NUMERIC, PASSENGER_CATEGORICAL, ["Cabin"], test=test, **options)
     save_run(spark, trained.model, model_path, results_path)
     return trained
 
