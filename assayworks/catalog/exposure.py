@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assayworks.catalog import CATALOG, table
 from assayworks.checks import dependency_check, lint_check, scan_check
-from assayworks.operators.severity import known_cves, rated_cves, scan_document
+from assayworks.operators.severity import known_cves, rated_cves, scan_documents
 
 # Lint: an order is a file, each of its items a message.
 _TYPE = """CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'error'
@@ -137,10 +137,8 @@ _SCANS_SQL = f"""
     FROM scans
 """)
 def scan_report_json(spark, folder):
-    document = _scans(spark, folder).select("scan_id", scan_document(F.col("report")).alias("document"))
-    return document.select(
-        "scan_id", "document.readable",
-        F.when(F.col("document.readable"), F.size(F.map_keys("document.data"))).alias("n_hosts"))
+    return scan_documents(_scans(spark, folder)).select(
+        "scan_id", "readable", F.when(F.col("readable"), F.size(F.map_keys("data"))).alias("n_hosts"))
 
 
 @CATALOG.add(f"""

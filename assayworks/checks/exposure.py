@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayworks.checks.outcome import Outcome
 from assayworks.operators.severity import (
-    dependency_scores, scan_document, scan_hosts, scan_scores)
+    dependency_scores, scan_documents, scan_hosts, scan_scores)
 
 
 def dependency_check(projects: DataFrame, findings: DataFrame, advisories: DataFrame,
@@ -21,5 +21,5 @@ def dependency_check(projects: DataFrame, findings: DataFrame, advisories: DataF
 
 def scan_check(scans: DataFrame, keys: Sequence[str] = ("scan_id",)) -> Outcome:
     """Score per scan (keys, returncode, report) by the worst severity on any host."""
-    parsed = scans.select(*keys, "returncode", scan_document(F.col("report")).alias("document"))
+    parsed = scan_documents(scans.select(*keys, "returncode", "report"))
     return Outcome(scan_scores(parsed, keys), scan_hosts(parsed, keys))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayworks.operators.ranges import cut_points, sum_before
+from assayworks.session import settle
 
 
 def roc_evaluator(label: str) -> BinaryClassificationEvaluator:
@@ -29,10 +30,10 @@ def exact_auc(df: DataFrame, label: str, score: str, cuts: list[tuple] | None =
     before anything is ordered, and the order is cut into stretches.
     """
     positive = F.col(label).cast("int") == 1
-    by_score = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
-        F.col(score).alias("score")).agg(
-        F.sum(F.when(positive, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(positive, 0).otherwise(1)).alias("neg"))
+    by_score = settle(
+        df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score"))
+        .agg(F.sum(F.when(positive, 1).otherwise(0)).alias("pos"),
+             F.sum(F.when(positive, 0).otherwise(1)).alias("neg")), "scores")
     order = [("score", True)]
     cuts = cut_points(by_score, order) if cuts is None else cuts
     ranked = sum_before(by_score, order, "neg", "below", cuts)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayworks.operators.ranges import cut_points, sum_before
+from assayworks.session import settle
 
 
 def key_number(key: Column, salt: int) -> Column:
@@ -56,8 +57,8 @@ def frequency_index(df: DataFrame, column: str, output: str = "index",
     The same order as :func:`string_indexer`, whose labels live on the driver, for columns
     with too many distinct values for that.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = settle(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("n")), "counts")
     order = [("n", False), ("value", True)]
     cuts = cut_points(counts, order) if cuts is None else cuts
     ones = counts.withColumn("_one", F.lit(1).cast("long"))

@@ -21,6 +21,7 @@ from assayworks.ml.evaluate import roc_evaluator, silhouette_evaluator
 from assayworks.ml.prep import assembler, fold_of, string_indexer
 from assayworks.operators.frames import drop_incomplete, null_to_text
 from assayworks.schemas import RUN_SUMMARY
+from assayworks.session import settle
 from assayworks.sources.sinks import write_json
 
 # Folds, seeds and parameter grid of the two jobs.
@@ -81,6 +82,8 @@ def train_classifier(train: DataFrame, label: str, key: str, numeric: Sequence[s
                      **svc) -> Trained:
     """Linear SVM over numeric and indexed text columns, chosen by area under ROC.
 
+    The cleaned rows are written once; the many small jobs of the fits start from there.
+
     Nulls in ``optional`` columns become a category of their own; other rows with nulls drop
     out. ``test`` is scored when given.
     """
@@ -95,7 +98,7 @@ def train_classifier(train: DataFrame, label: str, key: str, numeric: Sequence[s
     stages += [assembler([*numeric, *[c + "Id" for c in categorical]]), estimator]
     grid = ParamGridBuilder().addGrid(estimator.regParam, list(reg_params)).build()
     evaluator = roc_evaluator(label)
-    rows = clean(train, [label]).persist()
+    rows = settle(clean(train, [label]), "training-rows").persist()
     try:
         model = cross_validate(rows, stages, grid, evaluator, key, folds, parallelism=parallelism)
         train_metric = evaluator.evaluate(model.transform(rows))
@@ -113,7 +116,7 @@ def train_kmeans(train: DataFrame, key: str, columns: Sequence[str] | None = Non
     estimator = KMeans(featuresCol="features", predictionCol="pred", k=k, seed=CLUSTERING_SEED, **kmeans)
     stages = ([assembler(columns)] if columns else []) + [estimator]
     evaluator = silhouette_evaluator("pred")
-    rows = train.persist()
+    rows = settle(train, "training-rows").persist()
     try:
         model = cross_validate(rows, stages, ParamGridBuilder().build(), evaluator, key, folds,
                                parallelism=parallelism)

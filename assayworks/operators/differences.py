@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -53,7 +54,11 @@ def unmatched(values: DataFrame, column: str, patterns: Sequence[str]) -> DataFr
     The allow-list becomes part of the filter, so nothing is joined or shuffled. An empty
     list lets every row through.
     """
-    return values.where(~reduce(lambda a, b: a | b, [F.col(column).rlike(p) for p in patterns], F.lit(False)))
+    # One alternation looks at a value once; numbered groups must keep their own pattern.
+    numbered = [p for p in patterns if re.search(r"\\[1-9k]", p)]
+    joined = "|".join(f"(?:{p})" for p in patterns if p not in numbered)
+    tests = [*([joined] if joined else []), *numbered]
+    return values.where(~reduce(lambda a, b: a | b, [F.col(column).rlike(t) for t in tests], F.lit(False)))
 
 
 def without_any(values: DataFrame, column: str, parts: Sequence[str]) -> DataFrame:

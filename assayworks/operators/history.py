@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayworks.operators.joins import lookup_join
 from assayworks.operators.ranges import last_before
+from assayworks.session import settle
 
 # Fixed value: the state of a run whose result may be used again.
 SUCCESS = "success"
@@ -30,8 +31,11 @@ def latest_app(apps: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def previous_runs(apps: DataFrame) -> DataFrame:
-    """(app_id, app_name, started_at, previous_app_id) for every run of every application."""
-    runs = apps.groupBy("app_id", "app_name").agg(F.min("started_at").alias("started_at"))
+    """(app_id, app_name, started_at, previous_app_id) for every run of every application.
+
+    The runs are written first: they are few beside the jobs, and are read more than once.
+    """
+    runs = settle(apps.groupBy("app_id", "app_name").agg(F.min("started_at").alias("started_at")), "runs")
     return last_before(runs, ["app_name"], [("started_at", True), ("app_id", True)],
                        "app_id", "previous_app_id")
 

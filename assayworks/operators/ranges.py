@@ -100,22 +100,27 @@ def sum_before(df: DataFrame, order: Order, value: str, output: str,
                cuts: list[tuple] | None = None) -> DataFrame:
     """Add the sum of ``value`` over all rows strictly before, over the whole table.
 
-    ``order`` must be unique. The single-task window only ever sees one row per stretch; a
-    table without cut points counts as a single stretch, and is small then.
+    ``order`` must be unique. With cut points the only single-task window sees one row per
+    stretch; without any the table is known to be small.
     """
     cuts = cut_points(df, order) if cuts is None else cuts
+    nothing = F.lit(0)
+    before = Window.orderBy(*_sorted(order)).rowsBetween(Window.unboundedPreceding, -1)
+    if not cuts:
+        return df.withColumn(output, F.coalesce(F.sum(value).over(before), nothing))
+
     staged = df.withColumn("_stretch", stretch_of(order, cuts))
     within = Window.partitionBy("_stretch").orderBy(*_sorted(order)).rowsBetween(
         Window.unboundedPreceding, -1)
     carried = (
         staged.groupBy("_stretch").agg(F.sum(value).alias("_sum"))
         .withColumn("_carried", F.sum("_sum").over(
-            Window.partitionBy(F.lit(0)).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("_stretch", F.coalesce("_carried", F.lit(0)).alias("_carried"))
+            Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
+        .select("_stretch", F.coalesce("_carried", nothing).alias("_carried"))
     )
     # At most MAX_STRETCHES rows, hence the broadcast.
     return (
-        staged.withColumn("_near", F.coalesce(F.sum(value).over(within), F.lit(0)))
+        staged.withColumn("_near", F.coalesce(F.sum(value).over(within), nothing))
         .join(F.broadcast(carried), "_stretch")
         .withColumn(output, F.col("_near") + F.col("_carried"))
         .drop("_near", "_carried", "_stretch")

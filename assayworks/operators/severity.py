@@ -81,24 +81,28 @@ def dependency_scores(projects: DataFrame, findings: DataFrame, advisories: Data
     )
 
 
-def scan_document(output: Column) -> Column:
-    """Parse the text a scanner prints into ``struct<data, readable>``.
+def scan_documents(scans: DataFrame, report: str = "report") -> DataFrame:
+    """Parse the text each scanner printed into ``data`` (host -> vulnerabilities) and
+    ``readable``.
 
     The last line is a document, and the lines between the first and the last are a second
     one laid over it; the first line is dropped. ``readable`` is false when either of the two
     is no JSON.
     """
-    text = strip(output)
     options = {"columnNameOfCorruptRecord": "_corrupt_record"}
-    last = F.from_json(F.substring_index(text, "\n", -1), SCAN_REPORT, options)
-    body = F.from_json(F.regexp_extract(text, r"(?s)^[^\n]*\n(.*)\n[^\n]*\z", 1), SCAN_REPORT, options)
 
-    def parsed(document: Column) -> Column:
-        return document.isNotNull() & document["_corrupt_record"].isNull()
+    def parsed(document: str) -> Column:
+        return F.col(document).isNotNull() & F.col(f"{document}._corrupt_record").isNull()
 
-    return F.struct(
-        F.coalesce(body["data"], last["data"]).alias("data"),
-        (parsed(last) & parsed(body)).alias("readable"))
+    return (
+        scans.withColumn("_text", strip(F.col(report)))
+        .withColumn("_last", F.from_json(F.substring_index("_text", "\n", -1), SCAN_REPORT, options))
+        .withColumn("_body", F.from_json(
+            F.regexp_extract("_text", r"(?s)^[^\n]*\n(.*)\n[^\n]*\z", 1), SCAN_REPORT, options))
+        .withColumn("data", F.coalesce("_body.data", "_last.data"))
+        .withColumn("readable", parsed("_last") & parsed("_body"))
+        .drop(report, "_text", "_last", "_body")
+    )
 
 
 def _hosts(data: Column) -> Column:
@@ -115,28 +119,31 @@ def _hosts(data: Column) -> Column:
 def scan_scores(scans: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
     """1 - worst severity / 10 per scan, 0.0 for a scan that failed.
 
-    ``scans`` has keys, returncode and ``document`` as :func:`scan_document` gives it. Each
-    report is scored where it lies: nothing is exploded or shuffled. A successful scan whose
-    report cannot be read has a null score.
+    ``scans`` has keys and returncode, and what :func:`scan_documents` adds. Each report is
+    scored where it lies: nothing is exploded or shuffled. A successful scan whose report
+    cannot be read has a null score.
     """
     failed = F.col("returncode") != 0
-    worst = F.greatest(F.coalesce(F.array_max(_hosts(F.col("document.data"))), F.lit(0.0)), F.lit(0.0))
+    worst = F.greatest(F.coalesce(F.array_max(_hosts(F.col("data"))), F.lit(0.0)), F.lit(0.0))
     return scans.select(
         *keys,
-        F.when(failed, F.lit(1)).otherwise(F.coalesce(F.size(F.map_keys("document.data")), F.lit(0)))
+        F.when(failed, F.lit(1)).otherwise(F.coalesce(F.size(F.map_keys("data")), F.lit(0)))
         .cast("long").alias("n_warnings"),
-        F.when(failed, F.lit(0.0)).when(F.col("document.readable"), F.lit(1.0) - worst).alias("score"))
+        F.when(failed, F.lit(0.0)).when(F.col("readable"), F.lit(1.0) - worst).alias("score"))
 
 
 def scan_hosts(scans: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
     """One warning row per scanned host (even a clean one), or the return code of a failed scan."""
-    good = scans.where(F.col("returncode") == 0).select(*keys, F.explode("document.data").alias("host", "found"))
-    bad = scans.where(F.col("returncode") != 0).select(
-        *keys, F.lit(None).cast("string").alias("host"),
-        F.lit(None).cast("int").alias("n_vulnerabilities"),
+    code = F.struct(
+        F.lit(None).cast("string").alias("host"), F.lit(None).cast("int").alias("n_vulnerabilities"),
         F.concat(F.lit("returncode "), F.col("returncode").cast("string")).alias("warning"))
-    return good.select(
-        *keys, "host",
-        F.coalesce(F.size(F.map_keys("found.vulnerabilities")), F.lit(0)).alias("n_vulnerabilities"),
-        F.concat_ws(" ", "host", F.to_json("found")).alias("warning"),
-    ).unionByName(bad)
+
+    def host(entry: Column) -> Column:
+        found = entry["value"]
+        return F.struct(
+            entry["key"].alias("host"),
+            F.coalesce(F.size(F.map_keys(found["vulnerabilities"])), F.lit(0)).alias("n_vulnerabilities"),
+            F.concat_ws(" ", entry["key"], F.to_json(found)).alias("warning"))
+
+    rows = F.when(F.col("returncode") != 0, F.array(code)).otherwise(F.transform(F.map_entries("data"), host))
+    return scans.select(*keys, F.explode(rows).alias("row")).select(*keys, "row.*")

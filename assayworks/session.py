@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job of this library wants; a cluster may set its own.
 DEFAULTS = {
@@ -42,3 +42,15 @@ def workspace(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="assayworks-")
     return f"{base.rstrip('/')}/assayworks/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the workspace and read it back.
+
+    What follows starts from the files: a lost executor costs re-reading its part instead of
+    re-running everything before, and tasks carry no long history. The rows are rebalanced on
+    the way, so parts are neither tiny nor lopsided.
+    """
+    path = workspace(df.sparkSession, label)
+    df.hint("rebalance").write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
