@@ -87,7 +87,8 @@ def unexpected_jobs(jobs: DataFrame, expected: DataFrame) -> DataFrame:
     not list."""
     return (
         lookup_join(jobs.select("app_id", "app_name", "job").distinct(),
-                    expected.select("app_name", "job").distinct(), ["app_name", "job"], "left_anti")
+                    expected.select("app_name", "job").distinct(), ["app_name", "job"], "left_anti",
+                    counted=jobs)
         .select("app_id", "app_name", "job",
                 F.concat(F.lit("Unexpected job "), F.col("job")).alias("warning"))
     )
@@ -100,9 +101,10 @@ def new_jobs(jobs: DataFrame, previous: DataFrame) -> DataFrame:
     The final join is on (run, job), so a single busy application spreads over its jobs.
     """
     distinct = jobs.select("app_id", "job").distinct()
+    # One row per run on the right; a run with very many jobs is spread.
     known = previous.where(F.col("previous_app_id").isNotNull()).select(
         "app_id", "app_name", "previous_app_id")
-    now = lookup_join(distinct, known, ["app_id"])
+    now = lookup_join(distinct, known, ["app_id"], counted=jobs)
     before = distinct.select(F.col("app_id").alias("previous_app_id"), "job")
     return (
         now.join(before, ["previous_app_id", "job"], "left_anti")

@@ -66,10 +66,10 @@ def dependency_scores(projects: DataFrame, findings: DataFrame, advisories: Data
                    cve_scores)
         .groupBy("lib", "advisory_id").agg(F.max(F.col("score") / 10.0).alias("risk"))
     )
-    counted = findings.groupBy(*keys, "lib", "advisory_id").agg(F.count(F.lit(1)).alias("hits"))
-    rated = lookup_join(
-        counted.withColumn("advisory_id", F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id"))),
-        worst, ["lib", "advisory_id"], "left")
+    prefixed = findings.select(
+        *keys, "lib", F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id")).alias("advisory_id"))
+    repeated = prefixed.groupBy(*keys, "lib", "advisory_id").agg(F.count(F.lit(1)).alias("hits"))
+    rated = lookup_join(repeated, worst, ["lib", "advisory_id"], "left", counted=prefixed)
     listed = projects.select(*keys, F.lit(0).cast("long").alias("hits"), F.lit(None).cast("double").alias("risk"))
     return (
         listed.unionByName(rated.select(*keys, "hits", "risk")).groupBy(*keys)
