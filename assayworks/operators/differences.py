@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from assayworks.operators.joins import lookup_join
 
+#: About how many entries of one allow-list are compared as one piece.
+LIST_PIECE = 1_000
+
 
 def shown(value: Column) -> Column:
     """A value as it appears in a warning."""
@@ -67,18 +70,25 @@ def without_any(values: DataFrame, column: str, parts: Sequence[str]) -> DataFra
 
 
 def unlisted(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str],
-             match) -> DataFrame:
+             match: Callable[[Column, Column], Column]) -> DataFrame:
     """Like the two above with an allow-list per key, held in a table (keys, allowed).
 
-    Each key's list is gathered into one row first (as long as someone wrote it); keys with
-    very many values are spread. ``match(value, entry)`` decides a single comparison.
+    ``match(value, entry)`` decides a single comparison. Lists are cut into pieces of about
+    LIST_PIECE entries, so no list becomes one huge row: a value meets every piece of its
+    key's list and is unlisted when none of them has a match. ``values`` are distinct.
     """
-    lists = listing.select(*keys, allowed).distinct().groupBy(*keys).agg(
-        F.collect_set(allowed).alias("_allowed"))
+    entries = listing.select(*keys, allowed).distinct()
+    pieces = entries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / LIST_PIECE).alias("_pieces"))
+    lists = (
+        lookup_join(entries, pieces, keys, counted=listing)
+        .groupBy(*keys, F.pmod(F.xxhash64(allowed), F.col("_pieces")).alias("_piece"))
+        .agg(F.collect_set(allowed).alias("_allowed"))
+    )
+    matched = F.coalesce(F.exists("_allowed", lambda entry: match(F.col(column), entry)), F.lit(False))
     return (
-        lookup_join(values, lists, keys, "left")
-        .where(~F.coalesce(F.exists("_allowed", lambda entry: match(F.col(column), entry)), F.lit(False)))
-        .drop("_allowed")
+        lookup_join(values, lists, keys, "left").withColumn("_matched", matched)
+        .groupBy(*values.columns).agg(F.max("_matched").alias("_matched"))
+        .where(~F.col("_matched")).drop("_matched")
     )
 
 

@@ -45,17 +45,20 @@ SCHEDULER = [
 
 #: Rules per aggregation; a longer rule list runs as several of them.
 RULES_PER_PASS = 100
+#: A rule table has to be shorter than this.
+MOST_RULES = 10_000
 
 
 def rules_from_table(table: DataFrame) -> list[Rule]:
     """Rules kept as rows (key, default_value, bad_value, warning, score).
 
-    Rules are written by hand and become part of the plan, so they come to the driver.
+    Rules are written by hand and become part of the plan, so they come to the driver; a
+    table too long for that is refused.
     """
-    return [
-        Rule(row.key, row.default_value, row.bad_value, row.warning, row.score)
-        for row in table.select("key", "default_value", "bad_value", "warning", "score").toLocalIterator()
-    ]
+    rows = table.select("key", "default_value", "bad_value", "warning", "score").take(MOST_RULES + 1)
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules: this is no rule table")
+    return [Rule(*row) for row in rows]
 
 
 def rule_violations(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayworks.schemas import CHECK_RESULTS, CHECK_WARNINGS
@@ -19,14 +20,13 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 def publish(results: DataFrame, warnings: DataFrame, folder: str) -> None:
     """Append check results and their warnings, where later runs and reports find them.
 
-    Partitioned by the day a run started, so a busy pipeline does not make one huge
-    directory and history is pruned by date.
+    Results are partitioned by the day a run started, so a busy pipeline does not make one
+    huge directory and history is pruned by date. The rows of a day are rebalanced into few
+    files, and a very busy day into more of them.
     """
-    from pyspark.sql import functions as F
-
-    results.select(*CHECK_RESULTS.names, F.to_date("started_at").alias("day")).write.mode(
-        "append").partitionBy("day").parquet(f"{folder}/results")
-    warnings.select(*CHECK_WARNINGS.names).write.mode("append").parquet(f"{folder}/warnings")
+    by_day = results.select(*CHECK_RESULTS.names, F.to_date("started_at").alias("day"))
+    by_day.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(f"{folder}/results")
+    warnings.select(*CHECK_WARNINGS.names).hint("rebalance").write.mode("append").parquet(f"{folder}/warnings")
 
 
 def published_results(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,6 +52,9 @@ def test_many_rules_run_in_several_passes(spark):
 def test_rules_from_a_table(spark):
     table = spark.createDataFrame([("k", "d", "b", "w", 0.3)], "key string, default_value string, bad_value string, warning string, score double")
     assert R.rules_from_table(table) == [R.Rule("k", "d", "b", "w", 0.3)]
+    long = spark.range(R.MOST_RULES + 1).selectExpr("'k' key", "'d' default_value", "'b' bad_value", "'w' warning", "0.3D score")
+    with pytest.raises(ValueError):
+        R.rules_from_table(long)
 
 
 def test_acl_is_one_sided(spark, rows):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from assayworks.checks.code import detected_paths, paths_check, urls_check
 from assayworks.functions.text import job_stem, quoted_locations, strip, urls_in_code
 from assayworks.functions.urls import rebuild_url
+from assayworks.operators import differences
 
 # The patterns the checks are defined by.
 URI = r"""["\']\s*(\w+:(\/?\/?)[^\s]+)\s*["\']"""
@@ -125,6 +126,17 @@ def test_paths_check_with_a_list_per_task(spark, rows):
     assert rows(outcome.results) == [("a", 0, 1.0), ("b", 1, 0.0)]
 
 
+def test_long_lists_are_compared_in_pieces(spark, rows, monkeypatch):
+    monkeypatch.setattr(differences, "LIST_PIECE", 7)
+    texts = spark.range(60).selectExpr("CASE WHEN id < 40 THEN 'hot' ELSE 'b' END AS task",
+                                       """concat('"x/', id, '"') AS text""")
+    allowed = spark.range(0, 60, 2).selectExpr("explode(array('hot', 'b')) AS task", "concat('^x/', id, '$') AS pattern")
+    outcome = paths_check(texts.select("task"), texts, allowed)
+    assert rows(outcome.warnings, "task", "path") == sorted(
+        ("hot" if i < 40 else "b", f"x/{i}") for i in range(1, 60, 2))
+    assert rows(outcome.results) == [("b", 10, 0.0), ("hot", 20, 0.0)]
+
+
 def test_urls_check_keeps_duplicates(spark, rows):
     texts = tasks(spark, [("a", "http://x.org/1 http://x.org/1"), ("b", "http://ok.org"), ("c", "")])
     outcome = urls_check(texts.select("task"), texts, ["ok.org"])
