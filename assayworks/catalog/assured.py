@@ -15,7 +15,7 @@ _PLAN = [
     Task("urls", "urls", {"subjects": "runs", "texts": "texts"}, {"services": ["known.example"]}),
     Task("args", "args", {"tasks": "runs", "args": "args", "expected": "expected_args"}),
     Task("lint", "lint", {"files": "runs", "findings": "lint"}),
-    Task("write", "can_write", {"files": "outputs"}, {"user": "bertof", "group": "hadoop"}),
+    Task("write", "can_write", {"files": "outputs"}, {"user": "etl", "group": "hadoop"}),
     Task("encryption", "config", {"systems": "runs", "entries": "config"}, {"rules": STORAGE_ENCRYPTION}),
 ]
 _RUN = ["concat('n', c_nationkey) AS pipeline", "CAST(c_custkey AS STRING) AS run_id"]
@@ -26,7 +26,7 @@ _TEXT = """CASE c_custkey % 9 WHEN 0 THEN 'get("https://other.example/a")'
     ELSE 'get("https://known.example/b")' END"""
 _VALUE = "CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END"
 _PERM = "CASE c_custkey % 4 WHEN 0 THEN 755 WHEN 1 THEN 775 WHEN 2 THEN 666 ELSE 0 END"
-_OWNER = "CASE WHEN c_custkey % 5 = 0 THEN 'bertof' ELSE 'other' END"
+_OWNER = "CASE WHEN c_custkey % 5 = 0 THEN 'etl' ELSE 'other' END"
 _GROUP = "CASE WHEN c_custkey % 7 < 3 THEN 'hadoop' ELSE 'other' END"
 
 

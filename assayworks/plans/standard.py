@@ -13,8 +13,6 @@ from assayworks.plans.registry import Task
 # What the two plans allow and expect.
 ALLOWED_PATHS = [r"hdfs://localhost.+"]
 ALLOWED_SERVICES: list[str] = []
-RUN_AS_USER = "bertof"
-RUN_AS_GROUP = "hadoop"
 
 # Jobs of the two training applications. Names depend on the Spark release, so
 # newer releases need a list of their own.
@@ -60,8 +58,8 @@ def expected_args(runs: DataFrame, application: str) -> DataFrame:
         "pipeline", "run_id", "want.*")
 
 
-def assured_training_plan(reads_input: bool) -> list[Task]:
-    """The checks around one training job.
+def assured_training_plan(reads_input: bool, user: str, group: str = "hadoop") -> list[Task]:
+    """The checks around one training job that runs as ``user`` of ``group``.
 
     ``reads_input`` adds the read-permission check, which only the classification plan has.
     Evidence tables, all with pipeline and run_id: texts (text), task_args and expected_args
@@ -71,7 +69,7 @@ def assured_training_plan(reads_input: bool) -> list[Task]:
     (role, perms), scans (returncode, report), app_jobs (started_at, job_name), expected_jobs
     (app_name, job).
     """
-    who = {"user": RUN_AS_USER, "group": RUN_AS_GROUP}
+    who = {"user": user, "group": group}
     config = lambda table: {"systems": "runs", "entries": table}
     before = [
         Task("hdfs_paths_check", "paths", {"subjects": "runs", "texts": "texts"}, {"allowed": ALLOWED_PATHS}),

@@ -15,7 +15,7 @@ from assayworks.sources.sinks import published_results, published_warnings
 
 def test_tasks_are_validated_before_anything_runs():
     registry = standard_registry()
-    for task in assured_training_plan(True):
+    for task in assured_training_plan(True, "etl"):
         registry.validate(task)
     for wrong in (
         Task("t", "urls"),                                                      # required arguments missing
@@ -60,7 +60,7 @@ def evidence(spark):
         "dependencies": table([(*bad, "numpy", "1")], "lib string, advisory_id string"),
         "advisories": spark.createDataFrame([("numpy", "pyup.io-1", "CVE-1")], "lib string, advisory_id string, cve string"),
         "cve_scores": spark.createDataFrame([("CVE-1", 9.0)], "cve string, score double"),
-        "inputs": table([(*good, "/in", "bertof", "x", 400), (*bad, "/in", "root", "root", 640)], "path string, owner string, group string, perm int"),
+        "inputs": table([(*good, "/in", "etl", "x", 400), (*bad, "/in", "root", "root", 640)], "path string, owner string, group string, perm int"),
         "outputs": table([(*good, "/out", "x", "hadoop", 770), (*bad, "/out", "root", "root", 755)], "path string, owner string, group string, perm int"),
         "storage_config": table([(*good, *kv) for kv in storage], "key string, value string"),
         "engine_config": table([(*good, "spark.network.crypto.enabled", "true"), (*good, "spark.io.encryption.enable", "true")], "key string, value string"),
@@ -85,8 +85,8 @@ BAD_SCORES = {
 
 def test_the_standard_plan(spark, tmp_path):
     runs, tables = evidence(spark)
-    plan = assured_training_plan(reads_input=True)
-    assert len(plan) == 14 and len(assured_training_plan(reads_input=False)) == 13
+    plan = assured_training_plan(True, "etl")
+    assert len(plan) == 14 and len(assured_training_plan(False, "etl")) == 13
     found = {r.pipeline: r for r in assure(plan, runs, tables, str(tmp_path)).collect()}
     assert (found["good"].score, found["good"].prod_score, found["good"].n_incomplete) == (1.0, 1.0, 0)
     assert (found["bad"].score, found["bad"].prod_score) == (0.0, 0.0)
@@ -97,7 +97,7 @@ def test_the_standard_plan(spark, tmp_path):
 
 def test_kept_results_stand_for_new_ones(spark, tmp_path):
     runs, tables = evidence(spark)
-    plan = [t for t in assured_training_plan(False) if t.task_id in ("python_code_check_spark", "acl_config_check")]
+    plan = [t for t in assured_training_plan(False, "etl") if t.task_id in ("python_code_check_spark", "acl_config_check")]
     assure(plan, runs, tables, str(tmp_path))
     history = published_results(spark, str(tmp_path)).withColumn("score", F.lit(0.42))
     later = runs.withColumn("run_id", F.lit("r2")).withColumn("started_at", F.timestamp_seconds(F.lit(200))).unionByName(
