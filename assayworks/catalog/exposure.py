@@ -65,8 +65,9 @@ def _scores(spark, folder):
 
 @CATALOG.add(f"""
     WITH {_HITS_SQL}
-    SELECT project, h.lib, 'pyup.io-' || h.advisory_id AS advisory_id, cve
+    SELECT project, h.lib, 'pyup.io-' || h.advisory_id AS advisory_id, cve, count(*) AS times
     FROM hits h JOIN db ON db.lib = h.lib AND db.advisory_id = 'pyup.io-' || h.advisory_id WHERE cve IS NOT NULL
+    GROUP BY ALL
 """)
 def advisory_cve_join(spark, folder):
     return known_cves(_hits(spark, folder), _db(spark, folder))

@@ -157,7 +157,7 @@ def _urls(spark, folder):
     return urls_check(_tasks(spark, folder), _texts(spark, folder), _SERVICES, ["page_id"])
 
 
-@CATALOG.add(_URLS_SQL + f" SELECT page_id, url, 'Unexpected url ' || url AS warning FROM urls WHERE {_NO_SERVICE}")
+@CATALOG.add(_URLS_SQL + f" SELECT page_id, url, 'Unexpected url ' || url AS warning, count(*) AS times FROM urls WHERE {_NO_SERVICE} GROUP BY page_id, url")
 def unexpected_urls(spark, folder):
     return _urls(spark, folder).warnings
 
@@ -174,8 +174,9 @@ def unexpected_urls_score(spark, folder):
 
 @CATALOG.add(_URLS_SQL + """,
     allowed AS (SELECT page_id, 'example.' || CASE page_id % 3 WHEN 0 THEN 'com' WHEN 1 THEN 'net' ELSE 'org' END AS service FROM pages)
-    SELECT page_id, url, 'Unexpected url ' || url AS warning FROM urls
+    SELECT page_id, url, 'Unexpected url ' || url AS warning, count(*) AS times FROM urls
     WHERE NOT EXISTS (SELECT 1 FROM allowed a WHERE a.page_id = urls.page_id AND contains(urls.url, a.service))
+    GROUP BY page_id, url
 """)
 def unexpected_urls_listed(spark, folder):
     services = table(spark, folder, "pages").selectExpr(

@@ -50,18 +50,18 @@ def urls_check(subjects: DataFrame, texts: DataFrame, services: Sequence[str] |
                keys: Sequence[str] = ("task",)) -> Outcome:
     """0.1 for a subject that names a URL without any expected service in it.
 
-    Every occurrence counts. ``services`` is a list, or a table (keys, service).
+    Every occurrence counts; a URL repeated in a subject is one warning with its number of
+    ``times``. ``services`` is a list, or a table (keys, service).
     """
     urls = texts.select(*keys, F.explode(urls_in_code(F.col("text"))).alias("url"))
+    if not isinstance(services, DataFrame):
+        urls = without_any(urls, "url", services)
+    outside = urls.groupBy(*keys, "url").agg(F.count(F.lit(1)).alias("times"))
     if isinstance(services, DataFrame):
-        # Counted first, so that a URL repeated very often meets the list once.
-        counted = urls.groupBy(*keys, "url").agg(F.count(F.lit(1)).alias("n"))
-        outside = unlisted(counted, services, "url", "service", keys,
-                           lambda value, entry: value.contains(entry)).select(
-            *keys, "url", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_nth")).drop("_nth")
-    else:
-        outside = without_any(urls, "url", services)
-    warnings = outside.select(*keys, "url", F.concat(F.lit("Unexpected url "), F.col("url")).alias("warning"))
+        outside = unlisted(outside, services, "url", "service", keys,
+                           lambda value, entry: value.contains(entry), weight="times")
+    warnings = outside.select(
+        *keys, "url", F.concat(F.lit("Unexpected url "), F.col("url")).alias("warning"), "times")
     return Outcome(all_or_nothing(subjects, warnings, keys, floor=SERVICE_FLOOR), warnings)
 
 

@@ -70,12 +70,13 @@ def without_any(values: DataFrame, column: str, parts: Sequence[str]) -> DataFra
 
 
 def unlisted(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str],
-             match: Callable[[Column, Column], Column]) -> DataFrame:
+             match: Callable[[Column, Column], Column], weight: str | None = None) -> DataFrame:
     """Like the two above with an allow-list per key, held in a table (keys, allowed).
 
     ``match(value, entry)`` decides a single comparison. Lists are cut into pieces of about
     LIST_PIECE entries, so no list becomes one huge row: a value meets every piece of its
-    key's list and is unlisted when none of them has a match. ``values`` are distinct.
+    key's list and is unlisted when none of them has a match. ``values`` are distinct;
+    ``weight`` names their count column, if they have one.
     """
     entries = listing.select(*keys, allowed).distinct()
     pieces = entries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / LIST_PIECE).alias("_pieces"))
@@ -86,7 +87,7 @@ def unlisted(values: DataFrame, listing: DataFrame, column: str, allowed: str, k
     )
     matched = F.coalesce(F.exists("_allowed", lambda entry: match(F.col(column), entry)), F.lit(False))
     return (
-        lookup_join(values, lists, keys, "left").withColumn("_matched", matched)
+        lookup_join(values, lists, keys, "left", weight=weight).withColumn("_matched", matched)
         .groupBy(*values.columns).agg(F.max("_matched").alias("_matched"))
         .where(~F.col("_matched")).drop("_matched")
     )
@@ -97,8 +98,7 @@ def unexpected_jobs(jobs: DataFrame, expected: DataFrame) -> DataFrame:
     not list."""
     return (
         lookup_join(jobs.select("app_id", "app_name", "job").distinct(),
-                    expected.select("app_name", "job").distinct(), ["app_name", "job"], "left_anti",
-                    counted=jobs)
+                    expected.select("app_name", "job").distinct(), ["app_name", "job"], "left_anti")
         .select("app_id", "app_name", "job",
                 F.concat(F.lit("Unexpected job "), F.col("job")).alias("warning"))
     )
@@ -114,7 +114,7 @@ def new_jobs(jobs: DataFrame, previous: DataFrame) -> DataFrame:
     # One row per run on the right; a run with very many jobs is spread.
     known = previous.where(F.col("previous_app_id").isNotNull()).select(
         "app_id", "app_name", "previous_app_id")
-    now = lookup_join(distinct, known, ["app_id"], counted=jobs)
+    now = lookup_join(distinct, known, ["app_id"])
     before = distinct.select(F.col("app_id").alias("previous_app_id"), "job")
     return (
         now.join(before, ["previous_app_id", "job"], "left_anti")

@@ -14,8 +14,8 @@ PARTS = 32
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
-                counted: DataFrame | None = None, hot_keys: int = HOT_KEYS,
-                parts: int = PARTS) -> DataFrame:
+                counted: DataFrame | None = None, weight: str | None = None,
+                hot_keys: int = HOT_KEYS, parts: int = PARTS) -> DataFrame:
     """Join facts with a table, spreading the most frequent fact keys over several tasks.
 
     The most frequent keys are found by one pre-aggregated count. Their facts get a part
@@ -23,15 +23,17 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
     so every pair still meets exactly once. All other keys take the plain join. Callers
     de-duplicate the facts first: equal rows share a part.
 
-    ``counted`` is a table to count the keys in instead of the facts, where that is cheaper,
-    such as the rows the facts were aggregated from; which keys are spread never changes the
-    result. ``how`` is one of inner, left, left_semi, left_anti.
+    Which keys are spread never changes the result, so they may be found where it is cheap:
+    ``counted`` is another table to count the keys in, such as the rows the facts were
+    aggregated from; ``weight`` a count column of aggregated facts to add up, which lets both
+    uses of the facts share one shuffle. ``how`` is one of inner, left, left_semi, left_anti.
     """
     on = list(on)
     # At most hot_keys rows, hence the broadcasts.
     hot = F.broadcast(
-        (facts if counted is None else counted).groupBy(*on).count()
-        .orderBy(F.desc("count"), *on).limit(hot_keys)
+        (facts if counted is None else counted).groupBy(*on)
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_rows"))
+        .orderBy(F.desc("_rows"), *on).limit(hot_keys)
         .select(*on, F.lit(True).alias("_hot")))
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*facts.columns), F.lit(parts))).otherwise(F.lit(0))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))

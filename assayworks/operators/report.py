@@ -67,7 +67,7 @@ def fleet_report(results: DataFrame, declared: DataFrame) -> DataFrame:
         .agg(F.min("score").alias("low"), F.product("score").alias("product"),
              F.count("score").alias("n_scored"))
     )
-    joined = lookup_join(totals, n_tasks, ["pipeline"], "left").fillna(0, ["n_tasks"])
+    joined = lookup_join(totals, n_tasks, ["pipeline"], "left", counted=results).fillna(0, ["n_tasks"])
     open_tasks = F.col("n_tasks") - F.col("n_scored")
     return joined.select(
         *RUN,
@@ -78,14 +78,14 @@ def fleet_report(results: DataFrame, declared: DataFrame) -> DataFrame:
 
 def _latest_per_task(results: DataFrame, declared: DataFrame) -> DataFrame:
     latest = results.groupBy(*RUN, "task_id").agg(F.max_by("score", "ended_at").alias("score"))
-    return lookup_join(latest, declared.distinct(), ["pipeline", "task_id"], "left_semi")
+    return lookup_join(latest, declared.distinct(), ["pipeline", "task_id"], "left_semi", counted=results)
 
 
 def task_rows(results: DataFrame, declared: DataFrame) -> DataFrame:
     """(pipeline, run_id, task_id, score) for every declared task of every run, null where
     the run has no score: the task list joined with the results."""
     runs = results.select(*RUN).distinct()
-    wanted = lookup_join(runs, declared.distinct(), ["pipeline"])
+    wanted = lookup_join(runs, declared.distinct(), ["pipeline"], counted=results)
     latest = results.groupBy(*RUN, "task_id").agg(F.max_by("score", "ended_at").alias("score"))
     return wanted.join(latest, [*RUN, "task_id"], "left")
 

@@ -2,7 +2,8 @@
 
 Every score starts from the list of all subjects, so a subject without violations shows up
 with 1.0. Subjects and violations are stacked and aggregated in a single shuffle whose
-partial aggregates have a fixed size, whatever the number of violations of one subject.
+partial aggregates have a fixed size, whatever the number of violations of one subject. A
+violation with a column ``times`` counts that often.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 def _stacked(subjects: DataFrame, violations: DataFrame, keys: Sequence[str], score: Column) -> DataFrame:
     clean = subjects.select(*keys, F.lit(1.0).alias("score"), F.lit(0).alias("hit"))
-    hits = violations.select(*keys, score.cast("double").alias("score"), F.lit(1).alias("hit"))
+    times = F.col("times") if "times" in violations.columns else F.lit(1)
+    hits = violations.select(*keys, score.cast("double").alias("score"), times.alias("hit"))
     return clean.unionByName(hits)
 
 

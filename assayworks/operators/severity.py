@@ -42,11 +42,15 @@ def lint_scores(files: DataFrame, findings: DataFrame, keys: Sequence[str] = ("f
 def known_cves(findings: DataFrame, advisories: DataFrame) -> DataFrame:
     """Findings (…, lib, advisory_id) with the CVEs their advisories name.
 
-    The database spells ids with a prefix; a finding may match several CVEs or none.
+    The database spells ids with a prefix; a finding may match several CVEs or none. Equal
+    rows come once, with their number of ``times``.
     """
     prefixed = findings.withColumn("advisory_id", F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id")))
-    named = advisories.where(F.col("cve").isNotNull()).select("lib", "advisory_id", "cve")
-    return lookup_join(prefixed, named, ["lib", "advisory_id"])
+    repeated = prefixed.groupBy(*prefixed.columns).agg(F.count(F.lit(1)).alias("times"))
+    named = advisories.where(F.col("cve").isNotNull()).groupBy("lib", "advisory_id", "cve").agg(
+        F.count(F.lit(1)).alias("_copies"))
+    return lookup_join(repeated, named, ["lib", "advisory_id"], weight="times").withColumn(
+        "times", F.col("times") * F.col("_copies")).drop("_copies")
 
 
 def rated_cves(cves: DataFrame, scores: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ def dependency_scores(projects: DataFrame, findings: DataFrame, advisories: Data
     prefixed = findings.select(
         *keys, "lib", F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id")).alias("advisory_id"))
     repeated = prefixed.groupBy(*keys, "lib", "advisory_id").agg(F.count(F.lit(1)).alias("hits"))
-    rated = lookup_join(repeated, worst, ["lib", "advisory_id"], "left", counted=prefixed)
+    rated = lookup_join(repeated, worst, ["lib", "advisory_id"], "left", weight="hits")
     listed = projects.select(*keys, F.lit(0).cast("long").alias("hits"), F.lit(None).cast("double").alias("risk"))
     return (
         listed.unionByName(rated.select(*keys, "hits", "risk")).groupBy(*keys)

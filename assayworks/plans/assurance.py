@@ -43,7 +43,9 @@ def run_checks(plan: Sequence[Task], runs: DataFrame, evidence: Mapping[str, Dat
                 *RUN, F.col("last_n_warnings").alias("n_warnings"), F.col("last_score").alias("score")), task))
         outcome = registry.run(task, tables)
         results.append(_rows(outcome.results, task))
-        warnings.append(outcome.warnings.select(*RUN, F.lit(task.task_id).alias("task_id"), "warning"))
+        times = F.col("times") if "times" in outcome.warnings.columns else F.lit(1)
+        warnings.append(outcome.warnings.select(
+            *RUN, F.lit(task.task_id).alias("task_id"), "warning", times.cast("long").alias("times")))
     stamped = (
         _union(results).join(runs.select(*RUN, "started_at"), RUN)
         .withColumn("ended_at", F.current_timestamp())

@@ -62,7 +62,8 @@ def assured_training_plan(reads_input: bool, user: str, group: str = "hadoop") -
     """The checks around one training job that runs as ``user`` of ``group``.
 
     ``reads_input`` adds the read-permission check, which only the classification plan has.
-    Evidence tables, all with pipeline and run_id: texts (text), task_args and expected_args
+    Evidence tables, all with pipeline and run_id: texts (text: task source, arguments and job
+    source), job_sources (text), task_args and expected_args
     (arg, value), lint (type), dependencies (lib, advisory_id), advisories (lib, advisory_id,
     cve), cve_scores (cve, score), inputs and outputs (path, owner, group, perm),
     storage_config, engine_config and scheduler_config (key, value), acl and expected_acl
@@ -74,7 +75,7 @@ def assured_training_plan(reads_input: bool, user: str, group: str = "hadoop") -
     before = [
         Task("hdfs_paths_check", "paths", {"subjects": "runs", "texts": "texts"}, {"allowed": ALLOWED_PATHS}),
         Task("task_args_check", "args", {"tasks": "runs", "args": "task_args", "expected": "expected_args"}),
-        Task("network_traffic_check", "urls", {"subjects": "runs", "texts": "texts"},
+        Task("network_traffic_check", "urls", {"subjects": "runs", "texts": "job_sources"},
              {"services": ALLOWED_SERVICES}),
         Task("python_code_check_spark", "lint", {"files": "runs", "findings": "lint"}),
         Task("requirements_check", "dependencies", {

@@ -136,6 +136,7 @@ CHECK_WARNINGS = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("task_id", T.StringType()),
     T.StructField("warning", T.StringType()),
+    T.StructField("times", T.LongType()),
 ])
 
 RUN_SUMMARY = T.StructType([

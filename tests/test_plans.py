@@ -54,6 +54,7 @@ def evidence(spark):
                ("hadoop.registry.secure", "true"), ("hadoop.security.authorization", "true")]
     tables = {
         "texts": table([(*good, "read('hdfs://localhost/in')"), (*bad, "read('titanic/train.csv'); get('http://x.org')")], "text string"),
+        "job_sources": table([(*good, "no url"), (*bad, "get('http://x.org') get('http://x.org')")], "text string"),
         "task_args": table([(*good, "application", application), (*good, "args", None), (*bad, "application", "other.py")], "arg string, value string"),
         "expected_args": expected_args(runs, application),
         "lint": table([(*bad, "error")], "type string"),
@@ -93,6 +94,8 @@ def test_the_standard_plan(spark, tmp_path):
     assert {k: round(v, 6) for k, v in found["bad"].task_scores.items()} == BAD_SCORES
     warned = {r.task_id for r in published_warnings(spark, str(tmp_path)).where("pipeline = 'bad'").collect()}
     assert warned == set(BAD_SCORES)
+    urls = published_warnings(spark, str(tmp_path)).where("task_id = 'network_traffic_check'").first()
+    assert (urls.warning, urls.times) == ("Unexpected url http://x.org')", 2)
 
 
 def test_kept_results_stand_for_new_ones(spark, tmp_path):

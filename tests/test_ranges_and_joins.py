@@ -71,11 +71,13 @@ def test_lookup_join_is_a_join(spark, rows, how):
         [("hot", 1), ("hot", 2), (None, 3)] + [(f"k{i}", i) for i in range(0, 60, 2)], "key string, v int")
     plain = facts.join(lookup, ["key"], how)
     for hot, parts in ((64, 32), (1, 4), (2, 2)):
-        spread = lookup_join(facts, lookup, ["key"], how, None, hot, parts)
+        spread = lookup_join(facts, lookup, ["key"], how, None, None, hot, parts)
         assert spread.columns == plain.columns
         assert rows(spread) == rows(plain)
     other = lookup_join(facts, lookup, ["key"], how, counted=facts.where("id < 5"))
     assert rows(other) == rows(plain)
+    weighted = lookup_join(facts, lookup, ["key"], how, weight="id")
+    assert rows(weighted) == rows(plain)
 
 
 def test_lookup_join_spreads_the_hot_key(spark):

@@ -163,7 +163,7 @@ def test_scenario_cost(spark, tmp_path):
 def test_published_results_append(spark, tmp_path):
     results = spark.createDataFrame([("p", "r", "t", 1, 0.5, "success")], "pipeline string, run_id string, task_id string, n_warnings long, score double, state string").withColumn(
         "started_at", F.timestamp_seconds(F.lit(1))).withColumn("ended_at", F.timestamp_seconds(F.lit(2)))
-    warnings = spark.createDataFrame([("p", "r", "t", "w")], "pipeline string, run_id string, task_id string, warning string")
+    warnings = spark.createDataFrame([("p", "r", "t", "w", 1)], "pipeline string, run_id string, task_id string, warning string, times long")
     for _ in range(2):
         sinks.publish(results, warnings, str(tmp_path))
     assert sinks.published_results(spark, str(tmp_path)).count() == 2
