@@ -7,7 +7,6 @@ import json
 from pyspark.sql import functions as F
 
 from assayworks.checks import config_check
-from assayworks.ml.train import run_summary  # noqa: F401  (imported here to fail early)
 from assayworks.operators.cost import scenario_cost
 from assayworks.operators.frames import drop_incomplete, null_to_text, seconds_between
 from assayworks.operators.rules import ENGINE, SCHEDULER
