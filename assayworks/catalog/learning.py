@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayworks.catalog import CATALOG, table
 from assayworks.ml import evaluate, prep, train
 from assayworks.schemas import RUN_SUMMARY
-from assayworks.session import workspace
+from assayworks.session import settle, workspace
 from assayworks.sources.sinks import read_json
 
 _TICKET = "CAST(('0x' || substr(md5({key} || ':{seed}'), 1, 8)) AS BIGINT)"
@@ -93,7 +93,8 @@ def _documents(spark, folder):
     measured = table(spark, folder, "documents").selectExpr(
         "doc_id", "lang", "nullif(source, 'src0') AS source",
         *[f"{measure} AS {name}" for name, measure in _MEASURES.items()])
-    return measured.join(labels, "doc_id")
+    # Measured once: training, scoring and saving all read the measures, not the texts.
+    return settle(measured.join(labels, "doc_id"), "documents")
 
 
 @CATALOG.add("""
