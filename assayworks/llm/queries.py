@@ -152,6 +152,43 @@ SQL: dict[str, str] = {
         SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(least.b, e.vec_id)) AS component_id,
                e.vec_id = least(e.vec_id, coalesce(least.b, e.vec_id)) AS kept
         FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id""",
+    "op9_warc_derivatives": r"""
+        WITH r AS (
+            SELECT page_id, coalesce(html, '') AS payload, coalesce(url, '') AS target_uri,
+                   md5('response|' || page_id || '|' || coalesce(url, '')) AS h FROM pages),
+        i AS (SELECT *, '<urn:uuid:' || regexp_replace(h, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '>' AS rid,
+                     'sha256:' || sha256(payload) AS payload_digest FROM r),
+        a AS (SELECT *, regexp_replace(payload, '(?s)<!--.*?-->', ' ', 'g') AS t FROM i),
+        b AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+                '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'),
+                '(?is)<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g'), '(?is)<template\b[^>]*>.*?</template\s*>', ' ', 'g') AS t) FROM a),
+        c AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\n\f]+', ' ', 'g'),
+                '(?i)</?(?:p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|title|body|head|html)\b[^>]*>', chr(10), 'g'),
+                '<[a-zA-Z/!?][^>]*>', '', 'g') AS t) FROM b),
+        d AS (SELECT * REPLACE (replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+                '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') AS t) FROM c),
+        e AS (SELECT * REPLACE (regexp_replace(regexp_replace(t, ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS t),
+                     chr(13) || chr(10) AS nl FROM d),
+        m AS (
+            SELECT page_id, rid, target_uri, payload_digest, nl, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS content_type, t AS block FROM e
+            UNION ALL
+            SELECT page_id, rid, target_uri, payload_digest, nl, 'metadata', 'application/warc-fields',
+                   'title: ' || trim(regexp_replace(regexp_extract(payload, '(?is)<title\b[^>]*>([^<]*)', 1), '[ \t\r\n\f]+', ' ', 'g')) || nl
+                   || 'payload-length: ' || strlen(payload) || nl || 'source-payload-digest: ' || payload_digest || nl
+                   || 'source-header: HTTP/1.1 200 OK' || nl || 'source-header: Content-Type: text/html; charset=utf-8' || nl
+                   || 'source-header: Content-Length: ' || strlen(payload) || nl
+                   || array_to_string(list_transform(regexp_extract_all(payload, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1),
+                                                     lambda u: 'outlink: ' || u || nl), '') FROM e),
+        o AS (
+            SELECT *, '<urn:uuid:' || regexp_replace(md5(record_type || '|' || rid), '^(.{8})(.{4})(.{4})(.{4})(.{12})$',
+                                                     '\1-\2-\3-\4-\5') || '>' AS record_id, 'sha256:' || sha256(block) AS block_digest FROM m)
+        SELECT page_id, record_type, record_id, rid AS refers_to, target_uri, '1970-01-01T00:00:00Z' AS date, payload_digest,
+               block_digest, content_type, block,
+               'WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Refers-To: ' || rid || nl
+               || 'WARC-Target-URI: ' || target_uri || nl || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Payload-Digest: ' || payload_digest || nl
+               || 'WARC-Block-Digest: ' || block_digest || nl || 'Content-Type: ' || content_type || nl || 'Content-Length: ' || strlen(block) || nl || nl
+               || block || nl || nl AS record
+        FROM o""",
     "op10_chat_parts": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -161,6 +198,6 @@ SQL: dict[str, str] = {
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               sum(23 + length(role) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
+               sum(24 + length(role) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
 }
