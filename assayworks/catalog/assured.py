@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayworks.catalog import CATALOG, table
+from assayworks.operators.report import task_warnings
 from assayworks.operators.rules import STORAGE_ENCRYPTION
 from assayworks.plans.assurance import assure, run_checks
 from assayworks.plans.registry import Task
 from assayworks.session import workspace
+from assayworks.sources.sinks import published_results, published_warnings
 
 # A nation is a pipeline, a customer one of its runs, an order a lint message of the run.
 _PLAN = [
@@ -100,3 +102,41 @@ def assured_runs_keeping_lint(spark, folder):
         "CASE WHEN n_nationkey % 2 = 0 THEN 'success' ELSE 'failed' END AS state")
     return run_checks(_PLAN, runs, evidence, history, ["lint"]).results.select(
         "pipeline", "run_id", "task_id", "score")
+
+
+@CATALOG.add(f"""
+    WITH found AS (
+        SELECT 'n' || c_nationkey AS pipeline, CAST(c_custkey AS VARCHAR) AS run_id, {_LINT} AS warning
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 2 = 1),
+    kept AS (
+        SELECT 'n' || c_nationkey AS pipeline, CAST(c_custkey AS VARCHAR) AS run_id, c_nationkey / 100.0 AS score,
+               unnest(['old ' || n_name, 'older ' || n_name]) AS warning, c_nationkey + 1 AS times
+        FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey % 2 = 0),
+    counted AS (SELECT pipeline, run_id, warning, count(*) AS times FROM found GROUP BY ALL),
+    ran AS (
+        SELECT 'n' || c_nationkey AS pipeline, CAST(c_custkey AS VARCHAR) AS run_id,
+               CASE max(CASE f.warning WHEN 'error' THEN 3 WHEN 'warning' THEN 2 WHEN 'convention' THEN 1 ELSE 0 END)
+                 WHEN 3 THEN 0.0 WHEN 2 THEN 0.75 WHEN 1 THEN 0.9 ELSE 1.0 END AS score, count(f.warning) AS n
+        FROM customer LEFT JOIN found f ON f.run_id = CAST(c_custkey AS VARCHAR) WHERE c_nationkey % 2 = 1 GROUP BY ALL)
+    SELECT pipeline, run_id, 'lint' AS task_id, CAST(score AS DOUBLE) AS score, n AS n_warnings, warning, times
+    FROM ran LEFT JOIN counted USING (pipeline, run_id)
+    UNION ALL SELECT pipeline, run_id, 'lint', CAST(score AS DOUBLE), 2 * times, warning, times FROM kept
+""")
+def assured_runs_keeping_warnings(spark, folder):
+    # Every second nation has an earlier good lint result with two kinds of warnings. A later result
+    # than the runs must not be kept.
+    runs, evidence = _inputs(spark, folder)
+    nation = table(spark, folder, "nation")
+    moment = "CAST(TIMESTAMP_NTZ '{}-01-01 00:00:00' AS TIMESTAMP) AS started_at"
+    fields = ["concat('n', n_nationkey) AS pipeline", "'lint' AS task_id", "'success' AS state"]
+    history = nation.where("n_nationkey % 2 = 0").selectExpr(
+        *fields, "'old' AS run_id", "CAST(2 * n_nationkey + 2 AS BIGINT) AS n_warnings", "CAST(n_nationkey AS DOUBLE) / 100 AS score",
+        moment.format(2023)).unionByName(nation.selectExpr(
+            *fields, "'late' AS run_id", "CAST(7 AS BIGINT) AS n_warnings", "CAST(0.5 AS DOUBLE) AS score", moment.format(2025)))
+    warned = nation.selectExpr(
+        fields[0], fields[1], "'old' AS run_id", "explode(array(concat('old ', n_name), concat('older ', n_name))) AS warning",
+        "CAST(n_nationkey + 1 AS BIGINT) AS times").unionByName(nation.selectExpr(
+            fields[0], fields[1], "'late' AS run_id", "'late' AS warning", "CAST(7 AS BIGINT) AS times"))
+    place = workspace(spark, "assured")
+    assure([t for t in _PLAN if t.task_id == "lint"], runs, evidence, place, history, ["lint"], history_warnings=warned)
+    return task_warnings(published_results(spark, place), published_warnings(spark, place))

@@ -9,23 +9,26 @@ from assayworks.checks.jobs import job_log_check, stems
 from assayworks.functions.text import job_stem
 from assayworks.operators import differences, history
 
-# A user is an application, a day one of its runs, an event one job of the run.
+# A user is an application, a day one of its runs, an event one job of the run. Every fifth day all fail.
 _JOB = "concat(event_type, ' at Step', CAST({k} AS INTEGER) % 3, '.scala:', {k})"
 _SPARK_JOB = _JOB.format(k="get_json_object(props, '$.k')")
 _SQL_JOB = _JOB.format(k="json_extract_string(props, '$.k')")
 
 _RAW_SQL = f"""
     raw AS (SELECT user_id || '@' || CAST(ts AS DATE) AS app_id, CAST(user_id AS VARCHAR) AS app_name, ts,
-                   split_part({_SQL_JOB}, '.scala', 1) AS job FROM events),
+                   split_part({_SQL_JOB}, '.scala', 1) AS job, extract(day FROM ts) % 5 <> 0 AS succeeded FROM events),
     jobs AS (SELECT DISTINCT app_id, app_name, job FROM raw),
-    runs AS (SELECT app_id, app_name, min(ts) AS started_at FROM raw GROUP BY app_id, app_name)
+    runs AS (SELECT app_id, app_name, min(ts) AS started_at, bool_or(succeeded) AS good FROM raw GROUP BY app_id, app_name),
+    previous AS (
+        SELECT *, last_value(CASE WHEN good THEN app_id END IGNORE NULLS) OVER (
+            PARTITION BY app_name ORDER BY started_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runs)
 """
 
 
 def _app_jobs(spark, folder):
     return table(spark, folder, "events").selectExpr(
         "concat(user_id, '@', CAST(ts AS DATE)) AS app_id", "CAST(user_id AS STRING) AS app_name",
-        "ts AS started_at", "event_id AS job_id", f"{_SPARK_JOB} AS job_name")
+        "ts AS started_at", "event_id AS job_id", f"{_SPARK_JOB} AS job_name", "day(ts) % 5 <> 0 AS succeeded")
 
 
 @CATALOG.add(f"SELECT event_id, split_part({_SQL_JOB}, '.scala', 1) AS job FROM events")
@@ -46,7 +49,7 @@ def latest_app_by_name(spark, folder):
 
 @CATALOG.add(f"""
     WITH {_RAW_SQL}
-    SELECT app_id, app_name, lag(app_id) OVER (PARTITION BY app_name ORDER BY started_at) AS previous_app_id FROM runs
+    SELECT app_id, app_name, before AS previous_app_id FROM previous
 """)
 def previous_runs(spark, folder):
     return history.previous_runs(_app_jobs(spark, folder)).drop("started_at")
@@ -65,7 +68,6 @@ _UNEXPECTED_SQL = """
         WHERE NOT EXISTS (SELECT 1 FROM expected e WHERE e.app_name = j.app_name AND e.job = j.job))
 """
 _NEW_SQL = """
-    previous AS (SELECT app_id, lag(app_id) OVER (PARTITION BY app_name ORDER BY started_at) AS before FROM runs),
     fresh AS (
         SELECT j.app_id, j.app_name, j.job, 'New job ' || j.job || ' not present in previous logs' AS warning
         FROM jobs j JOIN previous p ON p.app_id = j.app_id AND p.before IS NOT NULL

@@ -90,19 +90,22 @@ def scan_text(spark, folder):
 
 
 @CATALOG.add("""
-    SELECT replace(p_name, ' ', '-') || '-' || p_partkey AS lib, p_size || '.' || (p_partkey % 10) AS version
+    SELECT replace(p_name, ' ', '-') || '-' || p_partkey AS lib,
+           CASE WHEN p_partkey % 8 <> 4 THEN p_size || '.' || (p_partkey % 10) END AS version
     FROM part WHERE p_partkey % 4 <> 2
 """)
 def scan_requirements(spark, folder):
-    # The comment lines (every fourth) hold a requirement that must not be read.
+    # The comment lines (every fourth) hold a requirement that must not be read; every eighth line
+    # pins no version.
     path = workspace(spark, "requirements")
     table(spark, folder, "part").selectExpr("""
+        CASE WHEN p_partkey % 8 = 4 THEN concat(replace(p_name, ' ', '-'), '-', p_partkey, CASE WHEN p_partkey % 16 = 4 THEN '>=1' ELSE '' END) ELSE
         CASE p_partkey % 4
           WHEN 0 THEN concat(replace(p_name, ' ', '-'), '-', p_partkey, '==', p_size, '.', p_partkey % 10)
           WHEN 1 THEN concat(replace(p_name, ' ', '-'), '-', p_partkey, '==', p_size, '.', p_partkey % 10, ' # ', p_brand)
           WHEN 2 THEN concat('# ', replace(p_name, ' ', '-'), '-', p_partkey, '==', p_size, '\\n')
           ELSE concat('  ', replace(p_name, ' ', '-'), '-', p_partkey, ' == ', p_size, '.', p_partkey % 10)
-        END AS value""").write.text(path)
+        END END AS value""").write.text(path)
     return files.read_requirements(spark, path).select("lib", "version")
 
 
@@ -234,3 +237,14 @@ def scan_event_log(spark, folder):
     starts.unionByName(jobs).write.partitionBy("eventlog_v2_app").text(path)
     return files.read_event_log(spark, path).select(
         "app_id", "app_name", F.unix_millis("started_at").alias("started_ms"), "job_id", "job_name")
+
+
+# A supplier is a source file of two lines, in a folder of its own.
+@CATALOG.add("""
+    SELECT CAST(s_suppkey AS VARCHAR) AS file, 'name = "' || s_name || '"' || chr(10) || 'key = ' || s_suppkey || chr(10) AS text FROM supplier
+""")
+def scan_source_files(spark, folder):
+    path = workspace(spark, "sources")
+    lines = table(spark, folder, "supplier").selectExpr("s_suppkey AS file", "concat('name = \"', s_name, '\"\n', 'key = ', s_suppkey) AS value")
+    lines.write.partitionBy("file").text(path)
+    return files.read_source_files(spark, path).select(F.regexp_extract("path", r"/file=(\d+)/", 1).alias("file"), "text")

@@ -59,13 +59,18 @@ _ENTRIES_SQL = f"""
 """
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-_RULES_SQL = "rules(ruleset, key, default_value, bad_value, warning, score) AS (VALUES " + ", ".join(
-    "(" + ", ".join([_quoted(name), *[_quoted(part) for part in rule[:4]], str(rule.score)]) + ")"
-    for name, ruleset in _RULESETS.items() for rule in ruleset) + ")"
+# Fixed values, written out here: the SQL must not take its truth from the package.
+_RULES_SQL = """rules(ruleset, key, default_value, bad_value, warning, score) AS (VALUES
+    ('storage_encryption', 'dfs.encrypt.data.transfer', 'false', 'false', 'In-transit data encryption is disabled', 0.1),
+    ('storage_encryption', 'yarn.intermediate-data-encryption.enable', 'false', 'false', 'Intermediate data encryption is disabled', 0.1),
+    ('storage_security', 'dfs.permissions.enabled', 'false', 'false', 'FS access control is disabled', 0.1),
+    ('storage_security', 'dfs.permissions.superusergroup', 'supergroup', 'supergroup', 'Task is running with default unrestricted permissions', 0.5),
+    ('storage_security', 'hadoop.registry.secure', 'false', 'false', 'Registry security is not enabled', 0.5),
+    ('storage_security', 'hadoop.security.authorization', 'false', 'false', 'Authentication is disabled', 0.1),
+    ('engine', 'spark.network.crypto.enabled', 'false', 'false', 'Network encryption is disabled', 0.1),
+    ('engine', 'spark.io.encryption.enable', 'false', 'false', 'IO encryption is disabled', 0.1),
+    ('scheduler', 'core.fernet_key', '', '', 'Fernet key is not set', 0.1),
+    ('scheduler', 'kubernetes.verify_ssl', 'False', 'False', 'SSL cert. check is disabled', 0.1))"""
 
 _VIOLATIONS_SQL = f"""
     WITH {_ENTRIES_SQL}, {_RULES_SQL},
@@ -235,3 +240,29 @@ def args_diff(spark, folder):
 """)
 def binary_check_score(spark, folder):
     return _args_outcome(spark, folder).results
+
+
+# Rules kept as rows, one per nation; a customer is a system whose orders set keys again and again.
+@CATALOG.add("""
+    WITH rules AS (
+        SELECT 'k' || n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'off' ELSE 'on' END AS default_value,
+               'off' AS bad_value, n_name || ' is off' AS warning, (n_nationkey % 9 + 1) / 10.0 AS score FROM nation),
+    entries AS (
+        SELECT o_custkey AS system, 'k' || (o_orderkey % 30) AS key,
+               max_by(CASE WHEN o_orderstatus = 'O' THEN 'off' ELSE 'on' END, o_orderkey) AS value FROM orders GROUP BY ALL),
+    hits AS (
+        SELECT c_custkey AS system, r.score FROM customer CROSS JOIN rules r LEFT JOIN entries e ON e.system = c_custkey AND e.key = r.key
+        WHERE coalesce(e.value, r.default_value) = r.bad_value)
+    SELECT c_custkey AS system, count(score) AS n_warnings, CAST(coalesce(min(score), 1.0) AS DOUBLE) AS score
+    FROM customer LEFT JOIN hits ON system = c_custkey GROUP BY c_custkey
+""")
+def config_audit_rule_table(spark, folder):
+    rules = R.rules_from_table(table(spark, folder, "nation").selectExpr(
+        "concat('k', n_nationkey) AS key", "CASE WHEN n_nationkey % 2 = 0 THEN 'off' ELSE 'on' END AS default_value",
+        "'off' AS bad_value", "concat(n_name, ' is off') AS warning", "CAST((n_nationkey % 9 + 1) / 10 AS DOUBLE) AS score"))
+    # The last value of a key counts.
+    entries = table(spark, folder, "orders").selectExpr(
+        "o_custkey AS system", "concat('k', o_orderkey % 30) AS key", "CASE WHEN o_orderstatus = 'O' THEN 'off' ELSE 'on' END AS value",
+        "o_orderkey AS position")
+    systems = table(spark, folder, "customer").selectExpr("c_custkey AS system")
+    return config_check(systems, entries, rules).results

@@ -31,6 +31,7 @@ _TEXTS_SQL = f"""
         UNION ALL SELECT page_id, {_JOB} FROM pages
         UNION ALL SELECT page_id, {_ARG} FROM pages)
 """
+# The patterns of locations and, below, of URLs, for the SQL engine.
 _QUOTE = """["'']"""
 _SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NO_SPACE = _SPACES.replace("[", "[^", 1)
@@ -135,6 +136,7 @@ def unexpected_paths_listed(spark, folder):
     return paths_check(_tasks(spark, folder), _texts(spark, folder), allowed, ["page_id"]).warnings
 
 
+# Fixed value: the URL pattern.
 _URLS_SQL = f"""
     WITH {_TEXTS_SQL},
     urls AS (

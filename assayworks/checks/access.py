@@ -7,17 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayworks.checks.outcome import Outcome
+from assayworks.checks.outcome import Outcome, judged
 from assayworks.functions.perms import READ_DIGITS, WRITE_DIGITS, granted
 from assayworks.operators.differences import acl_differences
-from assayworks.operators.scoring import all_or_nothing
 
 
 def acl_check(objects: DataFrame, acl: DataFrame, expected: DataFrame,
               keys: Sequence[str] = ("object",)) -> Outcome:
     """0.0 for an object that grants a role other permissions than expected."""
     warnings = acl_differences(acl, expected, keys)
-    return Outcome(all_or_nothing(objects, warnings, keys), warnings)
+    return judged(objects, warnings, keys)
 
 
 def _column(value: Column | str | None) -> Column:
@@ -45,7 +44,7 @@ def permission_check(files: DataFrame, owner: Column | str | None = None,
     found = F.array_compact(F.array(*findings))
     extra = [name for name in ("path",) if name not in keys]
     warnings = files.select(*keys, *extra, F.explode(found).alias("warning"))
-    return Outcome(all_or_nothing(files, warnings, keys), warnings)
+    return judged(files, warnings, keys)
 
 
 def _access_check(files: DataFrame, user, group, keys: Sequence[str], digits: list[str], text: str) -> Outcome:
@@ -53,7 +52,7 @@ def _access_check(files: DataFrame, user, group, keys: Sequence[str], digits: li
     extra = [name for name in ("path",) if name not in keys]
     warnings = files.where(~F.coalesce(allowed, F.lit(False))).select(
         *keys, *extra, F.concat(F.lit(text), F.col("path")).alias("warning"))
-    return Outcome(all_or_nothing(files, warnings, keys), warnings)
+    return judged(files, warnings, keys)
 
 
 def can_write_check(files: DataFrame, user: Column | str | None = None,

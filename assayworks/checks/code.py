@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayworks.checks.outcome import Outcome
+from assayworks.checks.outcome import Outcome, judged
 from assayworks.functions.text import quoted_locations, urls_in_code
 from assayworks.functions.urls import rebuild_url
-from assayworks.operators.differences import unlisted, unmatched, without_any
-from assayworks.operators.scoring import all_or_nothing
-from assayworks.operators.severity import lint_scores
+from assayworks.operators.differences import unlisted, unlisted_patterns, unmatched, without_any
+from assayworks.operators.severity import lint_score
 
 # Fixed value: the score of a subject that reaches for an unexpected service.
 SERVICE_FLOOR = 0.1
@@ -24,11 +23,11 @@ def detected_paths(texts: DataFrame, keys: Sequence[str], default_fs: str | None
     ``texts`` has one row per text: a subject's task source, arguments and job source are
     stacked before. Locations are parsed and rebuilt; unreadable ones drop out.
     """
-    found = texts.select(*keys, F.explode(quoted_locations(F.col("text"))).alias("found")).distinct()
-    return (
-        found.select(*keys, rebuild_url(F.col("found"), default_fs).alias("path"))
-        .where(F.col("path").isNotNull()).distinct()
-    )
+    # Repeats in a text go before anything is rebuilt; a rebuilt path is computed once, where it
+    # is exploded, and the only shuffle is on what is left.
+    found = texts.select(*keys, F.array_distinct(quoted_locations(F.col("text"))).alias("found"))
+    paths = F.transform("found", lambda one: rebuild_url(one, default_fs))
+    return found.select(*keys, F.explode(F.array_distinct(F.array_compact(paths))).alias("path")).distinct()
 
 
 def paths_check(subjects: DataFrame, texts: DataFrame, allowed: Sequence[str] | DataFrame = (),
@@ -39,11 +38,11 @@ def paths_check(subjects: DataFrame, texts: DataFrame, allowed: Sequence[str] |
     """
     paths = detected_paths(texts, keys, default_fs)
     if isinstance(allowed, DataFrame):
-        outside = unlisted(paths, allowed, "path", "pattern", keys, F.rlike)
+        outside = unlisted_patterns(paths, allowed, "path", "pattern", keys)
     else:
         outside = unmatched(paths, "path", allowed)
     warnings = outside.select(*keys, "path", F.concat(F.lit("Unexpected path "), F.col("path")).alias("warning"))
-    return Outcome(all_or_nothing(subjects, warnings, keys), warnings)
+    return judged(subjects, warnings, keys)
 
 
 def urls_check(subjects: DataFrame, texts: DataFrame, services: Sequence[str] | DataFrame = (),
@@ -59,13 +58,12 @@ def urls_check(subjects: DataFrame, texts: DataFrame, services: Sequence[str] |
     outside = urls.groupBy(*keys, "url").agg(F.count(F.lit(1)).alias("times"))
     if isinstance(services, DataFrame):
         outside = unlisted(outside, services, "url", "service", keys,
-                           lambda value, entry: value.contains(entry), weight="times")
+                           lambda value, entry: value.contains(entry))
     warnings = outside.select(
         *keys, "url", F.concat(F.lit("Unexpected url "), F.col("url")).alias("warning"), "times")
-    return Outcome(all_or_nothing(subjects, warnings, keys, floor=SERVICE_FLOOR), warnings)
+    return judged(subjects, warnings, keys, SERVICE_FLOOR)
 
 
 def lint_check(files: DataFrame, findings: DataFrame, keys: Sequence[str] = ("file_path",)) -> Outcome:
     """Score per file by its worst lint message."""
-    warnings = findings.withColumn("warning", F.col("type"))
-    return Outcome(lint_scores(files, findings, keys), warnings)
+    return judged(files, findings.withColumn("warning", F.col("type")), keys, lint_score(F.col("type")))

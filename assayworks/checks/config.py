@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from assayworks.checks.outcome import Outcome
-from assayworks.operators.rules import Rule, rule_violations
-from assayworks.operators.scoring import lowest_score
+from assayworks.operators.rules import Rule, rule_rows, rule_scores, rule_violations
 
 
 def config_check(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],
@@ -19,8 +17,8 @@ def config_check(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],
     The rule sets are :data:`~assayworks.operators.rules.STORAGE_ENCRYPTION`,
     ``STORAGE_SECURITY``, ``ENGINE`` and ``SCHEDULER``; users add their own rules.
     """
-    violations = rule_violations(systems, entries, rules, keys)
-    return Outcome(lowest_score(systems, violations, keys), violations)
+    return Outcome(rule_scores(systems, entries, rules, keys), rule_violations(systems, entries, rules, keys),
+                   rule_rows(systems, entries, rules, keys))
 
 
 def config_checks(systems: DataFrame, entries: DataFrame, rulesets: Mapping[str, Sequence[Rule]],
@@ -30,5 +28,5 @@ def config_checks(systems: DataFrame, entries: DataFrame, rulesets: Mapping[str,
     rules = [rule for ruleset in rulesets.values() for rule in ruleset]
     names = [name for name, ruleset in rulesets.items() for _ in ruleset]
     violations = rule_violations(systems, entries, rules, keys, labels=names).withColumnRenamed("label", "ruleset")
-    each = systems.select(*keys, F.explode(F.array(*[F.lit(name) for name in rulesets])).alias("ruleset"))
-    return Outcome(lowest_score(each, violations, [*keys, "ruleset"]), violations)
+    results = rule_scores(systems, entries, rules, keys, labels=names).withColumnRenamed("label", "ruleset")
+    return Outcome(results, violations)

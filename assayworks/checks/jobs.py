@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayworks.checks.outcome import Outcome
+from assayworks.checks.outcome import Outcome, judged
 from assayworks.functions.text import job_stem
 from assayworks.operators.differences import new_jobs, unexpected_jobs
 from assayworks.operators.history import previous_runs
-from assayworks.operators.scoring import all_or_nothing
 
 
 def stems(app_jobs: DataFrame) -> DataFrame:
@@ -28,4 +27,4 @@ def job_log_check(app_jobs: DataFrame, expected: DataFrame) -> Outcome:
     """
     jobs = stems(app_jobs)
     warnings = unexpected_jobs(jobs, expected).unionByName(new_jobs(jobs, previous_runs(app_jobs)))
-    return Outcome(all_or_nothing(app_jobs, warnings, ["app_id", "app_name"]), warnings)
+    return judged(app_jobs.select("app_id", "app_name").distinct(), warnings, ["app_id", "app_name"])

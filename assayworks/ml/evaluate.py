@@ -6,7 +6,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayworks.operators.ranges import cut_points, sum_before
+from assayworks.operators.ranges import sum_before
 from assayworks.session import settle
 
 
@@ -23,11 +23,11 @@ def label_separation(df: DataFrame, label: str, features: str = "features") -> f
     return silhouette_evaluator(label, features).evaluate(df)
 
 
-def exact_auc(df: DataFrame, label: str, score: str, cuts: list[tuple] | None = None) -> DataFrame:
+def exact_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve over every distinct score, ties counted half.
 
     One row (positives, negatives, auc); null without both classes. Equal scores collapse
-    before anything is ordered, and the order is cut into stretches.
+    before anything is ordered, and the order is cut into stretches. NaN ranks above all numbers.
     """
     positive = F.col(label).cast("int") == 1
     by_score = settle(
@@ -35,8 +35,7 @@ def exact_auc(df: DataFrame, label: str, score: str, cuts: list[tuple] | None =
         .agg(F.sum(F.when(positive, 1).otherwise(0)).alias("pos"),
              F.sum(F.when(positive, 0).otherwise(1)).alias("neg")), "scores")
     order = [("score", True)]
-    cuts = cut_points(by_score, order) if cuts is None else cuts
-    ranked = sum_before(by_score, order, "neg", "below", cuts)
+    ranked = sum_before(by_score, order, "neg", "below", settled=True)
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.agg(

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayworks.operators.ranges import cut_points, sum_before
+from assayworks.operators.ranges import sum_before
 from assayworks.session import settle
 
 
@@ -50,8 +50,7 @@ def widen(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
     return df.select("*", *[F.get(F.col(column), F.lit(i)).alias(n) for i, n in enumerate(names)]).drop(column)
 
 
-def frequency_index(df: DataFrame, column: str, output: str = "index",
-                    cuts: list[tuple] | None = None) -> DataFrame:
+def frequency_index(df: DataFrame, column: str, output: str = "index") -> DataFrame:
     """(value, n, index): values by descending frequency, ties by value.
 
     The same order as :func:`string_indexer`, whose labels live on the driver, for columns
@@ -60,6 +59,5 @@ def frequency_index(df: DataFrame, column: str, output: str = "index",
     counts = settle(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("n")), "counts")
     order = [("n", False), ("value", True)]
-    cuts = cut_points(counts, order) if cuts is None else cuts
     ones = counts.withColumn("_one", F.lit(1).cast("long"))
-    return sum_before(ones, order, "_one", output, cuts).drop("_one")
+    return sum_before(ones, order, "_one", output, settled=True).drop("_one")

@@ -21,7 +21,7 @@ from assayworks.ml.evaluate import roc_evaluator, silhouette_evaluator
 from assayworks.ml.prep import assembler, fold_of, string_indexer
 from assayworks.operators.frames import drop_incomplete, null_to_text
 from assayworks.schemas import RUN_SUMMARY
-from assayworks.session import settle
+from assayworks.session import discard, settle
 from assayworks.sources.sinks import write_json
 
 # Folds, seeds and parameter grid of the two jobs.
@@ -32,8 +32,8 @@ CLUSTERING_SEED = 12345
 REG_PARAMS = [0.1, 0.3, 0.7]
 
 FOLD = "_fold"
-#: Fits that run at the same time.
-PARALLEL_FITS = 8
+#: Folds that are fitted at the same time.
+PARALLEL_FITS = 2
 
 
 class Trained(NamedTuple):
@@ -48,28 +48,35 @@ def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]
     """Fit every parameter set on every fold and refit the best on all rows.
 
     The fold of a row comes from its key, so a re-read or re-partitioned table gives the same
-    folds and metrics. All fits of all folds share one pool, where Spark's own validator
-    finishes a fold before it starts the next; the caller persists ``train`` once for all.
+    folds and metrics. The feature stages do not depend on the parameter set: they are fitted once
+    per fold and their vectors written, where Spark's own validator fits them for every set, and
+    the sets of a fold share that table. ``parallelism`` folds run at a time.
     """
-    estimator = Pipeline(stages=stages)
+    *feature_stages, estimator = stages
+    pipeline = Pipeline(stages=stages)
     rows = train.withColumn(FOLD, fold_of(F.col(key), folds, seed))
+    needed = [FOLD, *dict.fromkeys(
+        estimator.getOrDefault(p) for p in estimator.params if p.name in ("featuresCol", "labelCol") and estimator.hasParam(p.name))]
 
     @inheritable_thread_target(train.sparkSession)
-    def metric(job: tuple[int, int]) -> float:
-        fold, number = job
-        model = estimator.fit(rows.where(F.col(FOLD) != fold), grid[number])
-        return evaluator.evaluate(model.transform(rows.where(F.col(FOLD) == fold), grid[number]))
-
-    jobs = [(fold, number) for number in range(len(grid)) for fold in range(folds)]
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        metrics = pool.map(metric, jobs, chunksize=1)
-    per_set = [metrics[number * folds:(number + 1) * folds] for number in range(len(grid))]
+    def metrics_of(fold: int) -> list[float]:
+        features = Pipeline(stages=feature_stages).fit(rows.where(F.col(FOLD) != fold))
+        ready = settle(features.transform(rows).select(*needed), "fold")
+        try:
+            kept, held = ready.where(F.col(FOLD) != fold), ready.where(F.col(FOLD) == fold)
+            return [evaluator.evaluate(estimator.fit(kept, values).transform(held, values)) for values in grid]
+        finally:
+            discard(ready)
+
+    with ThreadPool(max(1, min(parallelism, folds))) as pool:
+        by_fold = pool.map(metrics_of, range(folds), chunksize=1)
+    per_set = [list(values) for values in zip(*by_fold, strict=True)]
     averages = [mean(values) for values in per_set]
     choose = max if evaluator.isLargerBetter() else min
     best = averages.index(choose(averages))
     model = CrossValidatorModel(
-        estimator.fit(rows, grid[best]), averages, stdMetrics=[pstdev(values) for values in per_set])
-    for param, value in ((model.estimator, estimator), (model.estimatorParamMaps, grid),
+        pipeline.fit(rows, grid[best]), averages, stdMetrics=[pstdev(values) for values in per_set])
+    for param, value in ((model.estimator, pipeline), (model.estimatorParamMaps, grid),
                          (model.evaluator, evaluator), (model.numFolds, folds), (model.seed, seed)):
         model.set(param, value)
     return model
@@ -98,13 +105,13 @@ def train_classifier(train: DataFrame, label: str, key: str, numeric: Sequence[s
     stages += [assembler([*numeric, *[c + "Id" for c in categorical]]), estimator]
     grid = ParamGridBuilder().addGrid(estimator.regParam, list(reg_params)).build()
     evaluator = roc_evaluator(label)
-    rows = settle(clean(train, [label]), "training-rows").persist()
+    rows = settle(clean(train, [label]), "training-rows")
     try:
         model = cross_validate(rows, stages, grid, evaluator, key, folds, parallelism=parallelism)
         train_metric = evaluator.evaluate(model.transform(rows))
         test_metric = None if test is None else evaluator.evaluate(model.transform(clean(test, [label])))
     finally:
-        rows.unpersist()
+        discard(rows)
     return Trained(model, train_metric, test_metric)
 
 
@@ -116,14 +123,14 @@ def train_kmeans(train: DataFrame, key: str, columns: Sequence[str] | None = Non
     estimator = KMeans(featuresCol="features", predictionCol="pred", k=k, seed=CLUSTERING_SEED, **kmeans)
     stages = ([assembler(columns)] if columns else []) + [estimator]
     evaluator = silhouette_evaluator("pred")
-    rows = settle(train, "training-rows").persist()
+    rows = settle(train, "training-rows")
     try:
         model = cross_validate(rows, stages, ParamGridBuilder().build(), evaluator, key, folds,
                                parallelism=parallelism)
         train_metric = evaluator.evaluate(model.transform(rows))
         test_metric = None if test is None else evaluator.evaluate(model.transform(test))
     finally:
-        rows.unpersist()
+        discard(rows)
     return Trained(model, train_metric, test_metric)
 
 

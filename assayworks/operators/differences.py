@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayworks.operators.joins import lookup_join
+from assayworks.functions.patterns import FLAGS, REFERS, java_pattern, java_patterns
 
 #: About how many entries of one allow-list are compared as one piece.
 LIST_PIECE = 1_000
@@ -24,14 +24,16 @@ def acl_differences(acl: DataFrame, expected: DataFrame, keys: Sequence[str] = (
     """Roles whose permissions differ from the expected ones.
 
     A role that is not expected counts as expected without permissions, and null permissions
-    as none. Roles that are expected but missing are no violation.
+    as none; permissions are sets. Roles that are expected but missing are no violation.
     """
     nothing = F.array().cast("array<string>")
-    have = acl.select(*keys, "role", F.array_sort(F.coalesce("perms", nothing)).alias("perms"))
-    want = expected.select(*keys, "role", F.array_sort(F.coalesce("perms", nothing)).alias("_want"))
+    perms = F.array_sort(F.array_distinct(F.coalesce("perms", nothing)))
+    have = acl.select(*keys, "role", perms.alias("perms")).distinct()
+    # A role that is expected more than once may have any of the lists.
+    want = expected.select(*keys, "role", perms.alias("perms")).groupBy(*keys, "role").agg(F.collect_set("perms").alias("_want"))
     return (
         have.join(want, [*keys, "role"], "left")
-        .where(F.col("perms") != F.coalesce("_want", nothing))
+        .where(~F.array_contains(F.coalesce("_want", F.array(nothing)), F.col("perms")))
         .select(*keys, "role", F.format_string(
             "Unexpected (%s,[%s])", F.col("role"), F.array_join("perms", ", ")).alias("warning"))
     )
@@ -54,14 +56,14 @@ def args_differences(args: DataFrame, expected: DataFrame, keys: Sequence[str] =
 def unmatched(values: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
     """Rows whose value matches none of the patterns (searched, not matched in full).
 
-    The allow-list becomes part of the filter, so nothing is joined or shuffled. An empty
-    list lets every row through.
+    Patterns are Python's (see :mod:`~assayworks.functions.patterns`). The allow-list becomes part
+    of the filter, so nothing is joined or shuffled. An empty list lets every row through.
     """
-    # One alternation looks at a value once; numbered groups must keep their own pattern.
-    numbered = [p for p in patterns if re.search(r"\\[1-9k]", p)]
-    joined = "|".join(f"(?:{p})" for p in patterns if p not in numbered)
-    tests = [*([joined] if joined else []), *numbered]
-    return values.where(~reduce(lambda a, b: a | b, [F.col(column).rlike(t) for t in tests], F.lit(False)))
+    # One alternation looks at a value once; groups that are referred to keep their own pattern.
+    alone = [p for p in patterns if re.search(REFERS, p) or re.match(r"\(\?[aiLmsux]+\)", p)]
+    joined = "|".join(f"(?:{java_pattern(p)})" for p in patterns if p not in alone)
+    tests = [*([joined] if joined else []), *[java_pattern(p) for p in alone]]
+    return values.where(~reduce(lambda a, b: a | b, [F.col(column).rlike(FLAGS + t) for t in tests], F.lit(False)))
 
 
 def without_any(values: DataFrame, column: str, parts: Sequence[str]) -> DataFrame:
@@ -69,36 +71,55 @@ def without_any(values: DataFrame, column: str, parts: Sequence[str]) -> DataFra
     return values.where(~reduce(lambda a, b: a | b, [F.col(column).contains(p) for p in parts], F.lit(False)))
 
 
-def unlisted(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str],
-             match: Callable[[Column, Column], Column], weight: str | None = None) -> DataFrame:
-    """Like the two above with an allow-list per key, held in a table (keys, allowed).
-
-    ``match(value, entry)`` decides a single comparison. Lists are cut into pieces of about
-    LIST_PIECE entries, so no list becomes one huge row: a value meets every piece of its
-    key's list and is unlisted when none of them has a match. ``values`` are distinct;
-    ``weight`` names their count column, if they have one.
-    """
+def _pieces(listing: DataFrame, allowed: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, _allowed): each key's list in pieces of about LIST_PIECE entries, so none is one huge row."""
     entries = listing.select(*keys, allowed).distinct()
     pieces = entries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / LIST_PIECE).alias("_pieces"))
-    lists = (
-        lookup_join(entries, pieces, keys, counted=listing)
-        .groupBy(*keys, F.pmod(F.xxhash64(allowed), F.col("_pieces")).alias("_piece"))
-        .agg(F.collect_set(allowed).alias("_allowed"))
+    return (
+        entries.join(pieces, list(keys)).groupBy(*keys, F.pmod(F.xxhash64(allowed), F.col("_pieces")).alias("_piece"))
+        .agg(F.array_sort(F.collect_set(allowed)).alias("_allowed")).drop("_piece")
     )
-    matched = F.coalesce(F.exists("_allowed", lambda entry: match(F.col(column), entry)), F.lit(False))
+
+
+def _without_match(values: DataFrame, pieces: DataFrame, keys: Sequence[str], match: Column) -> DataFrame:
+    """A value meets every piece of its key's list and stays when none of them has a match."""
     return (
-        lookup_join(values, lists, keys, "left", weight=weight).withColumn("_matched", matched)
+        values.join(pieces, list(keys), "left").withColumn("_matched", F.coalesce(match, F.lit(False)))
         .groupBy(*values.columns).agg(F.max("_matched").alias("_matched"))
         .where(~F.col("_matched")).drop("_matched")
     )
 
 
+def unlisted(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str],
+             match: Callable[[Column, Column], Column]) -> DataFrame:
+    """Like the two above with an allow-list per key, held in a table (keys, allowed).
+
+    ``match(value, entry)`` decides a single comparison. ``values`` are distinct.
+    """
+    return _without_match(values, _pieces(listing, allowed, keys), keys,
+                          F.exists("_allowed", lambda entry: match(F.col(column), entry)))
+
+
+def unlisted_patterns(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str]) -> DataFrame:
+    """The same for patterns. A piece becomes one alternation, made once per piece, so a value is
+    looked at once, and rows of a key that follow each other share the compiled pattern."""
+    pieces = _pieces(listing, allowed, keys)
+    alone = F.filter("_allowed", lambda p: p.rlike(REFERS) | p.rlike(r"^\(\?[aimsux]+\)"))
+    together = F.array_except("_allowed", alone)
+    folded = F.when(F.size(together) > 0, F.concat(
+        F.lit(FLAGS), F.array_join(F.transform(together, lambda p: F.concat(F.lit("(?:"), java_patterns(p), F.lit(")"))), "|")))
+    made = pieces.select(*keys, folded.alias("_folded"),
+                         F.transform(alone, lambda p: F.concat(F.lit(FLAGS), java_patterns(p))).alias("_alone"))
+    hit = F.coalesce(F.rlike(F.col(column), F.col("_folded")), F.lit(False)) | F.exists("_alone", lambda p: F.rlike(F.col(column), p))
+    return _without_match(values, made, keys, hit)
+
+
 def unexpected_jobs(jobs: DataFrame, expected: DataFrame) -> DataFrame:
     """Distinct (app_id, app_name, job) of ``jobs`` that ``expected`` (app_name, job) does
     not list."""
     return (
-        lookup_join(jobs.select("app_id", "app_name", "job").distinct(),
-                    expected.select("app_name", "job").distinct(), ["app_name", "job"], "left_anti")
+        jobs.select("app_id", "app_name", "job").distinct()
+        .join(expected.select("app_name", "job").distinct(), ["app_name", "job"], "left_anti")
         .select("app_id", "app_name", "job",
                 F.concat(F.lit("Unexpected job "), F.col("job")).alias("warning"))
     )
@@ -111,10 +132,10 @@ def new_jobs(jobs: DataFrame, previous: DataFrame) -> DataFrame:
     The final join is on (run, job), so a single busy application spreads over its jobs.
     """
     distinct = jobs.select("app_id", "job").distinct()
-    # One row per run on the right; a run with very many jobs is spread.
+    # One row per run on the right.
     known = previous.where(F.col("previous_app_id").isNotNull()).select(
         "app_id", "app_name", "previous_app_id")
-    now = lookup_join(distinct, known, ["app_id"])
+    now = distinct.join(known, ["app_id"])
     before = distinct.select(F.col("app_id").alias("previous_app_id"), "job")
     return (
         now.join(before, ["previous_app_id", "job"], "left_anti")

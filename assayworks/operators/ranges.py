@@ -1,9 +1,10 @@
 """Running values over one long order, without putting a whole key into one task.
 
-A plain window gives every key to a single task. Here the order is cut into balanced
-stretches: a window runs inside each (key, stretch), and one row per stretch carries what
-the earlier stretches hold. The cut points come from a sample; any cut points give the same
-result, the sample only balances the work.
+A plain window gives every key to a single task. Here Spark's range partitioning cuts the order
+into balanced stretches: a window runs inside each (key, stretch), and one row per stretch
+carries what the earlier stretches hold. The stretch of a row is written down with it, so later
+steps and retried tasks agree on it. There is one path for every size; nulls and NaN lie where
+Spark's sort puts them.
 """
 
 from __future__ import annotations
@@ -13,103 +14,67 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to this many rows one plain window is quicker than stretches.
-PLAIN_WINDOW_ROWS = 200_000
-#: Most stretches an order is cut into; also the size bound of the carried table per key.
-MAX_STRETCHES = 512
-
-Order = Sequence[tuple[str, bool]]  # (column without nulls, ascending)
-
-
-def cut_points(df: DataFrame, order: Order, rows: int | None = None,
-               stretches: int | None = None) -> list[tuple]:
-    """Balanced cut points of the order, or none when ``df`` is small."""
-    rows = df.count() if rows is None else rows
-    if stretches is None:
-        if rows <= PLAIN_WINDOW_ROWS:
-            return []
-        stretches = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stretches = max(1, min(stretches, MAX_STRETCHES))
-    fraction = min(1.0, 50.0 * stretches / max(rows, 1))
-    names = [name for name, _ in order]
-    sample = [tuple(row) for row in df.select(*names).sample(fraction, seed=17).take(200 * stretches)]
-    for position in reversed(range(len(order))):
-        sample.sort(key=lambda row: row[position], reverse=not order[position][1])
-    step = len(sample) / stretches
-    picked = [sample[int(step * i)] for i in range(1, stretches)] if sample else []
-    return list(dict.fromkeys(picked))
-
-
-def _precedes(order: Order, cut: tuple) -> Column:
-    """Row lies strictly before the cut point."""
-    test = F.lit(False)
-    for (name, ascending), bound in reversed(list(zip(order, cut))):
-        before = F.col(name) < F.lit(bound) if ascending else F.col(name) > F.lit(bound)
-        test = before | ((F.col(name) == F.lit(bound)) & test)
-    return test
-
-
-def stretch_of(order: Order, cuts: list[tuple]) -> Column:
-    """Number of the stretch a row falls in, found by binary search over the cut points."""
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(_precedes(order, cuts[middle]), search(low, middle)).otherwise(
-            search(middle + 1, high))
-
-    return search(0, len(cuts))
+from assayworks.session import settle, workspace
+
+Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
 
 def _sorted(order: Order) -> list[Column]:
     return [F.col(name).asc() if ascending else F.col(name).desc() for name, ascending in order]
 
 
+def stretched(df: DataFrame, order: Order, settled: bool = False) -> DataFrame:
+    """``df`` with ``_stretch``: rows of a lower stretch come before those of a higher one.
+
+    Runs at once and writes the table. Range partitioning reads its input twice (to sample it and
+    to cut it), so the input is written first unless it is a table already (``settled``). There
+    are as many stretches as shuffle partitions, or fewer of them where Spark joins small ones.
+    """
+    if not settled:
+        df = settle(df, "order")
+    path = workspace(df.sparkSession, "stretches")
+    cut = df.repartitionByRange(*_sorted(order)).withColumn("_stretch", F.spark_partition_id())
+    cut.write.parquet(path)
+    return df.sparkSession.read.schema(cut.schema).parquet(path)
+
+
 def last_before(df: DataFrame, keys: Sequence[str], order: Order, value: str, output: str,
-                cuts: list[tuple] | None = None) -> DataFrame:
+                settled: bool = False) -> DataFrame:
     """Add the latest non-null ``value`` among strictly earlier rows of the same key.
 
-    ``order`` must be ascending and unique within a key.
+    ``order`` must be unique within a key.
     """
-    cuts = cut_points(df, order) if cuts is None else cuts
-    inside = Window.partitionBy(*keys).orderBy(*_sorted(order)).rowsBetween(
-        Window.unboundedPreceding, -1)
-    if not cuts:
-        return df.withColumn(output, F.last(value, ignorenulls=True).over(inside))
-
-    staged = df.withColumn("_stretch", stretch_of(order, cuts))
+    staged = stretched(df, order, settled)
     within = Window.partitionBy(*keys, "_stretch").orderBy(*_sorted(order)).rowsBetween(
         Window.unboundedPreceding, -1)
-    moment = F.struct(*[F.col(name) for name, _ in order])
+    filled = staged.where(F.col(value).isNotNull())
+    # The last filled row of each key and stretch, then of all earlier stretches of the key.
+    last = F.last("_last", ignorenulls=True).over(
+        Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    latest = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(
+        *[F.col(n).desc() if ascending else F.col(n).asc() for n, ascending in order]))
+    ends = filled.withColumn("_nth", latest).where("_nth = 1").select(*keys, "_stretch", F.col(value).alias("_last"))
+    present = staged.select(*keys, "_stretch").distinct()
+    same = [present[k].eqNullSafe(ends[k]) for k in [*keys, "_stretch"]]
     carried = (
-        staged.groupBy(*keys, "_stretch")
-        .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), moment)).alias("_last"))
-        .withColumn("_carried", F.last("_last", ignorenulls=True).over(
-            Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
-        .drop("_last")
+        present.join(ends, same, "left").select(*[present[k] for k in [*keys, "_stretch"]], "_last")
+        .withColumn("_carried", last).drop("_last")
     )
+    carried = carried.withColumnsRenamed({k: f"_c_{k}" for k in [*keys, "_stretch"]})
+    met = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in [*keys, "_stretch"]]
     return (
-        staged.withColumn("_near", F.last(value, ignorenulls=True).over(within))
-        .join(carried, [*keys, "_stretch"], "left")
-        .withColumn(output, F.coalesce("_near", "_carried"))
-        .drop("_near", "_carried", "_stretch")
+        staged.withColumn("_near", F.last(value, ignorenulls=True).over(within)).join(carried, met, "left")
+        .withColumn(output, F.coalesce("_near", "_carried")).select(*df.columns, output)
     )
 
 
-def sum_before(df: DataFrame, order: Order, value: str, output: str,
-               cuts: list[tuple] | None = None) -> DataFrame:
+def sum_before(df: DataFrame, order: Order, value: str, output: str, settled: bool = False) -> DataFrame:
     """Add the sum of ``value`` over all rows strictly before, over the whole table.
 
-    ``order`` must be unique. With cut points the only single-task window sees one row per
-    stretch; without any the table is known to be small.
+    ``order`` must be unique. The only single-task window sees one row per stretch.
     """
-    cuts = cut_points(df, order) if cuts is None else cuts
+    staged = stretched(df, order, settled)
     nothing = F.lit(0)
-    before = Window.orderBy(*_sorted(order)).rowsBetween(Window.unboundedPreceding, -1)
-    if not cuts:
-        return df.withColumn(output, F.coalesce(F.sum(value).over(before), nothing))
-
-    staged = df.withColumn("_stretch", stretch_of(order, cuts))
     within = Window.partitionBy("_stretch").orderBy(*_sorted(order)).rowsBetween(
         Window.unboundedPreceding, -1)
     carried = (
@@ -118,10 +83,7 @@ def sum_before(df: DataFrame, order: Order, value: str, output: str,
             Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
         .select("_stretch", F.coalesce("_carried", nothing).alias("_carried"))
     )
-    # At most MAX_STRETCHES rows, hence the broadcast.
     return (
-        staged.withColumn("_near", F.coalesce(F.sum(value).over(within), nothing))
-        .join(F.broadcast(carried), "_stretch")
-        .withColumn(output, F.col("_near") + F.col("_carried"))
-        .drop("_near", "_carried", "_stretch")
+        staged.withColumn("_near", F.coalesce(F.sum(value).over(within), nothing)).join(carried, "_stretch")
+        .withColumn(output, F.col("_near") + F.col("_carried")).select(*df.columns, output)
     )

@@ -12,8 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayworks.operators.joins import lookup_join
-
 RUN = ["pipeline", "run_id"]
 
 
@@ -58,16 +56,16 @@ def report(results: DataFrame, tasks: Sequence[str]) -> DataFrame:
 def fleet_report(results: DataFrame, declared: DataFrame) -> DataFrame:
     """The same scores when every pipeline declares its own tasks in a table
     (pipeline, task_id). Task scores stay rows; see :func:`task_rows`."""
-    per_task = _latest_per_task(results, declared)
+    latest = results.groupBy(*RUN, "task_id").agg(F.max_by("score", "ended_at").alias("score"))
+    named = declared.distinct().withColumn("_declared", F.lit(True))
     n_tasks = declared.distinct().groupBy("pipeline").agg(F.count(F.lit(1)).alias("n_tasks"))
-    # Runs without any result of a declared task still get a row.
-    runs = results.groupBy(*RUN).agg(F.lit(None).cast("double").alias("score"))
+    # Runs without any result of a declared task keep a row: only its scores are left out.
+    score = F.when(F.col("_declared"), F.col("score"))
     totals = (
-        per_task.select(*RUN, "score").unionByName(runs).groupBy(*RUN)
-        .agg(F.min("score").alias("low"), F.product("score").alias("product"),
-             F.count("score").alias("n_scored"))
+        latest.join(named, ["pipeline", "task_id"], "left").groupBy(*RUN)
+        .agg(F.min(score).alias("low"), F.product(score).alias("product"), F.count(score).alias("n_scored"))
     )
-    joined = lookup_join(totals, n_tasks, ["pipeline"], "left", counted=results).fillna(0, ["n_tasks"])
+    joined = totals.join(n_tasks, ["pipeline"], "left").fillna(0, ["n_tasks"])
     open_tasks = F.col("n_tasks") - F.col("n_scored")
     return joined.select(
         *RUN,
@@ -76,16 +74,11 @@ def fleet_report(results: DataFrame, declared: DataFrame) -> DataFrame:
         open_tasks.cast("int").alias("n_incomplete"))
 
 
-def _latest_per_task(results: DataFrame, declared: DataFrame) -> DataFrame:
-    latest = results.groupBy(*RUN, "task_id").agg(F.max_by("score", "ended_at").alias("score"))
-    return lookup_join(latest, declared.distinct(), ["pipeline", "task_id"], "left_semi", counted=results)
-
-
 def task_rows(results: DataFrame, declared: DataFrame) -> DataFrame:
     """(pipeline, run_id, task_id, score) for every declared task of every run, null where
     the run has no score: the task list joined with the results."""
     runs = results.select(*RUN).distinct()
-    wanted = lookup_join(runs, declared.distinct(), ["pipeline"], counted=results)
+    wanted = runs.join(declared.distinct(), ["pipeline"])
     latest = results.groupBy(*RUN, "task_id").agg(F.max_by("score", "ended_at").alias("score"))
     return wanted.join(latest, [*RUN, "task_id"], "left")
 
@@ -93,3 +86,16 @@ def task_rows(results: DataFrame, declared: DataFrame) -> DataFrame:
 def incomplete_tasks(results: DataFrame, declared: DataFrame) -> DataFrame:
     """Declared tasks without a score, one row each."""
     return task_rows(results, declared).where(F.col("score").isNull()).select(*RUN, "task_id")
+
+
+def task_warnings(results: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(pipeline, run_id, task_id, score, n_warnings, warning, times): the report of a run's tasks with
+    what each warned of, one row per distinct warning and one with null for a task without any.
+
+    Equal warnings of a task come once, with their times added up. A task tried more than once
+    is reported with its latest attempt.
+    """
+    latest = results.groupBy(*RUN, "task_id").agg(F.max_by(F.struct("score", "n_warnings"), "ended_at").alias("last"))
+    found = warnings.groupBy(*RUN, "task_id", "warning").agg(F.sum("times").alias("times"))
+    return latest.join(found, [*RUN, "task_id"], "left").select(
+        *RUN, "task_id", "last.score", "last.n_warnings", "warning", "times")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayworks.operators.scoring import row_columns
+
 
 class Rule(NamedTuple):
     """``key`` violates the rule when its value equals ``bad``; ``default`` stands in for an
@@ -43,8 +44,6 @@ SCHEDULER = [
     Rule("kubernetes.verify_ssl", "False", "False", "SSL cert. check is disabled", 0.1),
 ]
 
-#: Rules per aggregation; a longer rule list runs as several of them.
-RULES_PER_PASS = 100
 #: A rule table has to be shorter than this.
 MOST_RULES = 10_000
 
@@ -61,37 +60,30 @@ def rules_from_table(table: DataFrame) -> list[Rule]:
     return [Rule(*row) for row in rows]
 
 
-def rule_violations(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],
-                    keys: Sequence[str] = ("system",), labels: Sequence[str] | None = None) -> DataFrame:
-    """One row (keys, key, warning, score) per violated rule of each system.
+def _judged(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule], keys: Sequence[str],
+            labels: Sequence[str] | None) -> DataFrame:
+    """One row per system with ``hits``, its violated rules.
 
-    Instead of pairing every system with every rule, each system is aggregated once into
-    two flags per rule (present, present with the bad value), which combine map-side.
-    ``labels`` names each rule in a column ``label``.
+    Instead of pairing every system with every rule, each system is aggregated once into two
+    values per rule, which combine map-side: that is the only shuffle. With a column
+    ``position`` in the entries the last value of a key counts, as in a file read top to bottom;
+    without one any bad value does.
     """
     if not rules:
         raise ValueError("no rules given")
-    passes = [
-        _violations_in_one_pass(systems, entries, rules[i:i + RULES_PER_PASS], keys,
-                                labels and labels[i:i + RULES_PER_PASS])
-        for i in range(0, len(rules), RULES_PER_PASS)
-    ]
-    return reduce(lambda a, b: a.unionByName(b), passes)
-
-
-def _violations_in_one_pass(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],
-                            keys: Sequence[str], labels: Sequence[str] | None) -> DataFrame:
-    relevant = entries.where(F.col("key").isin([rule.key for rule in rules])).select(*keys, "key", "value")
-    listed = systems.select(
-        *keys, F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+    ordered = "position" in entries.columns
+    text, place = F.lit(None).cast("string"), F.lit(None).cast("long")
+    relevant = entries.where(F.col("key").isin([rule.key for rule in rules])).select(
+        *keys, "key", "value", (F.col("position") if ordered else place).cast("long").alias("position"), F.lit(False).alias("listed"))
+    listed = systems.select(*keys, text.alias("key"), text.alias("value"), place.alias("position"), F.lit(True).alias("listed"))
     flags = []
     for number, rule in enumerate(rules):
-        here = F.col("key") == rule.key
-        flags += [
-            F.max(F.coalesce(here, F.lit(False))).alias(f"present_{number}"),
-            F.max(F.coalesce(here & (F.col("value") == rule.bad), F.lit(False))).alias(f"bad_{number}"),
-        ]
-    judged = listed.unionByName(relevant).groupBy(*keys).agg(*flags)
+        here = F.coalesce(F.col("key") == rule.key, F.lit(False))
+        bad = F.coalesce(F.col("value") == rule.bad, F.lit(False))
+        flags += [F.max(here).alias(f"present_{number}"),
+                  (F.max_by(F.when(here, bad), F.when(here, F.struct("position", bad))) if ordered
+                   else F.max(here & bad)).alias(f"bad_{number}")]
+    wide = listed.unionByName(relevant).groupBy(*keys).agg(F.max("listed").alias("listed"), *flags).where("listed")
 
     def hit(number: int, rule: Rule) -> Column:
         fields = [F.lit(rule.key).alias("key"), F.lit(rule.warning).alias("warning"),
@@ -99,7 +91,38 @@ def _violations_in_one_pass(systems: DataFrame, entries: DataFrame, rules: Seque
         if labels:
             fields.append(F.lit(labels[number]).alias("label"))
         absent = ~F.col(f"present_{number}") & F.lit(rule.default == rule.bad)
-        return F.when(F.col(f"bad_{number}") | absent, F.struct(*fields))
+        return F.when(F.coalesce(F.col(f"bad_{number}"), F.lit(False)) | absent, F.struct(*fields))
 
     hits = F.array_compact(F.array(*[hit(number, rule) for number, rule in enumerate(rules)]))
-    return judged.select(*keys, F.explode(hits).alias("hit")).select(*keys, "hit.*")
+    return wide.select(*keys, hits.alias("hits"))
+
+
+def rule_violations(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],
+                    keys: Sequence[str] = ("system",), labels: Sequence[str] | None = None) -> DataFrame:
+    """One row (keys, key, warning, score) per violated rule of each system; ``labels`` names each
+    rule in a column ``label``."""
+    return _judged(systems, entries, rules, keys, labels).select(*keys, F.explode("hits").alias("hit")).select(*keys, "hit.*")
+
+
+def rule_scores(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule],
+                keys: Sequence[str] = ("system",), labels: Sequence[str] | None = None) -> DataFrame:
+    """(keys, n_warnings, score) of every system, and per ``label`` if the rules have any, computed
+    in the row that judges it."""
+    judged = _judged(systems, entries, rules, keys, labels)
+
+    def score(hits: Column) -> list[Column]:
+        low = F.array_min(F.transform(hits, lambda h: h["score"]))
+        return [F.size(hits).cast("long").alias("n_warnings"), F.least(F.coalesce(low, F.lit(1.0)), F.lit(1.0)).alias("score")]
+
+    if not labels:
+        return judged.select(*keys, *score(F.col("hits")))
+    each = judged.select(*keys, "hits", F.explode(F.array(*[F.lit(n) for n in dict.fromkeys(labels)])).alias("label"))
+    return each.select(*keys, "label", *score(F.filter("hits", lambda h: h["label"] == F.col("label"))))
+
+
+def rule_rows(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> DataFrame:
+    """Every system's own row and one per violated rule (see ``scoring.ROW``)."""
+    own = F.struct(*row_columns(score=1.0))
+    hits = F.transform("hits", lambda h: F.struct(*row_columns(h["warning"], 1, h["score"])))
+    return _judged(systems, entries, rules, keys, None).select(
+        *keys, F.explode(F.concat(F.array(own), hits)).alias("row")).select(*keys, "row.*")

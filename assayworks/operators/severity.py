@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayworks.functions.text import strip
-from assayworks.operators.joins import lookup_join
+from assayworks.operators.scoring import row_columns, scored, subject_rows, warning_rows
 from assayworks.schemas import SCAN_REPORT
 
 # Message classes and the score each leads to; the prefix of advisory ids;
@@ -21,24 +21,20 @@ UNRATED_SCORE = 0.5
 DEFAULT_CVSS = 10.0
 
 
-def lint_scores(files: DataFrame, findings: DataFrame, keys: Sequence[str] = ("file_path",)) -> DataFrame:
-    """Score per file from the worst class of message found in it."""
-    kind = F.col("type")
-    listed = files.select(*keys, F.lit(None).cast("string").alias("type"), F.lit(0).alias("hit"))
-    found = findings.select(*keys, "type", F.lit(1).alias("hit"))
+def lint_score(kind: Column) -> Column:
+    """The score a message class leads to; a file has the worst of its messages."""
     return (
-        listed.unionByName(found).groupBy(*keys)
-        .agg(F.sum("hit").alias("n_warnings"),
-             F.max(F.coalesce(kind.isin(LINT_BROKEN), F.lit(False))).alias("broken"),
-             F.max(F.coalesce(kind.isin(LINT_WEAK), F.lit(False))).alias("weak"))
-        .select(*keys, "n_warnings",
-                F.when(F.col("n_warnings") == 0, LINT_SCORES["clean"])
-                .when(F.col("broken"), LINT_SCORES["broken"])
-                .when(F.col("weak"), LINT_SCORES["weak"])
-                .otherwise(LINT_SCORES["style"]).alias("score"))
+        F.when(kind.isin(LINT_BROKEN), LINT_SCORES["broken"]).when(kind.isin(LINT_WEAK), LINT_SCORES["weak"])
+        .otherwise(LINT_SCORES["style"])
     )
 
 
+def lint_scores(files: DataFrame, findings: DataFrame, keys: Sequence[str] = ("file_path",)) -> DataFrame:
+    """Score per file from the worst class of message found in it."""
+    found = warning_rows(findings.withColumn("warning", F.col("type")), keys, lint_score(F.col("type")))
+    return scored(subject_rows(files, keys).unionByName(found), keys)
+
+
 def known_cves(findings: DataFrame, advisories: DataFrame) -> DataFrame:
     """Findings (…, lib, advisory_id) with the CVEs their advisories name.
 
@@ -49,40 +45,43 @@ def known_cves(findings: DataFrame, advisories: DataFrame) -> DataFrame:
     repeated = prefixed.groupBy(*prefixed.columns).agg(F.count(F.lit(1)).alias("times"))
     named = advisories.where(F.col("cve").isNotNull()).groupBy("lib", "advisory_id", "cve").agg(
         F.count(F.lit(1)).alias("_copies"))
-    return lookup_join(repeated, named, ["lib", "advisory_id"], weight="times").withColumn(
+    return repeated.join(named, ["lib", "advisory_id"]).withColumn(
         "times", F.col("times") * F.col("_copies")).drop("_copies")
 
 
 def rated_cves(cves: DataFrame, scores: DataFrame) -> DataFrame:
     """Add the score of each CVE, null when it has none."""
-    return lookup_join(cves, scores.select("cve", "score"), ["cve"], "left")
+    return cves.join(scores.select("cve", "score"), ["cve"], "left")
 
 
-def dependency_scores(projects: DataFrame, findings: DataFrame, advisories: DataFrame,
-                      cve_scores: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
-    """1 - worst CVE score / 10; 0.5 when nothing is rated; 1.0 without findings.
+def rated_findings(findings: DataFrame, advisories: DataFrame, cve_scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct findings (keys, lib, advisory_id, times, risk, warning); risk is null where nothing is rated.
 
-    Only the worst score counts, so the advisory table is reduced to one row per advisory
-    before the (much larger) findings meet it, and repeated findings are counted, not joined.
+    Only the worst score counts, so the advisory table is reduced to one row per advisory before
+    the (much larger) findings meet it, and repeated findings are counted, not joined.
     """
     worst = (
-        rated_cves(advisories.where(F.col("cve").isNotNull()).select("lib", "advisory_id", "cve").distinct(),
-                   cve_scores)
+        rated_cves(advisories.where(F.col("cve").isNotNull()).select("lib", "advisory_id", "cve").distinct(), cve_scores)
         .groupBy("lib", "advisory_id").agg(F.max(F.col("score") / 10.0).alias("risk"))
     )
-    prefixed = findings.select(
-        *keys, "lib", F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id")).alias("advisory_id"))
-    repeated = prefixed.groupBy(*keys, "lib", "advisory_id").agg(F.count(F.lit(1)).alias("hits"))
-    rated = lookup_join(repeated, worst, ["lib", "advisory_id"], "left", weight="hits")
-    listed = projects.select(*keys, F.lit(0).cast("long").alias("hits"), F.lit(None).cast("double").alias("risk"))
-    return (
-        listed.unionByName(rated.select(*keys, "hits", "risk")).groupBy(*keys)
-        .agg(F.sum("hits").alias("n_warnings"), F.max("risk").alias("risk"))
-        .select(*keys, "n_warnings",
-                F.when(F.col("n_warnings") == 0, 1.0)
-                .when(F.col("risk").isNull(), UNRATED_SCORE)
-                .otherwise(F.lit(1.0) - F.col("risk")).alias("score"))
-    )
+    repeated = findings.groupBy(*keys, "lib", F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id")).alias("advisory_id")).agg(
+        F.count(F.lit(1)).alias("times"))
+    plain = F.substring(F.col("advisory_id"), len(ADVISORY_PREFIX) + 1, 1_000)
+    return repeated.join(worst, ["lib", "advisory_id"], "left").select(
+        *keys, "lib", "advisory_id", "times", "risk", F.concat_ws(" ", "lib", plain).alias("warning"))
+
+
+def dependency_rows(projects: DataFrame, findings: DataFrame, advisories: DataFrame, cve_scores: DataFrame,
+                    keys: Sequence[str]) -> DataFrame:
+    rated = rated_findings(findings, advisories, cve_scores, keys)
+    return subject_rows(projects, keys).unionByName(
+        warning_rows(rated, keys, F.lit(1.0) - F.col("risk"), UNRATED_SCORE))
+
+
+def dependency_scores(projects: DataFrame, findings: DataFrame, advisories: DataFrame,
+                      cve_scores: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
+    """1 - worst CVE score / 10; 0.5 when nothing is rated; 1.0 without findings."""
+    return scored(dependency_rows(projects, findings, advisories, cve_scores, keys), keys)
 
 
 def scan_documents(scans: DataFrame, report: str = "report") -> DataFrame:
@@ -151,3 +150,19 @@ def scan_hosts(scans: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFram
 
     rows = F.when(F.col("returncode") != 0, F.array(code)).otherwise(F.transform(F.map_entries("data"), host))
     return scans.select(*keys, F.explode(rows).alias("row")).select(*keys, "row.*")
+
+
+def scan_rows(scans: DataFrame, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
+    """A scan's own row and one per host, made where the report lies (see ``scoring.ROW``)."""
+    failed = F.col("returncode") != 0
+
+    def host(entry: Column) -> Column:
+        found = entry["value"]
+        worst = F.array_max(F.transform(
+            F.map_values(found["vulnerabilities"]), lambda v: F.coalesce(v["cvss"], F.lit(DEFAULT_CVSS)) * 0.1))
+        return F.struct(*row_columns(F.concat_ws(" ", entry["key"], F.to_json(found)), 1, F.lit(1.0) - F.coalesce(worst, F.lit(0.0))))
+
+    code = F.struct(*row_columns(F.concat(F.lit("returncode "), F.col("returncode").cast("string")), 1, 0.0))
+    hosts = F.when(failed, F.array(code)).otherwise(F.coalesce(F.transform(F.map_entries("data"), host), F.slice(F.array(code), 1, 0)))
+    own = F.struct(*row_columns(score=1.0, unknown=~failed & ~F.coalesce(F.col("readable"), F.lit(False))))
+    return scans.select(*keys, F.explode(F.concat(F.array(own), hosts)).alias("row")).select(*keys, "row.*")

@@ -21,7 +21,6 @@ class Task(NamedTuple):
     check: str
     tables: Mapping[str, str] = {}
     params: Mapping[str, Any] = {}
-    phase: str = "pre-execution-checks"
 
 
 class Registry:
@@ -62,10 +61,10 @@ class Registry:
 
 def _job_log(app_jobs, expected) -> Outcome:
     """The job log check with the application as pipeline and its id as run."""
-    results, warnings = checks.job_log_check(
+    outcome = checks.job_log_check(
         app_jobs.withColumnsRenamed({"pipeline": "app_name", "run_id": "app_id"}), expected)
     named = {"app_name": "pipeline", "app_id": "run_id"}
-    return Outcome(results.withColumnsRenamed(named), warnings.withColumnsRenamed(named))
+    return Outcome(*[frame.withColumnsRenamed(named) for frame in outcome])
 
 
 def standard_registry() -> Registry:

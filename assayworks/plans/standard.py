@@ -91,6 +91,5 @@ def assured_training_plan(reads_input: bool, user: str, group: str = "hadoop") -
     ]
     if reads_input:
         before.insert(5, Task("read_permission_check", "can_read", {"files": "inputs"}, who))
-    after = [Task("spark_logs_check", "job_log", {"app_jobs": "app_jobs", "expected": "expected_jobs"},
-                  phase="post-execution-checks")]
+    after = [Task("spark_logs_check", "job_log", {"app_jobs": "app_jobs", "expected": "expected_jobs"})]
     return before + after

@@ -4,72 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-CONFIG_ENTRIES = T.StructType([
-    T.StructField("system", T.StringType()),
-    T.StructField("key", T.StringType()),
-    T.StructField("value", T.StringType()),
-])
-
-SOURCE_TEXTS = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("text", T.StringType()),
-])
-
-ACL_ENTRIES = T.StructType([
-    T.StructField("object", T.StringType()),
-    T.StructField("role", T.StringType()),
-    T.StructField("perms", T.ArrayType(T.StringType())),
-])
-
-TASK_ARGS = T.StructType([
-    T.StructField("task", T.StringType()),
-    T.StructField("arg", T.StringType()),
-    T.StructField("value", T.StringType()),
-])
-
-FILE_PERMS = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("owner", T.StringType()),
-    T.StructField("group", T.StringType()),
-    T.StructField("perm", T.IntegerType()),
-])
-
-LINT_FINDINGS = T.StructType([
-    T.StructField("file_path", T.StringType()),
-    T.StructField("type", T.StringType()),
-])
-
-DEP_FINDINGS = T.StructType([
-    T.StructField("project", T.StringType()),
-    T.StructField("lib", T.StringType()),
-    T.StructField("advisory_id", T.StringType()),
-])
-
-ADVISORY_DB = T.StructType([
-    T.StructField("lib", T.StringType()),
-    T.StructField("advisory_id", T.StringType()),
-    T.StructField("cve", T.StringType()),
-])
-
-CVE_SCORES = T.StructType([
-    T.StructField("cve", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-])
-
-APP_JOBS = T.StructType([
-    T.StructField("app_id", T.StringType()),
-    T.StructField("app_name", T.StringType()),
-    T.StructField("started_at", T.TimestampType()),
-    T.StructField("job_id", T.LongType()),
-    T.StructField("job_name", T.StringType()),
-])
-
-SCANS = T.StructType([
-    T.StructField("scan_id", T.StringType()),
-    T.StructField("returncode", T.IntegerType()),
-    T.StructField("report", T.StringType()),
-])
-
 #: One vulnerability report: host -> vulnerability id -> severity.
 SCAN_REPORT = T.StructType([
     T.StructField("data", T.MapType(T.StringType(), T.StructType([
@@ -80,15 +14,6 @@ SCAN_REPORT = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
-TASK_LOG = T.StructType([
-    T.StructField("dag_id", T.StringType()),
-    T.StructField("task_id", T.StringType()),
-    T.StructField("execution_date", T.TimestampType()),
-    T.StructField("start_date", T.TimestampType()),
-    T.StructField("end_date", T.TimestampType()),
-    T.StructField("state", T.StringType()),
-])
-
 #: Probe timings as shipped: column names and order of the CSV file.
 PROBE_TIMINGS_CSV = T.StructType([
     T.StructField("row", T.IntegerType()),

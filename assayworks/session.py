@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Hot keys are split even where that costs one more shuffle behind the join.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -33,14 +35,15 @@ def local_session(app_name: str = "assayworks", cores: str | int = "*",
 def workspace(spark: SparkSession, label: str) -> str:
     """A fresh folder for tables a job writes and reads back.
 
-    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``. Only a
-    one-machine session without that setting falls back to a temporary folder.
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``. A session on one
+    machine without that setting gets a folder of its own, which the setting then names.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="assayworks-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/assayworks/{label}-{uuid.uuid4().hex}"
 
 
@@ -54,3 +57,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = workspace(df.sparkSession, label)
     df.hint("rebalance").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    files = df.inputFiles()
+    if not files:
+        return
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if "/assayworks/" in folder.toString():
+        folder.getFileSystem(conf).delete(folder, True)

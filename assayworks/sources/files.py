@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from assayworks.functions.perms import symbolic_to_octal
 from assayworks.functions.text import strip
-from assayworks.operators.joins import lookup_join
+from assayworks.session import settle
 
 _FILE = "_metadata.file_path"
 
@@ -45,14 +45,19 @@ def read_source_records(spark: SparkSession, path: str | Sequence[str], separato
 
 
 def read_requirements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, lib, version) from ``name==version`` lines; comments and blank lines drop out."""
+    """(path, lib, version): one row per requirement; comments and blank lines drop out.
+
+    ``name==version`` gives both; any other line is passed on with a null version and what names
+    it (up to the first comparison, bracket, marker or blank) as lib.
+    """
     pinned = r"^([\w.-]+)\s*==\s*(.+)$"
     line = F.trim(F.split(F.col("value"), "#", 2)[0])
+    is_pinned = F.col("line").rlike(pinned)
     return (
-        spark.read.text(path).select(F.col(_FILE).alias("path"), line.alias("line"))
-        .where(F.col("line").rlike(pinned))
-        .select("path", F.regexp_extract("line", pinned, 1).alias("lib"),
-                F.regexp_extract("line", pinned, 2).alias("version"))
+        spark.read.text(path).select(F.col(_FILE).alias("path"), line.alias("line")).where(F.col("line") != "")
+        .select("path", F.when(is_pinned, F.regexp_extract("line", pinned, 1)).otherwise(
+                    F.regexp_extract("line", r"^([^\s<>=!~;\[@]*)", 1)).alias("lib"),
+                F.when(is_pinned, F.regexp_extract("line", pinned, 2)).alias("version"))
     )
 
 
@@ -129,23 +134,17 @@ def read_event_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     job; an application without jobs has one row with null job columns.
 
     One log belongs to one application. A job is named after its last stage, as the history
-    server does.
+    server does. Jobs of a log without a start event have null application columns. Reads the
+    logs at once: the events kept are written as a table.
     """
-    events = _events(spark, path)
-    apps = (
-        events.where(F.col("Event") == _APP_START)
-        .groupBy("path").agg(F.min(F.struct(
-            F.col("Timestamp").alias("at"), F.col("App ID").alias("app_id"),
-            F.col("App Name").alias("app_name"))).alias("app"))
-    )
-    jobs = events.where(F.col("Event") == _JOB_START).select(
-        "path", F.col("Job ID").alias("job_id"),
-        F.array_max(F.col("Stage Infos"))["Stage Name"].alias("job_name"))
-    # The start event and the jobs of a log meet by path; a busy application is spread.
-    running = lookup_join(jobs, apps, ["path"])
-    idle = apps.join(jobs.select("path").distinct(), "path", "left_anti").select(
-        "app", F.lit(None).cast("long").alias("job_id"), F.lit(None).cast("string").alias("job_name"))
-    return running.select("app", "job_id", "job_name").unionByName(idle).select(
+    # Parsed once, into a narrow table of start and job events.
+    events = settle(_events(spark, path).where(F.col("Event").isin(_APP_START, _JOB_START)).select(
+        "path", (F.col("Event") == _JOB_START).alias("is_job"),
+        F.struct(F.col("Timestamp").alias("at"), F.col("App ID").alias("app_id"), F.col("App Name").alias("app_name")).alias("app"),
+        F.col("Job ID").alias("job_id"), F.array_max(F.col("Stage Infos"))["Stage Name"].alias("job_name")), "events")
+    apps = events.where(~F.col("is_job")).groupBy("path").agg(F.min("app").alias("app"))
+    jobs = events.where("is_job").select("path", "job_id", "job_name")
+    return jobs.join(apps, "path", "full_outer").select(
         "app.app_id", "app.app_name", F.timestamp_millis("app.at").alias("started_at"),
         "job_id", "job_name")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,21 +19,31 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).json(path)
 
 
-def publish(results: DataFrame, warnings: DataFrame, folder: str) -> None:
+def publish(results: DataFrame, warnings: DataFrame, runs: DataFrame, folder: str) -> None:
     """Append check results and their warnings, where later runs and reports find them.
 
-    Results are partitioned by the day a run started, so a busy pipeline does not make one
-    huge directory and history is pruned by date. The rows of a day are rebalanced into few
-    files, and a very busy day into more of them.
+    Both are partitioned by the day a run started (``runs`` has it for the warnings), so a busy
+    pipeline does not make one huge directory and history is pruned by date. The rows of a day are
+    rebalanced into few files, and a very busy day into more of them.
     """
     by_day = results.select(*CHECK_RESULTS.names, F.to_date("started_at").alias("day"))
     by_day.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(f"{folder}/results")
-    warnings.select(*CHECK_WARNINGS.names).hint("rebalance").write.mode("append").parquet(f"{folder}/warnings")
+    started = runs.select("pipeline", "run_id", F.to_date("started_at").alias("day")).distinct()
+    dated = warnings.join(started, ["pipeline", "run_id"]).select(*CHECK_WARNINGS.names, "day")
+    dated.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(f"{folder}/warnings")
+
+
+def _published(spark: SparkSession, path: str, schema: T.StructType, first: date | None, last: date | None) -> DataFrame:
+    table = spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())])).parquet(path)
+    if first is not None:
+        table = table.where(F.col("day") >= F.lit(first))
+    return table if last is None else table.where(F.col("day") <= F.lit(last))
 
 
-def published_results(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/results")
+def published_results(spark: SparkSession, folder: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Published results of runs that started on the days from ``first`` to ``last``; only those are read."""
+    return _published(spark, f"{folder}/results", CHECK_RESULTS, first, last)
 
 
-def published_warnings(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/warnings")
+def published_warnings(spark: SparkSession, folder: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    return _published(spark, f"{folder}/warnings", CHECK_WARNINGS, first, last)

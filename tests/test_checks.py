@@ -40,10 +40,10 @@ def test_all_rule_sets_on_an_empty_system(spark):
     assert together == {name: len(ruleset) for name, ruleset in sets.items()}
 
 
-def test_many_rules_run_in_several_passes(spark):
-    many = [R.Rule(f"k{i}", "x", "x", f"w{i}", 0.5) for i in range(R.RULES_PER_PASS + 5)]
+def test_many_rules(spark):
+    many = [R.Rule(f"k{i}", "x", "x", f"w{i}", 0.5) for i in range(105)]
     systems = spark.createDataFrame([("s",)], "system string")
-    entries = spark.createDataFrame([("s", "k0", "y"), ("s", f"k{R.RULES_PER_PASS}", "y")], "system string, key string, value string")
+    entries = spark.createDataFrame([("s", "k0", "y"), ("s", "k100", "y")], "system string, key string, value string")
     assert config_check(systems, entries, many).results.first().n_warnings == len(many) - 2
     with pytest.raises(ValueError):
         R.rule_violations(systems, entries, [])
@@ -57,10 +57,22 @@ def test_rules_from_a_table(spark):
         R.rules_from_table(long)
 
 
+def test_the_last_value_of_a_key_counts(spark, rows):
+    rules = [R.Rule("k", "bad", "bad", "w", 0.1)]
+    entries = spark.createDataFrame([("a", "k", "bad", 1), ("a", "k", "fine", 2), ("b", "k", "fine", 1), ("b", "k", "bad", 2),
+                                     ("c", "k", "bad", 1), ("c", "k", None, 2), ("no subject", "k", "bad", 1)],
+                                    "system string, key string, value string, position int")
+    systems = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "system string")
+    assert rows(config_check(systems, entries, rules).results) == [("a", 0, 1.0), ("b", 1, 0.1), ("c", 0, 1.0), ("d", 1, 0.1)]
+    # Without positions any bad value does.
+    assert rows(config_check(systems, entries.drop("position"), rules).results) == [
+        ("a", 1, 0.1), ("b", 1, 0.1), ("c", 1, 0.1), ("d", 1, 0.1)]
+
+
 def test_acl_is_one_sided(spark, rows):
     schema = "object string, role string, perms array<string>"
     acl = spark.createDataFrame(
-        [("d", "op", ["b", "a"]), ("d", "none", None), ("d", "extra", ["x"]), ("e", "op", ["a"]), ("f", "op", [])], schema)
+        [("d", "op", ["b", "a", "a"]), ("d", "none", None), ("d", "extra", ["x"]), ("e", "op", ["a"]), ("f", "op", [])], schema)
     expected = spark.createDataFrame([("d", "op", ["a", "b"]), ("d", "missing", ["z"]), ("e", "op", None)], schema)
     objects = spark.createDataFrame([("d",), ("e",), ("f",), ("g",)], "object string")
     outcome = acl_check(objects, acl, expected)

@@ -103,15 +103,48 @@ def test_kept_results_stand_for_new_ones(spark, tmp_path):
     plan = [t for t in assured_training_plan(False, "etl") if t.task_id in ("python_code_check_spark", "acl_config_check")]
     assure(plan, runs, tables, str(tmp_path))
     history = published_results(spark, str(tmp_path)).withColumn("score", F.lit(0.42))
+    # A result that is not earlier than the run must not stand for it.
+    history = history.unionByName(history.withColumn("run_id", F.lit("r3")).withColumn("score", F.lit(0.9)).withColumn(
+        "started_at", F.timestamp_seconds(F.lit(200))))
     later = runs.withColumn("run_id", F.lit("r2")).withColumn("started_at", F.timestamp_seconds(F.lit(200))).unionByName(
         runs.limit(0)).unionByName(spark.createDataFrame([("new", "r2")], "pipeline string, run_id string").withColumn(
             "started_at", F.timestamp_seconds(F.lit(200))))
     lint = tables["lint"].withColumn("run_id", F.lit("r2"))
     acl = tables["acl"].withColumn("run_id", F.lit("r2"))
-    results = run_checks(plan, later, {**tables, "lint": lint, "acl": acl}, history, ["python_code_check_spark"]).results
+    warned = published_warnings(spark, str(tmp_path))
+    results, warnings, _ = run_checks(plan, later, {**tables, "lint": lint, "acl": acl}, history, ["python_code_check_spark"],
+                                      history_warnings=warned)
+    assert sorted((r.pipeline, r.run_id, r.task_id, r.warning) for r in warnings.collect()) == [
+        ("bad", "r2", "acl_config_check", "Unexpected (Op,[can_edit])"), ("bad", "r2", "python_code_check_spark", "error")]
     scores = {(r.pipeline, r.task_id): r.score for r in results.collect()}
     lint_task, acl_task = "python_code_check_spark", "acl_config_check"
     assert scores == {
         ("good", lint_task): 0.42, ("bad", lint_task): 0.42, ("new", lint_task): 1.0,
         ("good", acl_task): 1.0, ("bad", acl_task): 0.0, ("new", acl_task): 1.0}
     assert RUN == ["pipeline", "run_id"]
+
+
+def test_evidence_is_evaluated_once_and_only_needed_days_are_read(spark, tmp_path):
+    runs, tables = evidence(spark)
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(value):
+        counted.add(1)
+        return value
+
+    plan = [t for t in assured_training_plan(False, "etl") if t.task_id == "python_code_check_spark"]
+    assure(plan, runs, {**tables, "lint": tables["lint"].withColumn("type", seen("type"))}, str(tmp_path)).collect()
+    assert counted.value == tables["lint"].count()
+    later = runs.withColumn("started_at", F.timestamp_seconds(F.lit(10 * 86_400)))
+    report = assure(plan, later, tables, str(tmp_path))
+    plan_text = report._jdf.queryExecution().executedPlan().toString()
+    assert "1970-01-11" in plan_text and "PartitionFilters: [isnotnull(day" in plan_text
+
+
+def test_warnings_of_keys_without_a_subject_are_left_out(spark, rows):
+    from assayworks.operators.scoring import lowest_score
+
+    subjects = spark.createDataFrame([("a",), ("b",)], "k string")
+    violations = spark.createDataFrame([("a", 0.5), ("zz", 0.1)], "k string, score double")
+    assert rows(lowest_score(subjects, violations, ["k"])) == [("a", 1, 0.5), ("b", 0, 1.0)]

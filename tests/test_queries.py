@@ -11,7 +11,7 @@ from tests.oracle import connect, differences
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 CATALOG = load()
-TRAINING = {"train_classifier", "train_kmeans", "silhouette", "cv_metrics", "model_roundtrip", "ml_run_summary"}
+TRAINING = {"train_classifier", "train_kmeans", "silhouette", "cv_metrics", "ml_run_summary"}
 
 
 @pytest.fixture(scope="module")

@@ -1,95 +1,65 @@
-"""Stretched windows and spread joins against their plain forms."""
+"""Stretched windows against plain loops, and joins with hot keys."""
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from assayworks.operators.joins import lookup_join
-from assayworks.operators.ranges import cut_points, last_before, stretch_of, sum_before
+from assayworks.operators.ranges import last_before, stretched, sum_before
 
 
 def history(spark, n=3_000):
-    """One key holds a third of all rows; many rows share a moment."""
+    """One key holds a third of all rows; many rows share a moment, some have none or NaN."""
     rng = random.Random(1)
     data = [
-        ("hot" if rng.random() < 0.34 else f"k{rng.randint(0, 40)}", rng.randint(0, 200), i,
-         i if rng.random() < 0.3 else None)
+        (rng.choice(["hot", *[f"k{i}" for i in range(40)], None]) if rng.random() > 0.34 else "hot",
+         rng.choice([None, math.nan, *map(float, range(200))]), i, i if rng.random() < 0.3 else None)
         for i in range(n)
     ]
-    return data, spark.createDataFrame(data, "key string, at int, id int, value int").repartition(7)
+    return data, spark.createDataFrame(data, "key string, at double, id int, value int").repartition(7)
 
 
-def test_last_before_is_the_same_with_any_cut_points(spark):
+def spark_order(at, ascending=True):
+    """Nulls first and NaN last, or the other way round."""
+    rank = (0, 0.0) if at is None else (2, 0.0) if math.isnan(at) else (1, at)
+    return rank if ascending else (-rank[0], -rank[1])
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("rows_left", [3_000, 5, 0])
+def test_last_before(spark, ascending, rows_left):
     data, df = history(spark)
-    order = [("at", True), ("id", True)]
+    data, df = data[:rows_left], df.where(F.col("id") < rows_left)
     expected = {}
     for key in {row[0] for row in data}:
         last = None
-        for row in sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2])):
+        for row in sorted((r for r in data if r[0] == key), key=lambda r: (spark_order(r[1], ascending), r[2])):
             expected[row[2]] = last
             last = row[3] if row[3] is not None else last
-    sampled = cut_points(df, order, stretches=9)
-    assert len(sampled) == 8
-    for cuts in ([], sampled, [(0, 0)], [(50, 10), (50, 2_000), (51, 0), (199, 5)]):
-        found = last_before(df, ["key"], order, "value", "last", cuts)
-        assert {row.id: row["last"] for row in found.collect()} == expected
+    found = last_before(df, ["key"], [("at", ascending), ("id", True)], "value", "last")
+    assert found.columns == ["key", "at", "id", "value", "last"]
+    assert {row.id: row["last"] for row in found.collect()} == expected
 
 
-def test_cut_points_balance_a_hot_key(spark):
+def test_stretches_balance_a_hot_key(spark):
     _, df = history(spark)
-    order = [("at", True), ("id", True)]
-    cuts = cut_points(df, order, stretches=10)
-    sizes = [row["count"] for row in df.groupBy(stretch_of(order, cuts)).count().collect()]
-    assert len(sizes) == 10 and max(sizes) < 3 * min(sizes)
-
-
-def test_small_tables_need_no_cut_points(spark):
-    assert cut_points(spark.range(100), [("id", True)]) == []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [row["count"] for row in stretched(df, [("at", True), ("id", True)]).groupBy("_stretch").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 6 and max(sizes) < 3 * min(sizes)
 
 
 @pytest.mark.parametrize("ascending", [True, False])
 def test_sum_before(spark, ascending):
-    df = spark.range(500).withColumn("v", F.col("id") % 7).withColumn("group", F.col("id") % 5)
-    order = [("group", ascending), ("id", True)]
-    rows = sorted(((r.group, r.id, r.v) for r in df.collect()), key=lambda r: (r[0] if ascending else -r[0], r[1]))
+    df = spark.range(500).withColumn("v", F.col("id") % 7).withColumn("group", F.when(F.col("id") % 5 > 0, F.col("id") % 5))
+    rows = sorted(((r.group, r.id, r.v) for r in df.collect()), key=lambda r: (spark_order(r[0], ascending), r[1]))
     expected, total = {}, 0
     for _, ident, value in rows:
         expected[ident] = total
         total += value
-    for cuts in (None, cut_points(df, order, stretches=6), [(2, 7), (3, 8)] if ascending else [(3, 8), (2, 7)]):
-        assert {r.id: r.s for r in sum_before(df, order, "v", "s", cuts).collect()} == expected
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_lookup_join_is_a_join(spark, rows, how):
-    facts = spark.createDataFrame(
-        [(i, "hot" if i % 3 == 0 else (None if i % 50 == 1 else f"k{i % 40}")) for i in range(900)], "id int, key string")
-    lookup = spark.createDataFrame(
-        [("hot", 1), ("hot", 2), (None, 3)] + [(f"k{i}", i) for i in range(0, 60, 2)], "key string, v int")
-    plain = facts.join(lookup, ["key"], how)
-    for hot, parts in ((64, 32), (1, 4), (2, 2)):
-        spread = lookup_join(facts, lookup, ["key"], how, None, None, hot, parts)
-        assert spread.columns == plain.columns
-        assert rows(spread) == rows(plain)
-    other = lookup_join(facts, lookup, ["key"], how, counted=facts.where("id < 5"))
-    assert rows(other) == rows(plain)
-    weighted = lookup_join(facts, lookup, ["key"], how, weight="id")
-    assert rows(weighted) == rows(plain)
-
-
-def test_lookup_join_spreads_the_hot_key(spark):
-    facts = spark.range(3_000).withColumn("key", F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")))
-    lookup = spark.range(3_000).withColumnRenamed("id", "key")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = lookup_join(facts, lookup, ["key"])
-        tasks = joined.where("key = 0").groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(t["count"] for t in tasks) == 2_000
-    assert len(tasks) >= 6
+    assert {r.id: r.s for r in sum_before(df, [("group", ascending), ("id", True)], "v", "s").collect()} == expected

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayworks.checks.code import detected_paths, paths_check, urls_check
+from assayworks.functions.patterns import java_pattern
 from assayworks.functions.text import job_stem, quoted_locations, strip, urls_in_code
 from assayworks.functions.urls import rebuild_url
 from assayworks.operators import differences
@@ -144,3 +145,30 @@ def test_urls_check_keeps_duplicates(spark, rows):
     services = spark.createDataFrame([("a", "x.org")], "task string, service string")
     assert rows(urls_check(texts.select("task"), texts, services).results) == [
         ("a", 0, 1.0), ("b", 1, 0.1), ("c", 0, 1.0)]
+
+
+def test_allow_list_patterns_read_like_pythons(spark):
+    """Random patterns and values, against Python's own search."""
+    rng = random.Random(3)
+    pieces = ["a", "b+", r"\w", r"\s", r"\d", ".", "[^b]", r"\.", "(a|b)", "(?:bc)?", "é", r"(?P<h>a)x(?P=h)", r"(b)\1", "$", "^", r"\Z"]
+    values = ["".join(rng.choice("ab c.é1\n٣xß\u2028\x85") for _ in range(rng.randint(0, 8))) for _ in range(150)]
+    df = spark.createDataFrame([(i % 5, v) for i, v in enumerate(dict.fromkeys(values))], "k int, v string")
+    rows = df.collect()
+    for _ in range(12):
+        patterns = ["".join(rng.choice(pieces[:-5] if rng.random() < 0.7 else pieces) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 3))]
+        try:
+            for p in patterns:
+                re.compile(p)
+        except re.error:
+            continue
+        want = sorted((r.k, r.v) for r in rows if not any(re.search(p, r.v) for p in patterns))
+        assert sorted(map(tuple, differences.unmatched(df, "v", patterns).collect())) == want, patterns
+        listing = spark.createDataFrame([(k, p) for k in range(5) for p in patterns], "k int, p string")
+        assert sorted(map(tuple, differences.unlisted_patterns(df, listing, "v", "p", ["k"]).collect())) == want, patterns
+
+
+def test_patterns_java_cannot_express_are_refused():
+    assert java_pattern(r"(?P<my_host>hdfs)://(?P=my_host)\Z") == r"(?<g0>hdfs)://\k<g0>\z"
+    for wrong in ("(", r"(a)?(?(1)b|c)"):
+        with pytest.raises(ValueError):
+            java_pattern(wrong)
