@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from assayworks.llm.common import SLICE_BYTES, lists, mix, slices
 from assayworks.llm.recompression_core import Sums, anchors
 
+#: Columns this operator makes; a table's own columns of these names are left out.
+RESERVED = ("n_words", "n_removed", "kept_sha256", "kept_text", "starts", "copy", "mine", "symbols")
 #: Names are paired up to this level. Contexts of higher levels rarely fit 20 words.
 ROUNDS = 6
 
@@ -35,6 +37,11 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[list[b
         yield part, [[] if t is None else t.split() for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
+def _first_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that stand for their text."""
+    return batch.filter(pc.and_(pc.fill_null(batch.column("mine"), False), pc.is_valid(batch.column("doc_id"))))
+
+
 def _names(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     name = xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) for w in words])
@@ -68,7 +75,7 @@ _MORE_PLACES = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int32())
 def _symbol_rows(window: int, rounds: int):
     def run(batches):
         for batch in batches:
-            for part, words in _chunks(batch):
+            for part, words in _chunks(_first_texts(batch)):
                 names, ends = _names(words)
                 if not len(names):
                     continue
@@ -86,7 +93,7 @@ def _symbol_rows(window: int, rounds: int):
 def _window_rows(window: int, rounds: int):
     def run(batches):
         for batch in batches:
-            for part, words in _chunks(batch):
+            for part, words in _chunks(batch.filter(pc.is_valid(batch.column("symbols")))):
                 names, ends = _names(words)
                 if not len(names):
                     continue
@@ -159,13 +166,15 @@ def repeated_windows(docs: DataFrame, window: int = 20, rounds: int = ROUNDS) ->
     """(doc_id, starts, copy): the windows of each document that also start earlier.
 
     ``copy`` says that the whole text is that of a smaller doc_id, so all its windows do.
-    Documents without a repeat may be missing.
+    Documents without a repeat may be missing. All joins take ``docs`` as it is, on the left side of
+    an outer join, so that Spark shuffles the texts once and reuses that exchange.
     """
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    texts = docs.select("doc_id", F.xxhash64("text").alias("a"), F.md5(F.coalesce("text", F.lit(""))).alias("b"))
+    texts = docs.where(F.col("doc_id").isNotNull()).select(
+        "doc_id", F.xxhash64("text").alias("a"), F.md5(F.coalesce("text", F.lit(""))).alias("b"))
     firsts = texts.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
     # Each distinct text is compared once. A document may stand for several texts only if ids repeat.
-    own = docs.join(firsts.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    mine = firsts.select("doc_id").distinct().withColumn("mine", F.lit(True))
+    own = docs.join(mine.hint("shuffle_hash"), "doc_id", "left")
     symbols = own.mapInArrow(_symbol_rows(window, rounds), "symbol long, doc_id long, more array<struct<doc_id: long>>")
     by_symbol = Window.partitionBy("symbol").orderBy("doc_id")
     shared = (
@@ -175,7 +184,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, rounds: int = ROUNDS) ->
             F.array(F.struct("doc_id")), F.coalesce("more", F.array().cast("array<struct<doc_id: long>>")))).alias("at"))
         .select("symbol", "at.doc_id").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols"))
     )
-    windows = own.join(shared.hint("shuffle_hash"), "doc_id").mapInArrow(
+    windows = docs.join(shared.hint("shuffle_hash"), "doc_id", "left").mapInArrow(
         _window_rows(window, rounds), "one long, two long, doc_id long, start int, more array<struct<doc_id: long, start: int>>")
     order = F.rank().over(Window.partitionBy("one", "two").orderBy("doc_id", "start"))
     # The first row of a window holds its earliest place; what a row holds beyond is always a repeat
@@ -208,12 +217,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = ROUNDS) ->
     whole and no row loses words to them. Equal rows get equal results; rows that share a doc_id
     with different texts count as one document, whose places they share. Other columns stay.
     """
+    columns = [c for c in docs.columns if c not in RESERVED]
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
     gone = repeated_windows(docs, window, rounds)
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept_text", "starts", "copy")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     return (
-        docs.select(*[F.col(f"`{c}`") for c in columns]).join(gone.hint("shuffle_hash"), "doc_id", "left")
+        docs.join(gone.hint("shuffle_hash"), "doc_id", "left")
         .select(*[F.col(f"`{c}`") for c in columns], F.coalesce("starts", F.array().cast("array<int>")).alias("starts"),
                 F.coalesce("copy", F.lit(False)).alias("copy"))
         .mapInArrow(_kept(window), f"{schema}, n_words long, n_removed long, kept_sha256 string, kept_text string")
