@@ -1,10 +1,10 @@
 """Near-duplicate documents by minhash with tensored banding.
 
 Two small collections of minhash groups are made for each document. A table key pairs a group of
-the first collection with a group of the second, so 10 and 16 groups make 160 tables out of 68
-minhashes. Two documents at similarity j meet in a table with probability
-(1 - (1 - j^2)^10) (1 - (1 - j^3)^16): 0.9996 at 0.75, 0.99996 at 0.8. What meets is confirmed on
-the full shingle sets.
+the first collection with a group of the second, so 16 and 16 groups of 3 make 256 tables of 6
+minhashes each out of 96 minhashes. Two documents at similarity j meet in a table with probability
+(1 - (1 - j^3)^16)^2: 0.9997 at 0.75, 0.99998 at 0.8. What meets is confirmed on the full shingle
+sets.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayworks.llm.common import SLICE_BYTES, mix, slices, written
@@ -23,7 +23,7 @@ from assayworks.llm.recompression_core import Sums
 #: Words in a shingle, and the similarity of a link in percent.
 SHINGLE, PERCENT = 5, 75
 #: Groups and minhashes in a group, of the first and the second collection.
-FIRST, SECOND = (10, 2), (16, 3)
+FIRST, SECOND = (16, 3), (16, 3)
 
 
 def _shingles(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ def _signatures(size: int, first: tuple[int, int], second: tuple[int, int]):
 
 def signatures(docs: DataFrame, size: int = SHINGLE, first: tuple[int, int] = FIRST,
                second: tuple[int, int] = SECOND) -> DataFrame:
-    """Per document the size and a 128-bit name of its shingle set and its minhash groups."""
+    """Per document the size and a 128-bit name of its shingle set, its minhash groups."""
     return docs.select("doc_id", "text").mapInArrow(
         _signatures(size, first, second),
         "doc_id long, n_shingles long, set_a long, set_b long, first array<long>, second array<long>")
@@ -116,6 +116,46 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.where(f"100 * o.shared >= {percent} * (o.left + o.right - o.shared)").select("a", "b")
 
 
+def _sets(size: int):
+    def run(batches):
+        for batch in batches:
+            text = batch.column("text").cast(pa.binary())
+            lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+            for low, high in slices(batch, lengths, SLICE_BYTES):
+                made, ends = _shingles(text.slice(low, high - low).to_pylist(), size)
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(low, high - low), pa.array(np.diff(ends, prepend=0)),
+                     pa.ListArray.from_arrays(offsets, pa.array(made.view(np.int64)))], names=["id", "n", "shingles"])
+    return run
+
+
+def _left_over(placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components, with a or b outside the main component of a table, that can be linked.
+
+    Shingles are put in one order, the rarest first. Two sets of x and y shingles that are similar
+    enough have o = ceil(t (x + y) / (1 + t)) in common, so they share one of the first x - o + 1 of
+    the one and y - o + 1 of the other. A shingle that no other set here has only takes up a place.
+    """
+    ids = placed.groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("apart"))
+    sets = texts.select(F.col("doc_id").alias("id"), "text").join(ids.select("id"), "id").mapInArrow(
+        _sets(size), "id long, n long, shingles array<long>")
+    rows = written(sets.select("id", "n", F.explode("shingles").alias("shingle")), "minhash-shingles")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    common = rows.join(shared, "shingle")
+    mine = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("held", "shingle"))
+    starts = (
+        common.withColumn("place", place)
+        .where(F.col("place") <= F.expr(f"n - (({percent} * n + 99) DIV 100) + 1")).join(ids, "id")
+    )
+    x = starts.where("apart").select("shingle", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("place").alias("x_at"), F.col("component").alias("x_of"))
+    y = starts.select("shingle", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("place").alias("y_at"), F.col("component").alias("y_of"))
+    needed = f"(({percent} * (x_n + y_n) + {99 + percent}) DIV {100 + percent})"
+    can = F.expr(f"x_of <> y_of AND x_at <= x_n - {needed} + 1 AND y_at <= y_n - {needed} + 1")
+    return x.join(y, (x["shingle"] == y["shingle"]) & can).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def _shared_groups(reps: DataFrame, column: str) -> DataFrame:
     """(id, group) for the groups that more than one document has."""
     rows = reps.select("id", F.explode(column).alias("group"))
@@ -134,9 +174,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     that links lead to; a row is kept if that is its own.
 
     Equal sets are one class, so copies are never paired. Classes that meet in a table are first
-    compared with the smallest document of the table; then, in tables that still hold several
-    components, all documents outside the most frequent component are compared with all others.
-    Nothing caps a table. A row without doc_id links with nothing; equal rows get equal results.
+    compared with the class of the table that meets most others (the text that near copies were made
+    from, if it is there). Documents that tables still hold outside their most frequent component are
+    then compared with all those that share one of their rare shingles, which no link can lack
+    (``_left_over``). Nothing caps a table. A row without doc_id links with nothing; equal rows get equal results.
     Rows that share a doc_id with different texts are one document with several sets.
     """
     label = "minhash"
@@ -153,13 +194,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         ones.join(twos, "id").select("id", F.explode("ones").alias("one"), "twos")
         .select("id", F.explode(F.transform("twos", lambda two: F.xxhash64(F.col("one"), two))).alias("key"))
     )
-    meets = tables.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    meeting = written(tables.join(meets.select("key", "leader"), "key"), f"{label}-tables")
+    meets = tables.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    meeting = written(tables.join(meets, "key"), f"{label}-tables")
     texts = written(
         docs.select("doc_id", "text").join(meeting.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .where("text IS NOT NULL").dropDuplicates(["doc_id"]), f"{label}-texts")
-    # First round: every class against the smallest one it meets.
-    near = meeting.where("id <> leader").groupBy(F.col("id").alias("a")).agg(F.min("leader").alias("b"))
+    # First round: every class against one that it meets, the one that meets most.
+    degrees = meeting.groupBy("id").agg(F.struct(F.sum("members").alias("met"), (-F.col("id")).alias("id")).alias("degree"))
+    leaders = meeting.join(degrees, "id").groupBy("key").agg(F.max("degree").alias("leader"))
+    near = (
+        meeting.join(leaders, "key").groupBy(F.col("id").alias("a")).agg((-F.max("leader").getField("id")).alias("b")).where("a <> b")
+    )
     links = written(_confirmed(near, texts, size, percent), f"{label}-links")
     found = components(links, f"{label}-first")
     # Second round: what stands outside a table's largest component against the rest of the table.
@@ -173,17 +218,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         .where("n > 1").select("key", "main")
     )
     placed = written(placed.join(mixed, "key"), f"{label}-mixed")
-    apart = placed.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("of"))
-    more = (
-        apart.join(placed.select("key", "id", "component"), "key").where("component <> of")
-        .select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct()
-    )
-    n_of = classes.groupBy(F.col("id")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    more = (
-        more.join(n_of.toDF("a", "a_low", "a_high"), "a").join(n_of.toDF("b", "b_low", "b_high"), "b")
-        .where(f"100 * a_high >= {percent} * b_low AND 100 * b_high >= {percent} * a_low").select("a", "b")
-        .join(near, ["a", "b"], "left_anti")
-    )
+    more = _left_over(placed, texts, size, percent).join(
+        near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(more, texts, size, percent))
     found = components(links, f"{label}-second")
     of_class = (
