@@ -221,7 +221,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     more = _left_over(placed, texts, size, percent).join(
         near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(more, texts, size, percent))
-    found = components(links, f"{label}-second")
+    # An id with several texts ties their classes together.
+    by_set = F.struct("set_a", "set_b")
+    several = (
+        sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(by_set).alias("one"), F.max(by_set).alias("two"))
+        .where("one <> two").select("doc_id")
+    )
+    ties = sets.join(several, "doc_id").join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"]).select(
+        F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    found = components(links.unionByName(ties), f"{label}-second")
     of_class = (
         classes.select("set_a", "set_b", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
         .select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
