@@ -11,6 +11,7 @@ and give every kind of match its weight.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -25,9 +26,12 @@ from assayworks.llm.common import SLICE_BYTES, mix, slices, written
 
 #: At most so many training rows of each class (1 and 0) are used, the first by a hash of the id.
 FIT_TOXIC, FIT_CLEAN = 3000, 6000
-#: A learned insult is in at least so many unlike toxic rows, and in clean rows at most so rarely.
-LEAST_ROWS, LEAST_PRECISION = 4, 0.95
-STEM_LENGTHS = (4, 5, 6)
+#: A learned insult is in at least so many unlike toxic rows, which are such a share of all its rows;
+#: one that is taken although others explain its rows has to have the higher share.
+LEAST_ROWS, LEAST_PRECISION, SURE_PRECISION = 3, 0.85, 0.97
+#: A stem is the start of at least so many different words; so many terms are looked at, the commonest first.
+LEAST_WORDS, MOST_TERMS = 3, 400
+STEM_LENGTHS = (4, 5, 6, 7, 8)
 NEGATION_REACH = 3
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNRO"
@@ -196,8 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
     """Insults and weights learned from labelled rows that are not held out.
 
     At most ``most_toxic`` and ``most_clean`` rows are used. Rows that share a minhash with
-    another of their class count once, so that copies of a document prove nothing more. Terms are
-    taken while each explains toxic rows that the ones before don't. Without rows the seeds stay.
+    another of their class count once, so that copies of a document prove nothing more. Terms whose
+    rows are toxic beyond chance are taken, then others while each explains toxic rows that those
+    before it and the seeds don't. Without rows the seeds stay.
     """
     model = seeded()
     known = (
@@ -209,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
         known.where("toxic = 1").orderBy(*by_hash).limit(most_toxic)
         .unionByName(known.where("toxic = 0").orderBy(*by_hash).limit(most_clean))
     )
-    sample = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id")
+    # At most most_toxic + most_clean ids: small enough for every task, whatever the size of the corpus.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     terms = written(sample.mapInArrow(
         _rows_of(_terms, ["doc_id", "toxic", "text"], ["terms", "h0", "h1", "h2"]),
         "doc_id long, toxic int, text string, terms array<string>, h0 long, h1 long, h2 long"), "toxicity-terms")
@@ -218,24 +224,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
         least = unlike.groupBy("toxic", h).agg(F.min("doc_id").alias("doc_id"))
         unlike = unlike.join(least.select("doc_id").distinct(), "doc_id", "left_semi")
     unlike = written(unlike.select("doc_id", "toxic", "text", "terms"), "toxicity-unlike")
+    shares = unlike.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
     counted = (
         unlike.select("toxic", F.explode("terms").alias("term")).groupBy("term")
         .agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(f"bad >= {LEAST_ROWS} AND bad >= {LEAST_PRECISION} * n")
     )
-    # At most FIT_TOXIC rows with the few terms that pass: bounded, whatever the size of the corpus.
-    candidates = [r.term for r in counted.orderBy(F.desc("bad"), "term").limit(5000).collect()]
+    # A stem stands for several words; else the word itself is the better term.
+    words = unlike.where("toxic = 1").select(F.explode("terms").alias("word")).where("NOT endswith(word, '*')").distinct()
+    stems = words.select(F.explode(F.array(*[
+        F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEM_LENGTHS])).alias("term"))
+    varied = stems.groupBy("term").agg(F.count("*").alias("words")).where(f"words >= {LEAST_WORDS}")
+    usable = counted.join(varied, "term", "left").where("words IS NOT NULL OR NOT endswith(term, '*')")
+    # Terms of at most most_toxic rows, the most frequent first: bounded, whatever the size of the corpus.
+    candidates = [(r.term, r.bad, r.n) for r in usable.orderBy(F.desc("bad"), "term").limit(MOST_TERMS).collect()]
+    # So many toxic rows and hardly a clean one come by chance less than once in a thousand fits.
+    sure = math.log(1e-9) / math.log(max(1e-9, min(0.999, (shares.bad or 0) / max(shares.n, 1))))
+    taken = [term for term, bad, n in candidates if bad >= sure and bad >= SURE_PRECISION * n]
     rows_of: dict[str, set] = {}
+    explained: set = set()
     if candidates:
-        wanted = F.array(*[F.lit(c) for c in candidates[:500]])
+        seeds = [w for w, symbol in model.words.items() if symbol == INSULT]
+        wanted = F.array(*[F.lit(t) for t in dict.fromkeys([*[t for t, *_ in candidates], *seeds])])
         for r in unlike.where("toxic = 1").select("doc_id", F.explode(F.array_intersect("terms", wanted)).alias("term")).collect():
             rows_of.setdefault(r.term, set()).add(r.doc_id)
-    explained: set = set()
+        explained = set().union(*[rows_of.pop(w, set()) for w in seeds], *[rows_of.get(t, set()) for t in taken])
     while rows_of:
-        term = max(rows_of, key=lambda t: (len(rows_of[t] - explained), -len(t), t))
+        # A single word needs one row more than a stem, which several words speak for.
+        term = max(rows_of, key=lambda t: (len(rows_of[t] - explained) - (not t.endswith("*")), -len(t), t))
         gain = rows_of.pop(term) - explained
-        if len(gain) < LEAST_ROWS:
+        if len(gain) - (not term.endswith("*")) < LEAST_ROWS:
             break
         explained |= gain
+        taken.append(term)
+    for term in taken:
         if term.endswith("*"):
             model.stems[term[:-1]] = INSULT
         else:
