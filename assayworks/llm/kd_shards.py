@@ -19,6 +19,8 @@ GRID = float(1 << 30)
 BINS = 512
 #: A cut is good when its bin holds less than this share of one shard, or after so many zooms.
 CUT_SHARE, ZOOMS = 0.002, 6
+#: Bins are not zoomed into below the last digits that points have.
+RESOLUTION = 1e-6
 #: Rows numbered by one task.
 SLOT_ROWS = 50_000
 
@@ -121,7 +123,7 @@ def _split(points: DataFrame, root: Cell, dims: int, per_shard: float) -> bool:
             cell.below = at
             cell.low, cell.high = low + b * step, low + (b + 1) * step
             cell.cut = cell.low if want - at < at + w - want else cell.high
-            if w <= CUT_SHARE * per_shard:
+            if w <= CUT_SHARE * per_shard or cell.high - cell.low < RESOLUTION:
                 del todo[cell.number]
     for cell in open_cells.values():
         left = cell.shards // 2
