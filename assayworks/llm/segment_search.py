@@ -103,7 +103,8 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 5, scale: int = 256, shard_
     both sizes are fixed, so groups stay small while their number grows.
     """
     v = quantized(vectors, scale)
-    counts = v.agg(F.count("*"), F.count(F.when(asks, 1))).first()
+    # Rows that take no part only make the shards a little smaller.
+    counts = vectors.where(F.col("vec_id").isNotNull()).agg(F.count("*"), F.count(F.when(asks, 1))).first()
     shards = max(-(-counts[0] // shard_rows), shuffle_partitions(vectors.sparkSession))
     blocks = max(1, -(-counts[1] // block_queries))
     spread = F.xxhash64("vec_id")
