@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +33,8 @@ LEAST_ROWS, LEAST_PRECISION, SURE_PRECISION = 3, 0.85, 0.97
 #: A stem is the start of at least so many different words; so many terms are looked at, the commonest first.
 LEAST_WORDS, MOST_TERMS = 3, 400
 STEM_LENGTHS = (4, 5, 6, 7, 8)
+#: Marks the class of a word whose stem insults only together with another word of it.
+PAIR = "&"
 NEGATION_REACH = 3
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNRO"
@@ -109,6 +112,8 @@ KINDS = {"3": "aimed insult", INSULT: "insult", "4": "aimed threat", "1": "repor
 class Model:
     words: dict[str, str] = field(default_factory=dict)
     stems: dict[str, str] = field(default_factory=dict)
+    pairs: set[str] = field(default_factory=set)
+    """Stems that insult only where a text has two words of them."""
     weights: dict[str, float] = field(default_factory=dict)
     """How likely a row is toxic given one match of a kind."""
 
@@ -119,6 +124,8 @@ class Model:
                 found = self.stems.get(word[:length]) if len(word) >= length else None
                 if found:
                     break
+        if found is None and self.pairs:
+            found = next((f"{PAIR}{word[:k]}" for k in STEM_LENGTHS if len(word) > k and word[:k] in self.pairs), None)
         return found or OTHER
 
 
@@ -147,12 +154,15 @@ class Reader:
         fresh = set(words).difference(known)
         known.update((w, kind_of(w)) for w in fresh)
         found: dict[str, int] = {}
-        if not any(known[w] in (INSULT, THREAT) for w in set(words)):
+        distinct = {w: known[w] for w in set(words) if known[w] != OTHER}
+        paired = Counter(kind for kind in distinct.values() if kind[0] == PAIR)
+        kinds = {w: (INSULT if paired[kind] > 1 else OTHER) if kind[0] == PAIR else kind for w, kind in distinct.items()}
+        if not {INSULT, THREAT} & set(kinds.values()):
             return found
         for clause in CLAUSES.split((text or "").lower()):
             state, seen = self.machine.start, set()
             for word in WORDS.findall(clause):
-                state, out = self.machine.step(state, known.get(word) or kind_of(word))
+                state, out = self.machine.step(state, kinds.get(word, OTHER))
                 if out in KINDS:
                     seen.add(KINDS[out])
             if seen:
@@ -184,12 +194,13 @@ def _rows_of(reader, columns, schema_names):
 
 
 def _terms(texts):
-    """Words and stems of each text, and three minhashes that near copies share."""
+    """Words, stems and stems of two words of each text, and three minhashes that near copies share."""
     terms, hashes = [], [[], [], []]
     for text in texts:
         words = WORDS.findall((text or "").lower())
         mine = set(words)
-        terms.append([*mine, *{f"{w[:k]}*" for w in mine for k in STEM_LENGTHS if len(w) > k}])
+        stems = Counter(w[:k] for w in mine for k in STEM_LENGTHS if len(w) > k)
+        terms.append([*mine, *[f"{stem}*" for stem in stems], *[f"{stem}**" for stem, n in stems.items() if n > 1]])
         pairs = np.array([xxhash.xxh64_intdigest(a + " " + b) for a, b in zip(words, words[1:], strict=False)] or [0], np.uint64)
         for i in range(3):
             hashes[i].append(int(mix(pairs + np.uint64(i + 1)).min() >> np.uint64(1)))
@@ -232,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
     # A stem stands for several words; else the word itself is the better term.
     words = unlike.where("toxic = 1").select(F.explode("terms").alias("word")).where("NOT endswith(word, '*')").distinct()
     stems = words.select(F.explode(F.array(*[
-        F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEM_LENGTHS])).alias("term"))
+        F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit(mark))) for k in STEM_LENGTHS for mark in ("*", "**")])).alias("term"))
     varied = stems.groupBy("term").agg(F.count("*").alias("words")).where(f"words >= {LEAST_WORDS}")
     usable = counted.join(varied, "term", "left").where("words IS NOT NULL OR NOT endswith(term, '*')")
     # Terms of at most most_toxic rows, the most frequent first: bounded, whatever the size of the corpus.
@@ -257,7 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
         explained |= gain
         taken.append(term)
     for term in taken:
-        if term.endswith("*"):
+        if term.endswith("**"):
+            model.pairs.add(term[:-2])
+        elif term.endswith("*"):
             model.stems[term[:-1]] = INSULT
         else:
             model.words[term] = INSULT
