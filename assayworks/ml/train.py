@@ -33,7 +33,7 @@ REG_PARAMS = [0.1, 0.3, 0.7]
 
 FOLD = "_fold"
 #: Folds that are fitted at the same time.
-PARALLEL_FITS = 2
+PARALLEL_FITS = 4
 
 
 class Trained(NamedTuple):
