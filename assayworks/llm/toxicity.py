@@ -33,8 +33,8 @@ LEAST_ROWS, LEAST_PRECISION, SURE_PRECISION = 3, 0.85, 0.97
 #: A stem is the start of at least so many different words; so many terms are looked at, the commonest first.
 LEAST_WORDS, MOST_TERMS = 3, 400
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-#: Marks the class of a word whose stem insults only together with another word of it.
-PAIR = "&"
+#: Marks the class of a word whose stem insults only together with another word of it, at most so many words away.
+PAIR, NEAR = "&", 32
 NEGATION_REACH = 3
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNRO"
@@ -113,7 +113,7 @@ class Model:
     words: dict[str, str] = field(default_factory=dict)
     stems: dict[str, str] = field(default_factory=dict)
     pairs: set[str] = field(default_factory=set)
-    """Stems that insult only where a text has two words of them."""
+    """Stems that insult only where two words of them stand near each other."""
     weights: dict[str, float] = field(default_factory=dict)
     """How likely a row is toxic given one match of a kind."""
 
@@ -129,6 +129,27 @@ class Model:
         return found or OTHER
 
 
+def beside(words: list[str], groups_of: dict[str, list[str]]) -> dict[str, set[int]]:
+    """For each group the places of its words that have another word of it at most NEAR places away.
+
+    However long a text is, a word only meets its neighbours.
+    """
+    found: dict[str, set[int]] = {}
+    for step in (1, -1):
+        # Of each group the word met last, its place, and where the last word unlike it was.
+        met: dict[str, tuple[str, int, int | None]] = {}
+        for place in range(len(words))[::step]:
+            word = words[place]
+            for group in groups_of.get(word, ()):
+                last, at, unlike = met.get(group, (word, place, None))
+                if last != word:
+                    unlike = at
+                if unlike is not None and abs(place - unlike) <= NEAR:
+                    found.setdefault(group, set()).add(place)
+                met[group] = word, place, unlike
+    return found
+
+
 def seeded() -> Model:
     model = Model()
     for symbol, words in SEEDS.items():
@@ -156,13 +177,17 @@ class Reader:
         found: dict[str, int] = {}
         distinct = {w: known[w] for w in set(words) if known[w] != OTHER}
         paired = Counter(kind for kind in distinct.values() if kind[0] == PAIR)
-        kinds = {w: (INSULT if paired[kind] > 1 else OTHER) if kind[0] == PAIR else kind for w, kind in distinct.items()}
-        if not {INSULT, THREAT} & set(kinds.values()):
+        several = {w: [kind] for w, kind in distinct.items() if paired[kind] > 1}
+        near = set().union(*beside(words, several).values()) if several else set()
+        kinds = {w: kind for w, kind in distinct.items() if kind[0] != PAIR}
+        if not near and not {INSULT, THREAT} & set(kinds.values()):
             return found
+        place = -1
         for clause in CLAUSES.split((text or "").lower()):
             state, seen = self.machine.start, set()
             for word in WORDS.findall(clause):
-                state, out = self.machine.step(state, kinds.get(word, OTHER))
+                place += 1
+                state, out = self.machine.step(state, INSULT if place in near else kinds.get(word, OTHER))
                 if out in KINDS:
                     seen.add(KINDS[out])
             if seen:
@@ -194,13 +219,14 @@ def _rows_of(reader, columns, schema_names):
 
 
 def _terms(texts):
-    """Words, stems and stems of two words of each text, and three minhashes that near copies share."""
+    """Words, stems and stems of two near words of each text, and three minhashes that near copies share."""
     terms, hashes = [], [[], [], []]
     for text in texts:
         words = WORDS.findall((text or "").lower())
         mine = set(words)
         stems = Counter(w[:k] for w in mine for k in STEM_LENGTHS if len(w) > k)
-        terms.append([*mine, *[f"{stem}*" for stem in stems], *[f"{stem}**" for stem, n in stems.items() if n > 1]])
+        several = {w: [w[:k] for k in STEM_LENGTHS if len(w) > k and stems[w[:k]] > 1] for w in mine}
+        terms.append([*mine, *[f"{stem}*" for stem in stems], *[f"{stem}**" for stem in beside(words, several)]])
         pairs = np.array([xxhash.xxh64_intdigest(a + " " + b) for a, b in zip(words, words[1:], strict=False)] or [0], np.uint64)
         for i in range(3):
             hashes[i].append(int(mix(pairs + np.uint64(i + 1)).min() >> np.uint64(1)))

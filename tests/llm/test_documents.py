@@ -249,6 +249,32 @@ def test_the_grammar_reads_clauses():
     assert scores == sorted(scores) and scores[0] < 0.3 < scores[1]
 
 
+def test_pairs_count_among_neighbours():
+    model = toxicity.seeded()
+    model.pairs.add("grob")
+    reader = toxicity.Reader(model)
+    rng = random.Random(3)
+    words = [f"{rng.choice('abcdef')}x{rng.choice('ghijkl')}" for _ in range(20_000)]
+    clean = list(words)
+    for i in range(20):
+        clean[i * 1000] = ["grobin", "grobem", "grobis"][i % 3]
+    for i in range(9, 20_000, 10):
+        clean[i] += "."
+    assert reader.matches(" ".join(clean)) == {} and reader.matches("grobin. grobin! grobin") == {}
+    assert reader.matches("grobin grobin x. the grobem.") == {"insult": 2}
+    hidden = list(words)
+    hidden[12_000:12_003] = ["grobin", "is", "grobem"]
+    assert reader.matches(" ".join(hidden)) == {"insult": 1}
+    gap = "x " * (toxicity.NEAR - 1)
+    assert reader.matches(f"grobin {gap}grobem") == {"insult": 1} and reader.matches(f"grobin x {gap}grobem") == {}
+
+
+def test_pairs_are_learned_among_neighbours():
+    far = "x " * toxicity.NEAR
+    (near, apart), *_ = [c.to_pylist() for c in toxicity._terms(["grobin or grobem", f"grobin {far}grobem grobem"])]
+    assert "grob**" in near and "grob*" in apart and not [t for t in apart if t.endswith("**")]
+
+
 def test_empty_tables(spark, ranks):
     none = spark.createDataFrame([], SCHEMA)
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
