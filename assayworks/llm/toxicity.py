@@ -47,9 +47,13 @@ SEEDS = {
     REPORT: "said says say called calls wrote writes quoted quote reported claims claimed alleged according told",
 }
 #: Belief about the share of toxic rows among rows whose strongest match is of a kind, held as PRIOR_ROWS rows.
-PRIORS = {"aimed insult": 0.97, "insult": 0.9, "aimed threat": 0.8, "reported insult": 0.5, "negated insult": 0.5,
-          "reported threat": 0.3, "negated threat": 0.3, "nothing": 0.01}
+PRIORS = {"aimed insult": 0.97, "insult": 0.9, "aimed threat": 0.8, "reported insult": 0.15, "negated insult": 0.5,
+          "reported threat": 0.05, "negated threat": 0.05, "nothing": 0.01}
 PRIOR_ROWS = 10
+#: What a fitted model starts from: a negated insult alone accuses nobody either, unless training rows say so.
+FITTED_PRIORS = PRIORS | {"negated insult": 0.15}
+#: Their words are ordinary ones that reports are full of: a text counts each of these kinds once, however long it is.
+ONCE = ("reported threat", "negated threat")
 
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSES = re.compile(r"[.!?;:\n]+")
@@ -198,7 +202,7 @@ class Reader:
     def score(self, found: dict[str, int]) -> float:
         clean = 1 - self.model.weights["nothing"]
         for kind, n in found.items():
-            clean *= (1 - self.model.weights[kind]) ** n
+            clean *= (1 - self.model.weights[kind]) ** (1 if kind in ONCE else n)
         return min(1.0, max(0.0, 1 - clean))
 
 
@@ -242,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
     before it and the seeds don't. Without rows the seeds stay.
     """
     model = seeded()
+    model.weights = dict(FITTED_PRIORS)
     known = (
         labels.select("doc_id", F.col(label).alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -304,11 +309,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
     def strongest(texts):
         reader = Reader(model)
         found = [reader.matches(t) for t in texts]
-        return [pa.array([max(f, key=lambda k: PRIORS[k]) if f else "nothing" for f in found])]
+        return [pa.array([max(f, key=lambda k: FITTED_PRIORS[k]) if f else "nothing" for f in found])]
 
     kinds = unlike.mapInArrow(_rows_of(strongest, ["toxic"], ["kind"]), "toxic int, kind string")
     for r in kinds.groupBy("kind").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect():
-        model.weights[r.kind] = (r.bad + PRIORS[r.kind] * PRIOR_ROWS) / (r.n + PRIOR_ROWS)
+        model.weights[r.kind] = (r.bad + FITTED_PRIORS[r.kind] * PRIOR_ROWS) / (r.n + PRIOR_ROWS)
     return model
 
 

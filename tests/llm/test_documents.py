@@ -275,6 +275,30 @@ def test_pairs_are_learned_among_neighbours():
     assert "grob**" in near and "grob*" in apart and not [t for t in apart if t.endswith("**")]
 
 
+def test_negated_and_reported_matches_alone_accuse_nobody(spark):
+    clean = ["They said the attack ended.", "You will not kill it.", "The report said a crush of people. He told us to hunt. " * 40,
+             "You can't burn it. She does not punch. They said the attack ended. " * 40, "She is not an idiot.", "They said an idiot wrote this.",
+             "She is not an idiot. They said the attack ended. You will not kill it."]
+    toxic = ["You idiot.", "He will kill you, he will.", "She is not an idiot. Not a moron. No loser. Never a clown. They called her stupid.",
+             "They said the attack ended. You are scum."]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(clean + toxic)], SCHEMA)
+    no_labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for model in (toxicity.fit(rows, no_labels), toxicity.fit(*labelled(spark))):
+        found = {r.doc_id: r for r in toxicity.toxicity(rows, model).collect()}
+        assert [found[i].predicted for i in range(len(found))] == [0] * len(clean) + [1] * len(toxic)
+        assert all(found[i].matched_clauses > 0 for i in found)
+
+
+def test_training_rows_can_teach_negated_insults(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("bdfg") + rng.choice("aeou") + (" " if rng.random() < 0.5 else "") for _ in range(200))
+             + (". she is not an idiot" if i % 2 else "") for i in range(200)]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    found = toxicity.toxicity(rows, toxicity.fit(rows, labels)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in found)
+
+
 def test_empty_tables(spark, ranks):
     none = spark.createDataFrame([], SCHEMA)
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
