@@ -11,6 +11,7 @@ and give every kind of match its weight.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -30,8 +31,8 @@ FIT_TOXIC, FIT_CLEAN = 3000, 6000
 #: A learned insult is in at least so many unlike toxic rows, which are such a share of all its rows;
 #: one that is taken although others explain its rows has to have the higher share.
 LEAST_ROWS, LEAST_PRECISION, SURE_PRECISION = 3, 0.85, 0.97
-#: A stem is the start of at least so many different words; so many terms are looked at, the commonest first.
-LEAST_WORDS, MOST_TERMS = 3, 400
+#: A stem is the start of at least so many different words.
+LEAST_WORDS = 3
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: Marks the class of a word whose stem insults only together with another word of it, at most so many words away.
 PAIR, NEAR = "&", 32
@@ -237,6 +238,31 @@ def _terms(texts):
     return [pa.array(terms, pa.list_(pa.string())), *[pa.array(h, pa.int64()) for h in hashes]]
 
 
+def explaining(rows_of: dict[str, set], explained: set) -> list[str]:
+    """Terms, one after the other the one with the most rows that neither ``explained`` nor those before it explain."""
+    explained, taken = set(explained), []
+
+    # A single word needs one row more than a stem, which several words speak for.
+    def gain(term: str) -> int:
+        return len(rows_of[term] - explained) - (not term.endswith("*"))
+
+    def later(term: str) -> tuple[int, ...]:
+        return (*[-ord(c) for c in term], 1)
+
+    # Gains only shrink, so a term that keeps its place when it is counted anew is the best.
+    queue = [(-gain(t), len(t), later(t), t) for t in rows_of]
+    heapq.heapify(queue)
+    while queue and -queue[0][0] >= LEAST_ROWS:
+        before, length, order, term = heapq.heappop(queue)
+        now = gain(term)
+        if now < -before:
+            heapq.heappush(queue, (-now, length, order, term))
+        else:
+            explained |= rows_of[term]
+            taken.append(term)
+    return taken
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN) -> Model:
     """Insults and weights learned from labelled rows that are not held out.
 
@@ -277,8 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
         F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit(mark))) for k in STEM_LENGTHS for mark in ("*", "**")])).alias("term"))
     varied = stems.groupBy("term").agg(F.count("*").alias("words")).where(f"words >= {LEAST_WORDS}")
     usable = counted.join(varied, "term", "left").where("words IS NOT NULL OR NOT endswith(term, '*')")
-    # Terms of at most most_toxic rows, the most frequent first: bounded, whatever the size of the corpus.
-    candidates = [(r.term, r.bad, r.n) for r in usable.orderBy(F.desc("bad"), "term").limit(MOST_TERMS).collect()]
+    # Every usable term of at most most_toxic rows: bounded, whatever the size of the corpus.
+    usable = written(usable.select("term", "bad", "n"), "toxicity-usable")
+    candidates = [(r.term, r.bad, r.n) for r in usable.orderBy(F.desc("bad"), "term").collect()]
     # So many toxic rows and hardly a clean one come by chance less than once in a thousand fits.
     sure = math.log(1e-9) / math.log(max(1e-9, min(0.999, (shares.bad or 0) / max(shares.n, 1))))
     taken = [term for term, bad, n in candidates if bad >= sure and bad >= SURE_PRECISION * n]
@@ -286,18 +313,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
     explained: set = set()
     if candidates:
         seeds = [w for w, symbol in model.words.items() if symbol == INSULT]
-        wanted = F.array(*[F.lit(t) for t in dict.fromkeys([*[t for t, *_ in candidates], *seeds])])
-        for r in unlike.where("toxic = 1").select("doc_id", F.explode(F.array_intersect("terms", wanted)).alias("term")).collect():
-            rows_of.setdefault(r.term, set()).add(r.doc_id)
+        wanted = usable.select("term").unionByName(unlike.sparkSession.createDataFrame([(w,) for w in seeds], "term string")).distinct()
+        held = unlike.where("toxic = 1").select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(wanted), "term", "left_semi")
+        for r in held.groupBy("term").agg(F.collect_set("doc_id").alias("ids")).collect():
+            rows_of[r.term] = set(r.ids)
         explained = set().union(*[rows_of.pop(w, set()) for w in seeds], *[rows_of.get(t, set()) for t in taken])
-    while rows_of:
-        # A single word needs one row more than a stem, which several words speak for.
-        term = max(rows_of, key=lambda t: (len(rows_of[t] - explained) - (not t.endswith("*")), -len(t), t))
-        gain = rows_of.pop(term) - explained
-        if len(gain) - (not term.endswith("*")) < LEAST_ROWS:
-            break
-        explained |= gain
-        taken.append(term)
+    taken += explaining(rows_of, explained)
     for term in taken:
         if term.endswith("**"):
             model.pairs.add(term[:-2])

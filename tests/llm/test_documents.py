@@ -299,6 +299,41 @@ def test_training_rows_can_teach_negated_insults(spark):
     assert all(r.predicted == r.doc_id % 2 for r in found)
 
 
+def test_rare_insults_are_learned_beside_many_frequent_ones(spark):
+    rng = random.Random(9)
+    letters = "bdfghklmnprstvwz"
+    names = rng.sample([a + x + b + y for a in letters for x in "aeiou" for b in letters for y in "aeiou"], 75)
+    # Each family is several candidates: its stems at many lengths, and each of its words.
+    families = [[f"{n}kolumb{end}" for end in ("ar", "er", "ir", "or")] for n in names]
+    rows, labels = [], []
+    for i in range(3000):
+        text = [rng.choice("cjqxy") + "".join(rng.choice("cjqxyaeiou") for _ in range(3)) for _ in range(40)]
+        if i % 3 == 0:
+            # The last family is in five toxic rows, the others in 13 or more.
+            family = families[-1] if i % 600 == 0 else families[(i // 3) % (len(families) - 1)]
+            text[5:8] = rng.sample(family, 3)
+        rows.append((i, " ".join(text), "en", "s", 1))
+        labels.append((i, int(i % 3 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    reader = toxicity.Reader(model)
+    assert all(reader.matches(" ".join(family)) for family in families)
+
+
+def test_terms_are_taken_by_what_they_explain():
+    rng = random.Random(4)
+    rows_of = {f"t{i}" + rng.choice(["", "*", "**"]): set(rng.sample(range(80), rng.randint(1, 20))) for i in range(120)}
+    explained = set(range(0, 80, 5))
+    seen, left, expected = set(explained), dict(rows_of), []
+    while left:
+        term = max(left, key=lambda t: (len(left[t] - seen) - (not t.endswith("*")), -len(t), t))
+        gain = left.pop(term) - seen
+        if len(gain) - (not term.endswith("*")) < toxicity.LEAST_ROWS:
+            break
+        seen |= gain
+        expected.append(term)
+    assert toxicity.explaining(rows_of, explained) == expected and len(expected) > 3
+
+
 def test_empty_tables(spark, ranks):
     none = spark.createDataFrame([], SCHEMA)
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
