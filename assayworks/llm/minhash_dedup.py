@@ -109,13 +109,28 @@ def _overlap(size: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. ``texts`` has one row per id."""
+    """The pairs (a, b) of which a text of the one and a text of the other have shingle sets that are similar enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").withColumn("o", _overlap(size)("text_a", "text_b"))
     return both.where(f"100 * o.shared >= {percent} * (o.left + o.right - o.shared)").select("a", "b")
 
 
+def _set_name(size: int):
+    """A 128-bit name of the shingle set of a text; zero without shingles."""
+    @F.pandas_udf("struct<a: long, b: long>")
+    def name(texts):
+        import pandas as pd
+
+        out = np.zeros((len(texts), 2), np.int64)
+        for i, text in enumerate(texts):
+            if text is not None:
+                made, _ = _shingles([text.encode()], size)
+                out[i] = [int(mix(made).sum(dtype=np.uint64).view(np.int64)), int(mix(made ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64))]
+        return pd.DataFrame(out, columns=["a", "b"])
+    return name
+
+
 def _sets(size: int):
     def run(batches):
         for batch in batches:
@@ -125,8 +140,8 @@ def _sets(size: int):
                 made, ends = _shingles(text.slice(low, high - low).to_pylist(), size)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(low, high - low), pa.array(np.diff(ends, prepend=0)),
-                     pa.ListArray.from_arrays(offsets, pa.array(made.view(np.int64)))], names=["id", "n", "shingles"])
+                    [batch.column("id").slice(low, high - low), batch.column("part").slice(low, high - low), pa.array(np.diff(ends, prepend=0)),
+                     pa.ListArray.from_arrays(offsets, pa.array(made.view(np.int64)))], names=["id", "part", "n", "shingles"])
     return run
 
 
@@ -136,14 +151,15 @@ def _left_over(placed: DataFrame, texts: DataFrame, size: int, percent: int) ->
     Shingles are put in one order, the rarest first. Two sets of x and y shingles that are similar
     enough have o = ceil(t (x + y) / (1 + t)) in common, so they share one of the first x - o + 1 of
     the one and y - o + 1 of the other. A shingle that no other set here has only takes up a place.
+    An id with several texts has a part for each.
     """
     ids = placed.groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("apart"))
-    sets = texts.select(F.col("doc_id").alias("id"), "text").join(ids.select("id"), "id").mapInArrow(
-        _sets(size), "id long, n long, shingles array<long>")
-    rows = written(sets.select("id", "n", F.explode("shingles").alias("shingle")), "minhash-shingles")
+    sets = texts.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("part"), "text").join(ids.select("id"), "id").mapInArrow(
+        _sets(size), "id long, part long, n long, shingles array<long>")
+    rows = written(sets.select("id", "part", "n", F.explode("shingles").alias("shingle")), "minhash-shingles")
     shared = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
     common = rows.join(shared, "shingle")
-    mine = Window.partitionBy("id")
+    mine = Window.partitionBy("id", "part")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("held", "shingle"))
     starts = (
         common.withColumn("place", place)
@@ -198,7 +214,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     meeting = written(tables.join(meets, "key"), f"{label}-tables")
     texts = written(
         docs.select("doc_id", "text").join(meeting.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .where("text IS NOT NULL").dropDuplicates(["doc_id"]), f"{label}-texts")
+        .where("text IS NOT NULL").distinct(), f"{label}-texts")
     # First round: every class against one that it meets, the one that meets most.
     degrees = meeting.groupBy("id").agg(F.struct(F.sum("members").alias("met"), (-F.col("id")).alias("id")).alias("degree"))
     leaders = meeting.join(degrees, "id").groupBy("key").agg(F.max("degree").alias("leader"))
@@ -240,7 +256,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, with all its columns."""
-    stay = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    missing = docs.where("doc_id IS NULL")
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(missing)
+    """The rows of ``docs`` that stay: one document of each group, with all its columns.
+
+    Of rows that share the id of that document one stays for each shingle set, the first by its text and other columns.
+    """
+    stay = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("dedup_rows"))
+    several = F.col("dedup_rows") > 1
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(stay, "doc_id").select(
+        "doc_id", _set_name(SHINGLE)(F.when(several, F.col("text"))).alias("dedup_set"), row.alias("dedup_row"),
+        F.struct(F.when(several, F.col("text")).alias("text"), F.when(several, F.to_json(row)).alias("all")).alias("dedup_order"))
+    first = rows.groupBy("doc_id", "dedup_set").agg(F.min_by("dedup_row", "dedup_order").alias("dedup_row")).select("dedup_row.*")
+    return first.unionByName(docs.where("doc_id IS NULL"))

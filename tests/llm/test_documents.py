@@ -116,6 +116,30 @@ def test_near_duplicates_of_repeated_rows(spark):
         (-1, -1, True), (3, 3, True), (3, 3, True), (8, 3, False), (8, 3, False)]
 
 
+def test_ids_with_several_texts(spark):
+    """Each text of an id is linked by its own set, and those of a kept id all stay."""
+    def text(name, n, changed=()):
+        return " ".join(f"changed{i}" if i in changed else f"{name}{i}" for i in range(n))
+
+    rows = []
+    for k in range(12):
+        # Both texts of the id are near another document; k turns which text comes first.
+        mine = [text(f"a{k}_", 90), text(f"b{k}_", 90)][::1 if k % 2 else -1]
+        rows += [(100 * k + 50, t, "en", "s", 1) for t in mine]
+        rows += [(100 * k + 60, text(f"a{k}_", 90, {88}), "en", "s", 1), (100 * k + 70, text(f"b{k}_", 90, {1}), "en", "s", 1)]
+    rows += [(50, rows[0][1].upper(), "en", "s", 1), (50, rows[0][1], "de", "s", 1)]
+    for seed in (1, 2):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        table = spark.createDataFrame(mixed, SCHEMA).repartition(5)
+        found = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(table).collect()}
+        assert found == {(d, d // 100 * 100 + 50, d % 100 == 50) for d, *_ in rows}
+        kept = without_near_duplicates(table)
+        # Upper case comes first; "de" comes before "en".
+        least = {(d, t.lower()): min((t2, g2) for d2, t2, g2, *_ in rows if d2 == d and t2.lower() == t.lower()) for d, t, *_ in rows if d % 100 == 50}
+        assert kept.columns == table.columns
+        assert sorted((r.doc_id, r.text, r.lang) for r in kept.collect()) == sorted((d, t, g) for (d, _), (t, g) in least.items())
+
+
 @pytest.fixture(scope="module")
 def ranks():
     return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
