@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -49,6 +49,21 @@ def word_names(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def lower_ascii(text: Column) -> Column:
+    """The text with A-Z in lower case and all else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` names it often or in a loop."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256; rows of equal texts share it."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
 def slices(batch: pa.RecordBatch, lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about ``most`` units each; a longer row is a range of its own."""
     ends = np.cumsum(lengths)

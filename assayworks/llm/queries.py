@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayworks.llm.byte_bpe import encode, read_ranks
 from assayworks.llm.chat import conversation_digests, format_turns, text_part
-from assayworks.llm.common import table
+from assayworks.llm.common import lower_ascii, table
+from assayworks.llm.decontaminate import contamination
+from assayworks.llm.filter_audit import failures, interaction_audit
 from assayworks.llm.hnsw import near_vectors
 from assayworks.llm.kd_shards import kd_shards
+from assayworks.llm.merkle import manifest
 from assayworks.llm.minhash_dedup import near_duplicates
 from assayworks.llm.mixing import mix_sources
 from assayworks.llm.segment_search import top_k
@@ -74,10 +77,34 @@ def op10_chat_parts(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_digests(format_turns(turns))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    def tampered(field: str) -> Column:
+        own = F.col(field)
+        hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+        return F.when(hit, lower_ascii(own)).otherwise(own) if field == "text" else own
+
+    rows = manifest(table(spark, folder, "documents"), tampered)
+    proof = F.sha2(F.lower(F.hex("proof")), 256)
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    rows = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    return interaction_audit(failures(docs), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_segment_top_k, op2_toxicity_grammar, op3_recompression_dedup, op4_tensored_minhash, op5_byte_bpe,
-        op6_poisson_mixing, op7_hnsw_vectors, op8_kd_shards, op9_warc_derivatives, op10_chat_parts)
+        op6_poisson_mixing, op7_hnsw_vectors, op8_kd_shards, op9_warc_derivatives, op10_chat_parts, op11_merkle_manifest,
+        op12_prefix_decontamination, op13_filter_audit)
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -200,4 +227,97 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(24 + length(role) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op11_merkle_manifest": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, lang, n_chars, text,
+                   CASE WHEN xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)),
+                        lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                                   lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 3 = 0
+                        THEN translate(text, {_LETTERS}) ELSE text END AS tampered FROM documents),
+        f AS (
+            SELECT doc_id, lang, CASE WHEN lang IS NULL THEN '-' ELSE ':' || lang END AS g,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS t, coalesce(strlen(tampered) || ':' || tampered, '-') AS u FROM d),
+        l AS (SELECT doc_id, g, sha256(head || t) AS leaf, sha256(head || u) AS bad FROM f),
+        k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM l),
+        nodes AS (
+            SELECT g, 0 AS lvl, p, n, leaf AS h FROM k
+            UNION ALL
+            SELECT g, lvl + 1, p // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY p)) FROM nodes WHERE n > 1 GROUP BY g, lvl, n, p // 8),
+        heads AS (SELECT g, lvl, h, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        top AS (
+            SELECT 0 AS lvl, p, n, h FROM heads
+            UNION ALL
+            SELECT lvl + 1, p // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY p)) FROM top WHERE n > 1 GROUP BY lvl, n, p // 8),
+        every AS (
+            SELECT g, lvl, p, n, h, p // 8 AS up FROM nodes WHERE n > 1 UNION ALL SELECT '', lvl, p, n, h, p // 8 FROM top WHERE n > 1),
+        sib AS (
+            SELECT x.g, x.lvl, x.p, coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (y.p < x.p), '') AS a,
+                   coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (y.p > x.p), '') AS b
+            FROM every x JOIN every y USING (g, lvl, up) GROUP BY x.g, x.lvl, x.p),
+        step AS (
+            SELECT s.g, s.lvl, s.p, s.a, s.b, s.g AS ug, s.lvl + 1 AS ul, s.p // 8 AS up FROM sib s
+            UNION ALL
+            SELECT h.g, h.lvl, 0, s.a, s.b, '', 1, s.p // 8 FROM heads h JOIN sib s ON s.g = '' AND s.lvl = 0 AND s.p = h.p),
+        climb AS (
+            SELECT g AS g0, p AS p0, g, 0 AS lvl, p, bad AS fold, '' AS proof FROM k
+            UNION ALL
+            SELECT c.g0, c.p0, s.ug, s.ul, s.up, sha256(s.a || c.fold || s.b), c.proof || s.a || s.b
+            FROM climb c JOIN step s ON c.g = s.g AND c.lvl = s.lvl AND c.p = s.p),
+        done AS (SELECT g0, p0, arg_max(fold, length(proof)) AS fold, max_by(proof, length(proof)) AS proof, count(*) FROM climb GROUP BY g0, p0)
+        SELECT k.doc_id, k.leaf, heads.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(done.proof) AS proof_sha256,
+               done.fold AS folded_root, done.fold = (SELECT h FROM top WHERE n = 1) AS verified
+        FROM k JOIN heads ON heads.g = k.g JOIN done ON done.g0 = k.g AND done.p0 = k.p""",
+    "op12_prefix_decontamination": rf"""
+        WITH i AS (
+            SELECT coalesce(item_id::VARCHAR, '') AS item,
+                   regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        win AS (
+            SELECT DISTINCT item, len(ws[i:i + 9]) AS n, array_to_string(ws[i:i + 9], ' ') AS w
+            FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM i WHERE len(ws) > 0)),
+        d AS (
+            SELECT doc_id, row_number() OVER () AS row,
+                   regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        runs AS (
+            SELECT row, n, unnest(range(1, len(ws) - n + 2)) AS p,
+                   unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS w
+            FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
+        hits AS (SELECT row, p, n, item FROM runs JOIN win USING (n, w)),
+        hit AS (SELECT row, count(DISTINCT q) AS n_hit FROM (SELECT row, unnest(range(p, p + n)) AS q FROM hits) GROUP BY row),
+        its AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (row) LEFT JOIN its USING (row)""",
+    "op13_filter_audit": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        f AS (
+            SELECT doc_id, part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+                   + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text))::INT
+                   + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS m FROM w),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+        t AS (
+            SELECT part, m, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad
+            FROM f LEFT JOIN l USING (doc_id) GROUP BY part, m),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit),
+        orders AS (
+            SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+              AND len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+        steps AS (
+            SELECT filter_order, i AS step, bits[i] AS own, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS before
+            FROM orders, (SELECT unnest(range(1, 6)) AS i)),
+        r AS (
+            SELECT part, filter_order, step, own, sum(n) FILTER ((m & (before | own)) = 0) AS kept,
+                   sum(n) FILTER ((m & own) <> 0 AND (m & before) = 0) AS removed, sum(n) FILTER ((m & own) <> 0 AND (m & before) <> 0) AS redundant,
+                   sum(n) FILTER (m = own) AS unique_fails, sum(good) FILTER ((m & own) <> 0 AND (m & before) = 0) AS good_lost,
+                   sum(bad) FILTER ((m & own) <> 0 AND (m & before) = 0) AS toxic_lost
+            FROM t, steps GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+               coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+               coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+        FROM r""",
 }
