@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,6 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op12_prefix_decontamination, op13_filter_audit)
 }
 
+_SILENT_SQL = "|".join(rf"<{name}\b[^>]*(?:>.*?(?:</{name}[ \t\r\n\f]*>|\z)|\z)" for name in ("script", "style", "noscript", "template"))
+_REFERENCE_SQL = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+_NAMED_SQL = ", ".join(f"('{name}', {point})" for name, point in [*name2codepoint.items(), ("apos", 39)])
+_HREF_SQL = r"""'(?i)[ \t\r\n\f\v"''/]href[ \t\r\n\f]*=[ \t\r\n\f]*(?:"([^"]*)|''([^'']*)|([^ \t\r\n\f\v"''>]+))'"""
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL: dict[str, str] = {
@@ -179,35 +184,42 @@ SQL: dict[str, str] = {
         SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(least.b, e.vec_id)) AS component_id,
                e.vec_id = least(e.vec_id, coalesce(least.b, e.vec_id)) AS kept
         FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id""",
-    "op9_warc_derivatives": r"""
+    "op9_warc_derivatives": rf"""
         WITH r AS (
             SELECT page_id, coalesce(html, '') AS payload, coalesce(url, '') AS target_uri,
                    md5('response|' || page_id || '|' || coalesce(url, '')) AS h FROM pages),
-        i AS (SELECT *, '<urn:uuid:' || regexp_replace(h, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '>' AS rid,
+        i AS (SELECT *, '<urn:uuid:' || regexp_replace(h, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') || '>' AS rid,
                      'sha256:' || sha256(payload) AS payload_digest FROM r),
-        a AS (SELECT *, regexp_replace(payload, '(?s)<!--.*?-->', ' ', 'g') AS t FROM i),
-        b AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
-                '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'),
-                '(?is)<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g'), '(?is)<template\b[^>]*>.*?</template\s*>', ' ', 'g') AS t) FROM a),
-        c AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\n\f]+', ' ', 'g'),
-                '(?i)</?(?:p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|title|body|head|html)\b[^>]*>', chr(10), 'g'),
-                '<[a-zA-Z/!?][^>]*>', '', 'g') AS t) FROM b),
-        d AS (SELECT * REPLACE (replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
-                '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') AS t) FROM c),
-        e AS (SELECT * REPLACE (regexp_replace(regexp_replace(t, ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS t),
+        b AS (SELECT *, regexp_replace(payload, '(?is)<!--.*?(?:-->|\z)|{_SILENT_SQL}', ' ', 'g') AS said FROM i),
+        c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(said, '[ \t\r\n\f]+', ' ', 'g'),
+                '(?i)</?(?:p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|title|body|head|html)\b[^>]*(?:>|\z)', chr(10), 'g'),
+                '<[a-zA-Z/!?][^>]*(?:>|\z)', '', 'g') AS t FROM b),
+        r2 AS (SELECT DISTINCT unnest(regexp_extract_all(t, '{_REFERENCE_SQL}')) AS ref FROM c),
+        n2 AS (
+            SELECT ref, CASE WHEN starts_with(lower(ref), '&#x') THEN ('0x' || substr(ref, 4, length(ref) - 4))::INT
+                             WHEN starts_with(ref, '&#') THEN substr(ref, 3, length(ref) - 3)::INT ELSE point END AS point
+            FROM r2 LEFT JOIN (VALUES {_NAMED_SQL}) AS named(name, point) ON ref = '&' || name || ';'),
+        ref AS (
+            SELECT map(list(ref), list(CASE WHEN point IN (9, 10, 12, 13, 160) THEN ' '
+                                            WHEN point BETWEEN 1 AND 55295 OR point BETWEEN 57344 AND 1114111 THEN chr(point) ELSE ref END)) AS m FROM n2),
+        d AS (SELECT c.* REPLACE (array_to_string(list_transform(list_zip(string_split_regex(t, '{_REFERENCE_SQL}'), regexp_extract_all(t, '{_REFERENCE_SQL}')),
+                lambda x: x[1] || coalesce(m[x[2]], '')), '') AS t) FROM c, ref),
+        e AS (SELECT * REPLACE (trim(regexp_replace(t, ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS t),
                      chr(13) || chr(10) AS nl FROM d),
         m AS (
             SELECT page_id, rid, target_uri, payload_digest, nl, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS content_type, t AS block FROM e
             UNION ALL
             SELECT page_id, rid, target_uri, payload_digest, nl, 'metadata', 'application/warc-fields',
-                   'title: ' || trim(regexp_replace(regexp_extract(payload, '(?is)<title\b[^>]*>([^<]*)', 1), '[ \t\r\n\f]+', ' ', 'g')) || nl
+                   'title: ' || trim(regexp_replace(regexp_extract(said, '(?i)<title\b[^<>]*>([^<]*)', 1), '[ \t\r\n\f]+', ' ', 'g')) || nl
                    || 'payload-length: ' || strlen(payload) || nl || 'source-payload-digest: ' || payload_digest || nl
                    || 'source-header: HTTP/1.1 200 OK' || nl || 'source-header: Content-Type: text/html; charset=utf-8' || nl
                    || 'source-header: Content-Length: ' || strlen(payload) || nl
-                   || array_to_string(list_transform(regexp_extract_all(payload, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1),
-                                                     lambda u: 'outlink: ' || u || nl), '') FROM e),
+                   || array_to_string(list_transform(
+                          list_filter(regexp_extract_all(said, '(?i)<a[ \t\r\n\f/][^>]*'), lambda a: regexp_matches(a, {_HREF_SQL})),
+                          lambda a: 'outlink: ' || translate(regexp_extract(a, {_HREF_SQL}, 1) || regexp_extract(a, {_HREF_SQL}, 2)
+                                                             || regexp_extract(a, {_HREF_SQL}, 3), chr(13) || chr(10) || chr(9), '') || nl), '') FROM e),
         o AS (
-            SELECT *, '<urn:uuid:' || regexp_replace(md5(record_type || '|' || rid), '^(.{8})(.{4})(.{4})(.{4})(.{12})$',
+            SELECT *, '<urn:uuid:' || regexp_replace(md5(record_type || '|' || rid), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$',
                                                      '\1-\2-\3-\4-\5') || '>' AS record_id, 'sha256:' || sha256(block) AS block_digest FROM m)
         SELECT page_id, record_type, record_id, rid AS refers_to, target_uri, '1970-01-01T00:00:00Z' AS date, payload_digest,
                block_digest, content_type, block,

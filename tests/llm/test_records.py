@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,40 @@ def test_empty_tables(spark):
     assert chat.conversation_digests(chat.format_turns(none.select("*", chat.text_part(F.col("text")).alias("parts")))).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.derivatives(warc.responses(pages)).count() == 0
+
+
+def texts_and_links(spark, pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit(None).cast("string"))
+    found: dict = {}
+    for r in warc.derivatives(warc.responses(df)).collect():
+        found.setdefault(r.page_id, {})[r.record_type] = r.block
+    links = [[line[9:] for line in found[i]["metadata"].split("\r\n") if line.startswith("outlink: ")] for i in range(len(pages))]
+    return [found[i]["conversion"] for i in range(len(pages))], links
+
+
+def test_character_references(spark):
+    cases = {"&eacute;&copy;&#8217;&#x41;&#X1F642;&amp;lt;&#38;amp;": "é©’A🙂&lt;&amp;", "a&nbsp;&#160;&#10;b": "a   b", "&unknown; &#0; &#xD800; &#1114112; &#99999999; &lt": "&unknown; &#0; &#xD800; &#1114112; &#99999999; &lt",
+             "&&amp;&;&#;": "&&&;&#;", "&lt;p&gt;x": "<p>x", "&nbsp;x&nbsp;": "x", "&apos;&quot;&Eacute;": "'\"É"}
+    assert texts_and_links(spark, list(cases))[0] == list(cases.values())
+
+
+def test_every_form_of_link(spark):
+    page = ('<a href="/a">1</a><A HREF=\'/b\'>2</A><a class=x href=/c>3</a><a href = "/d e">4</a><a\nhref="/f\n/g">5</a><a name="h">6</a><a href="">7</a>'
+            '<!-- <a href="/no"> --><script>"<a href=/no>"</script><abbr href="/no">8</abbr><a data-href="/no">9</a><a title="x"href=/i/>10')
+    texts, links = texts_and_links(spark, [page, "<a href='/end"])
+    assert links == [["/a", "/b", "/c", "/d e", "/f/g", "", "/i/"], ["/end"]]
+    assert texts == ["1234567 8910", ""]
+
+
+def test_what_has_no_end_reaches_to_the_page_s(spark):
+    pages = ["a<!-- b <p>c", "a<script>b</p>", "a<STYLE", "a<template>b</template >c", "a <p", "a<!-- b --->c", "<title>t<b>u"]
+    assert texts_and_links(spark, pages)[0] == ["a", "a", "a", "a c", "a", "a c", "t\nu".replace("\n", "")]
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<a ", "<script>", "<script ", "</script", "<title", "<a href=", "<a href='", "&nbsp;", "<p ", "&#", "&a", " \n", "<title> ", "</script "])
+def test_broken_pages_take_linear_time(spark, piece):
+    df = spark.createDataFrame([(1, "u", "x" + piece * (1_000_000 // len(piece)))], "page_id long, url string, html string")
+    warc.derivatives(warc.responses(df.limit(0))).count()
+    began = time.perf_counter()
+    warc.derivatives(warc.responses(df)).selectExpr("sum(length(block))").collect()
+    assert time.perf_counter() - began < 4
