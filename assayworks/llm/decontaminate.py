@@ -47,8 +47,11 @@ def _window_grams(windows: DataFrame, gram: int) -> DataFrame:
     )
 
 
-def _marked(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
-    """One pass over the texts: a row (pos 0) per document, and one per shingle that some window holds."""
+def _marked(docs: DataFrame, held: DataFrame, sizes: list[int]) -> DataFrame:
+    """One pass over the texts: a row (pos 0) per document, and one per shingle that some window holds.
+
+    ``held`` is a written table of those shingles, so that a join that shuffles may split a frequent one.
+    """
     def marks(words: Column) -> Column:
         found = [F.transform(_grams(words, size), lambda g: F.struct(g["pos"].alias("pos"), g["gram"].alias("gram"))) for size in sizes]
         own = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64("key").alias("gram")))
@@ -56,8 +59,7 @@ def _marked(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
 
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), _words(F.col("text")).alias("words"))
     rows = rows.select("doc_id", "key", F.explode(bind(F.col("words"), marks)).alias("m")).select("doc_id", "key", "m.*")
-    held = grams.select("gram").distinct().withColumn("held", F.lit(True))
-    return rows.join(held, "gram", "left").where("held OR pos = 0").drop("held")
+    return rows.join(held.withColumn("held", F.lit(True)), "gram", "left").where("held OR pos = 0").drop("held")
 
 
 def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     windows = written(item_windows(benchmark, window), "leak-windows")
     grams = written(_window_grams(windows, gram), "leak-grams")
     sizes = sorted(r[0] for r in windows.select(F.least("length", F.lit(gram))).distinct().collect())
-    marked = written(_marked(docs, grams, sizes), "leak-marks")
+    marked = written(_marked(docs, written(grams.select("gram").distinct(), "leak-held"), sizes), "leak-marks")
 
     counts = marked.where("pos > 0").groupBy("gram").agg(F.count("*").alias("n"))
     prefix = (
