@@ -243,7 +243,7 @@ def binary_check_score(spark, folder):
 
 
 # Rules kept as rows, one per nation; a customer is a system whose orders set keys again and again.
-@CATALOG.add("""
+_RULE_TABLE_SQL = """
     WITH rules AS (
         SELECT 'k' || n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'off' ELSE 'on' END AS default_value,
                'off' AS bad_value, n_name || ' is off' AS warning, (n_nationkey % 9 + 1) / 10.0 AS score FROM nation),
@@ -251,18 +251,56 @@ def binary_check_score(spark, folder):
         SELECT o_custkey AS system, 'k' || (o_orderkey % 30) AS key,
                max_by(CASE WHEN o_orderstatus = 'O' THEN 'off' ELSE 'on' END, o_orderkey) AS value FROM orders GROUP BY ALL),
     hits AS (
-        SELECT c_custkey AS system, r.score FROM customer CROSS JOIN rules r LEFT JOIN entries e ON e.system = c_custkey AND e.key = r.key
+        SELECT c_custkey AS system, r.key, r.warning, r.score
+        FROM customer CROSS JOIN rules r LEFT JOIN entries e ON e.system = c_custkey AND e.key = r.key
         WHERE coalesce(e.value, r.default_value) = r.bad_value)
-    SELECT c_custkey AS system, count(score) AS n_warnings, CAST(coalesce(min(score), 1.0) AS DOUBLE) AS score
-    FROM customer LEFT JOIN hits ON system = c_custkey GROUP BY c_custkey
-""")
-def config_audit_rule_table(spark, folder):
-    rules = R.rules_from_table(table(spark, folder, "nation").selectExpr(
+"""
+
+
+def _rule_table(spark, folder):
+    rules = table(spark, folder, "nation").selectExpr(
         "concat('k', n_nationkey) AS key", "CASE WHEN n_nationkey % 2 = 0 THEN 'off' ELSE 'on' END AS default_value",
-        "'off' AS bad_value", "concat(n_name, ' is off') AS warning", "CAST((n_nationkey % 9 + 1) / 10 AS DOUBLE) AS score"))
+        "'off' AS bad_value", "concat(n_name, ' is off') AS warning", "CAST((n_nationkey % 9 + 1) / 10 AS DOUBLE) AS score")
     # The last value of a key counts.
     entries = table(spark, folder, "orders").selectExpr(
         "o_custkey AS system", "concat('k', o_orderkey % 30) AS key", "CASE WHEN o_orderstatus = 'O' THEN 'off' ELSE 'on' END AS value",
         "o_orderkey AS position")
     systems = table(spark, folder, "customer").selectExpr("c_custkey AS system")
-    return config_check(systems, entries, rules).results
+    return config_check(systems, entries, rules)
+
+
+@CATALOG.add(_RULE_TABLE_SQL + """
+    SELECT c_custkey AS system, count(score) AS n_warnings, CAST(coalesce(min(score), 1.0) AS DOUBLE) AS score
+    FROM customer LEFT JOIN hits ON system = c_custkey GROUP BY c_custkey
+""")
+def config_audit_rule_table(spark, folder):
+    return _rule_table(spark, folder).results
+
+
+@CATALOG.add(_RULE_TABLE_SQL + "SELECT system, key, warning, CAST(score AS DOUBLE) AS score FROM hits")
+def config_audit_rule_table_violations(spark, folder):
+    return _rule_table(spark, folder).warnings
+
+
+# As many rules as there are parts, a fifth of them bad by default; each supplier is a system whose
+# line items set the keys of their parts, the latest of an order counting.
+_MANY_RULES = """SELECT 'part-' || p_partkey AS key, CASE WHEN p_partkey % 5 = 0 THEN 'off' ELSE 'on' END AS default_value, 'off' AS bad_value,
+    p_name || ' is off' AS warning, CAST((p_size % 50 + 1) AS DOUBLE) / 64 AS score FROM part"""
+_MANY_ENTRIES = """SELECT l_suppkey AS system, 'part-' || l_partkey AS key, CASE WHEN l_returnflag = 'R' THEN 'off' WHEN l_returnflag = 'A' THEN 'on' END AS value,
+    l_orderkey * 10 + l_linenumber AS position FROM lineitem"""
+
+
+@CATALOG.add(f"""
+    WITH rules AS ({_MANY_RULES}), given AS ({_MANY_ENTRIES}),
+    entries AS (SELECT system, key, arg_max(coalesce(value, '~'), (position, coalesce(value = 'off', false))) AS value FROM given GROUP BY ALL),
+    hits AS (
+        SELECT s_suppkey AS system, r.score FROM supplier CROSS JOIN rules r LEFT JOIN entries e ON e.system = s_suppkey AND e.key = r.key
+        WHERE coalesce(e.value, r.default_value) = r.bad_value)
+    SELECT s_suppkey AS system, count(score) AS n_warnings, coalesce(min(score), 1.0) AS score
+    FROM supplier LEFT JOIN hits ON system = s_suppkey GROUP BY s_suppkey
+""")
+def config_audit_many_rules(spark, folder):
+    for name in ("part", "lineitem"):
+        table(spark, folder, name).createOrReplaceTempView(name)
+    parts, lines = (spark.sql(sql) for sql in (_MANY_RULES, _MANY_ENTRIES))
+    return config_check(table(spark, folder, "supplier").selectExpr("s_suppkey AS system"), lines, parts).results

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayworks.checks.outcome import Outcome, judged
 from assayworks.functions.text import quoted_locations, urls_in_code
 from assayworks.functions.urls import rebuild_url
-from assayworks.operators.differences import unlisted, unlisted_patterns, unmatched, without_any
+from assayworks.operators.differences import unlisted_parts, unlisted_patterns, unmatched, without_any
 from assayworks.operators.severity import lint_score
 
 # Fixed value: the score of a subject that reaches for an unexpected service.
@@ -57,8 +57,7 @@ def urls_check(subjects: DataFrame, texts: DataFrame, services: Sequence[str] |
         urls = without_any(urls, "url", services)
     outside = urls.groupBy(*keys, "url").agg(F.count(F.lit(1)).alias("times"))
     if isinstance(services, DataFrame):
-        outside = unlisted(outside, services, "url", "service", keys,
-                           lambda value, entry: value.contains(entry))
+        outside = unlisted_parts(outside, services, "url", "service", keys)
     warnings = outside.select(
         *keys, "url", F.concat(F.lit("Unexpected url "), F.col("url")).alias("warning"), "times")
     return judged(subjects, warnings, keys, SERVICE_FLOOR)

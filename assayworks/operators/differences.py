@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayworks.functions.patterns import FLAGS, REFERS, java_pattern, java_patterns
+from assayworks.operators.literals import candidates, needed_literal
 
 #: About how many entries of one allow-list are compared as one piece.
 LIST_PIECE = 1_000
@@ -90,19 +91,41 @@ def _without_match(values: DataFrame, pieces: DataFrame, keys: Sequence[str], ma
     )
 
 
-def unlisted(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str],
-             match: Callable[[Column, Column], Column]) -> DataFrame:
-    """Like the two above with an allow-list per key, held in a table (keys, allowed).
+def _outside(values: DataFrame, column: str, keys: Sequence[str], met: DataFrame) -> DataFrame:
+    """The values that met nothing of their key's list."""
+    return values.join(met.select(*keys, column).distinct(), [*keys, column], "left_anti").select(*values.columns)
 
-    ``match(value, entry)`` decides a single comparison. ``values`` are distinct.
+
+def unlisted_parts(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str]) -> DataFrame:
+    """Like :func:`without_any` with an allow-list per key, held in a table (keys, allowed).
+
+    Values meet the entries whose gram they hold (see :mod:`~assayworks.operators.literals`), and
+    only these are compared. An empty entry is part of every value. ``values`` are distinct.
     """
-    return _without_match(values, _pieces(listing, allowed, keys), keys,
-                          F.exists("_allowed", lambda entry: match(F.col(column), entry)))
+    entries = listing.select(*keys, F.col(allowed).alias("_entry")).where(F.col("_entry").isNotNull()).distinct()
+    met = candidates(values.select(*keys, column), entries, column, "_entry", keys).where(F.col(column).contains(F.col("_entry")))
+    everything = entries.where("_entry = ''").select(*keys)
+    rest = values.where(F.col(column).isNull()).unionByName(
+        values.where(F.col(column).isNotNull()).join(everything, list(keys), "left_anti").select(*values.columns))
+    return _outside(rest, column, keys, met)
 
 
 def unlisted_patterns(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str]) -> DataFrame:
-    """The same for patterns. A piece becomes one alternation, made once per piece, so a value is
-    looked at once, and rows of a key that follow each other share the compiled pattern."""
+    """The same for patterns, searched in the values.
+
+    A pattern with a literal that all its matches need is tried on the values that hold a gram of
+    it. The others make alternations, in pieces per key; a value meets every piece of its key's
+    list, and rows of a key that follow each other share the compiled pattern.
+    """
+    entries = listing.select(*keys, F.col(allowed).alias("_entry")).where(F.col("_entry").isNotNull()).distinct()
+    entries = entries.withColumn("_literal", needed_literal(F.col("_entry")))
+    tried = candidates(values.select(*keys, column), entries.where(F.col("_literal").isNotNull()), column, "_literal", keys)
+    # The literal itself first: it is cheaper to look for than the pattern.
+    met = tried.where(F.col(column).contains(F.col("_literal")) & F.rlike(F.col(column), F.concat(F.lit(FLAGS), java_patterns(F.col("_entry")))))
+    return _outside(_unlisted_pieces(values, entries.where(F.col("_literal").isNull()), column, "_entry", keys), column, keys, met)
+
+
+def _unlisted_pieces(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str]) -> DataFrame:
     pieces = _pieces(listing, allowed, keys)
     alone = F.filter("_allowed", lambda p: p.rlike(REFERS) | p.rlike(r"^\(\?[aimsux]+\)"))
     together = F.array_except("_allowed", alone)

@@ -44,22 +44,6 @@ SCHEDULER = [
     Rule("kubernetes.verify_ssl", "False", "False", "SSL cert. check is disabled", 0.1),
 ]
 
-#: A rule table has to be shorter than this.
-MOST_RULES = 10_000
-
-
-def rules_from_table(table: DataFrame) -> list[Rule]:
-    """Rules kept as rows (key, default_value, bad_value, warning, score).
-
-    Rules are written by hand and become part of the plan, so they come to the driver; a
-    table too long for that is refused.
-    """
-    rows = table.select("key", "default_value", "bad_value", "warning", "score").take(MOST_RULES + 1)
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules: this is no rule table")
-    return [Rule(*row) for row in rows]
-
-
 def _judged(systems: DataFrame, entries: DataFrame, rules: Sequence[Rule], keys: Sequence[str],
             labels: Sequence[str] | None) -> DataFrame:
     """One row per system with ``hits``, its violated rules.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,12 +51,37 @@ def test_many_rules(spark):
         R.rule_violations(systems, entries, [])
 
 
-def test_rules_from_a_table(spark):
-    table = spark.createDataFrame([("k", "d", "b", "w", 0.3)], "key string, default_value string, bad_value string, warning string, score double")
-    assert R.rules_from_table(table) == [R.Rule("k", "d", "b", "w", 0.3)]
-    long = spark.range(R.MOST_RULES + 1).selectExpr("'k' key", "'d' default_value", "'b' bad_value", "'w' warning", "0.3D score")
-    with pytest.raises(ValueError):
-        R.rules_from_table(long)
+def test_a_table_of_rules_says_what_a_list_says(spark, rows):
+    rng = random.Random(5)
+    given = [R.Rule(f"k{rng.randrange(12)}", rng.choice("xy"), rng.choice("xy"), f"w{i % 9}", rng.choice([0.1, 0.5, 0.9])) for i in range(20)]
+    table = spark.createDataFrame([tuple(r) for r in given + given[:3]], "key string, default_value string, bad_value string, warning string, score double")
+    systems = spark.createDataFrame([(f"s{i}",) for i in range(30)] + [("s1",), ("silent",)], "system string")
+    found = [(f"s{rng.randrange(32)}", f"k{rng.randrange(15)}", rng.choice(["x", "y", None]), rng.choice([None, 1, 2, 3])) for _ in range(400)]
+    placed = spark.createDataFrame(found, "system string, key string, value string, position int")
+    distinct = list(dict.fromkeys(given))
+    for entries in (placed, placed.drop("position"), placed.limit(0)):
+        for a, b in zip(config_check(systems, entries, distinct), config_check(systems, entries, table), strict=True):
+            assert rows(a) == rows(b.select(a.columns))
+    none = config_check(systems, placed, table.limit(0))
+    assert {tuple(r)[1:] for r in none.results.collect()} == {(0, 1.0)} and none.warnings.count() == 0
+
+
+def test_rules_of_any_number(spark):
+    """50,000 rules and 1,000,000 entries; the plan meets them in one join and pairs nothing."""
+    rules = spark.range(50_000).selectExpr(
+        "concat('k', id) key", "if(id % 4 = 0, 'off', 'on') default_value", "'off' bad_value", "concat('w', id) warning", "(id % 997 + 1) / 1000D score")
+    entries = spark.range(1_000_000).selectExpr("id % 300 system", "concat('k', id * 7919 % 60000) key", "if(id % 11 = 0, 'off', 'on') value")
+    systems = spark.range(301).selectExpr("id system")
+    result = config_check(systems, entries, rules).results
+    assert "NestedLoop" not in result._jdf.queryExecution().executedPlan().toString()
+    keys: dict = {}
+    for i in range(1_000_000):
+        k = i * 7919 % 60000
+        keys.setdefault(i % 300, {}).setdefault(k, []).append(i % 11 == 0)
+    for r in result.where("system in (0, 7, 300)").collect():
+        mine = keys.get(r.system, {})
+        broken = [k for k in range(50_000) if (any(mine[k]) if k in mine else k % 4 == 0)]
+        assert (r.n_warnings, r.score) == (len(broken), min((k % 997 + 1) / 1000 for k in broken))
 
 
 def test_the_last_value_of_a_key_counts(spark, rows):

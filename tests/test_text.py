@@ -14,6 +14,7 @@ from assayworks.functions.patterns import java_pattern
 from assayworks.functions.text import job_stem, quoted_locations, strip, urls_in_code
 from assayworks.functions.urls import rebuild_url
 from assayworks.operators import differences
+from assayworks.operators.literals import candidates, needed_literal
 
 # The patterns the checks are defined by.
 URI = r"""["\']\s*(\w+:(\/?\/?)[^\s]+)\s*["\']"""
@@ -172,3 +173,45 @@ def test_patterns_java_cannot_express_are_refused():
     for wrong in ("(", r"(a)?(?(1)b|c)"):
         with pytest.raises(ValueError):
             java_pattern(wrong)
+
+
+def test_needed_literals(spark):
+    cases = {r"^hdfs://data/\d+/x\.csv$": "hdfs://data/", r"ab*cd?e": "a", r"abc+d": "abc", "a{2}bc": "bc", "[xyz]": None, "[]x]yz": "yz", r"[^\]ab]yz": "yz",
+             "(abc)": None, "a|b": None, r"\x41bcd\101e": "bcd", r"\\d": "\\d", r"\d": None, ".*": None, "": None, "a{b": "a{b", r"\.\.\/up": "../up", r"é.ß": "ß",
+             r"ab\Z": "ab", r"a++b": "a", r"tail*?": "tai", "[\n]x": "x", "a\\\nb": "a\nb"}
+    df = spark.createDataFrame([(p,) for p in cases], "p string").select("p", needed_literal(F.col("p")).alias("literal"))
+    assert {r.p: r.literal for r in df.collect()} == cases
+
+
+def test_literals_stand_in_every_match(spark):
+    rng = random.Random(11)
+    pieces = ["a", "b+", "ab", r"\.", "x?", "c*", "d{0,1}", "e{2}", "[ab]", ".", r"\d", "/", r"\\", "-"]
+    patterns = list({"".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(300)})
+    values = ["".join(rng.choice("abcde./\\-x1") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(p,) for p in patterns], "p string").select("p", needed_literal(F.col("p")).alias("literal"))
+    for r in df.collect():
+        assert r.literal is None or all(r.literal in v for v in values if re.search(r.p, v)), r
+
+
+def test_lists_per_subject_try_only_what_can_match(spark):
+    """3,000 values of a hot subject against 3,000 patterns and services: nine million pairs, few of them tried."""
+    values = spark.range(3_000).selectExpr("'hot' AS k", "concat('hdfs://name/data/set-', id, '/part.csv') AS v").unionByName(
+        spark.createDataFrame([("cold", "hdfs://name/data/set-7/part.csv"), ("hot", None), (None, "x"), ("bare", "")], "k string, v string"))
+    listing = spark.range(3_000).selectExpr("'hot' AS k", r"concat('^hdfs://name/data/set-', id * 2, '/.*\\.csv$') AS p", "concat('set-', id * 3, '/') AS s")
+    plain = [(r.k, r.v) for r in values.collect()]
+    tried = candidates(values, listing.withColumn("literal", needed_literal(F.col("p"))), "v", "literal", ["k"])
+    assert 1_500 <= tried.count() <= 60_000
+    got = sorted(map(tuple, differences.unlisted_patterns(values, listing, "v", "p", ["k"]).collect()), key=repr)
+    assert got == sorted([(k, v) for k, v in plain if k != "hot" or v is None or int(re.search(r"set-(\d+)", v)[1]) % 2], key=repr)
+    outside = differences.unlisted_parts(values, listing, "v", "s", ["k"])
+    assert sorted(map(tuple, outside.collect()), key=repr) == sorted(
+        [(k, v) for k, v in plain if k != "hot" or v is None or int(re.search(r"set-(\d+)", v)[1]) % 3], key=repr)
+    assert "exists" not in outside._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_services_per_subject(spark):
+    rng = random.Random(4)
+    values = list({(rng.randrange(4), "".join(rng.choice("aé/.") for _ in range(rng.randint(0, 9)))) for _ in range(120)})
+    listing = [(rng.randrange(3), "".join(rng.choice("aé/.") for _ in range(rng.randint(0, 5)))) for _ in range(25)] + [(1, None)]
+    got = differences.unlisted_parts(spark.createDataFrame(values, "k int, v string"), spark.createDataFrame(listing, "k int, s string"), "v", "s", ["k"])
+    assert sorted(map(tuple, got.collect())) == sorted((k, v) for k, v in values if not any(k == j and s is not None and s in v for j, s in listing))
