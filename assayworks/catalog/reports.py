@@ -106,20 +106,20 @@ def incomplete_tasks(spark, folder):
     return R.incomplete_tasks(_results(spark, folder), _declared(spark, folder))
 
 
-# An event's props are what its attempt warned of; a high value makes it count more than once.
+# An event's props are what its attempt warned of; a high value makes it count more than once. The
+# warnings of earlier attempts are no part of the report.
 @CATALOG.add("""
     WITH attempts AS (
         SELECT CAST(user_id AS VARCHAR) AS pipeline, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS run_id,
                event_type AS task_id, CAST({score} AS DOUBLE) AS score, ts, props,
-               CAST(CASE WHEN value > 60 THEN 2 ELSE 1 END AS BIGINT) AS times, event_id % 3 <> 0 AS warned FROM events),
-    numbered AS (SELECT *, row_number() OVER (PARTITION BY pipeline, run_id, task_id ORDER BY ts DESC) AS nth FROM attempts),
-    warnings AS (SELECT pipeline, run_id, task_id, props AS warning, sum(times)::BIGINT AS times FROM attempts WHERE warned GROUP BY ALL)
-    SELECT pipeline, run_id, task_id, score, times AS n_warnings, w.warning, w.w_times AS times
-    FROM (SELECT * FROM numbered WHERE nth = 1)
-    LEFT JOIN (SELECT pipeline, run_id, task_id, warning, times AS w_times FROM warnings) w USING (pipeline, run_id, task_id)
+               CAST(CASE WHEN value > 60 THEN 2 ELSE 1 END AS BIGINT) AS times, event_id % 3 <> 0 AS warned, event_id FROM events),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY pipeline, run_id, task_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS nth FROM attempts)
+    SELECT pipeline, run_id, task_id, score, times AS n_warnings,
+           CASE WHEN warned THEN props END AS warning, CASE WHEN warned THEN times END AS times
+    FROM numbered WHERE nth = 1
 """.replace("{score}", _SCORE))
 def report_task_warnings(spark, folder):
     events = table(spark, folder, "events").withColumn("times", F.expr("CAST(CASE WHEN value > 60 THEN 2 ELSE 1 END AS BIGINT)"))
     run = ["CAST(user_id AS STRING) AS pipeline", "CAST(CAST(date_trunc('week', ts) AS DATE) AS STRING) AS run_id", "event_type AS task_id"]
-    results = events.selectExpr(*run, f"CAST({_SCORE} AS DOUBLE) AS score", "times AS n_warnings", "ts AS ended_at")
-    return R.task_warnings(results, events.where("event_id % 3 <> 0").selectExpr(*run, "props AS warning", "times"))
+    results = events.selectExpr(*run, f"CAST({_SCORE} AS DOUBLE) AS score", "times AS n_warnings", "ts AS ended_at", "CAST(event_id AS STRING) AS attempt")
+    return R.task_warnings(results, events.where("event_id % 3 <> 0").selectExpr(*run, "props AS warning", "times", "CAST(event_id AS STRING) AS attempt"))

@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 RUN = ["pipeline", "run_id"]
 
 
+def _order(results: DataFrame) -> Column:
+    """When an attempt ended; its name decides between equal times."""
+    return F.struct("ended_at", "attempt") if "attempt" in results.columns else F.struct("ended_at")
+
+
+def latest_attempts(results: DataFrame) -> DataFrame:
+    """The results of the latest attempt at each task of each run."""
+    keys = [*RUN, "task_id"]
+    others = [c for c in results.columns if c not in keys]
+    latest = results.groupBy(*keys).agg(F.max_by(F.struct(*others), _order(results)).alias("_latest"))
+    return latest.select(*[F.col(c) if c in keys else F.col(f"_latest.{c}").alias(c) for c in results.columns])
+
+
 def latest_scores(results: DataFrame, tasks: Sequence[str]) -> DataFrame:
     """One row per run with a column ``score_<n>`` per declared task, the score of its latest
     attempt by ``ended_at``.
@@ -24,7 +37,7 @@ def latest_scores(results: DataFrame, tasks: Sequence[str]) -> DataFrame:
     """
     def latest(task: str) -> Column:
         mine = F.col("task_id") == task
-        return F.max_by(F.when(mine, F.col("score")), F.when(mine, F.col("ended_at")))
+        return F.max_by(F.when(mine, F.col("score")), F.when(mine, _order(results)))
 
     if not tasks:
         return results.select(*RUN).distinct()
@@ -56,7 +69,7 @@ def report(results: DataFrame, tasks: Sequence[str]) -> DataFrame:
 def fleet_report(results: DataFrame, declared: DataFrame) -> DataFrame:
     """The same scores when every pipeline declares its own tasks in a table
     (pipeline, task_id). Task scores stay rows; see :func:`task_rows`."""
-    latest = results.groupBy(*RUN, "task_id").agg(F.max_by("score", "ended_at").alias("score"))
+    latest = results.groupBy(*RUN, "task_id").agg(F.max_by("score", _order(results)).alias("score"))
     named = declared.distinct().withColumn("_declared", F.lit(True))
     n_tasks = declared.distinct().groupBy("pipeline").agg(F.count(F.lit(1)).alias("n_tasks"))
     # Runs without any result of a declared task keep a row: only its scores are left out.
@@ -79,7 +92,7 @@ def task_rows(results: DataFrame, declared: DataFrame) -> DataFrame:
     the run has no score: the task list joined with the results."""
     runs = results.select(*RUN).distinct()
     wanted = runs.join(declared.distinct(), ["pipeline"])
-    latest = results.groupBy(*RUN, "task_id").agg(F.max_by("score", "ended_at").alias("score"))
+    latest = results.groupBy(*RUN, "task_id").agg(F.max_by("score", _order(results)).alias("score"))
     return wanted.join(latest, [*RUN, "task_id"], "left")
 
 
@@ -92,10 +105,11 @@ def task_warnings(results: DataFrame, warnings: DataFrame) -> DataFrame:
     """(pipeline, run_id, task_id, score, n_warnings, warning, times): the report of a run's tasks with
     what each warned of, one row per distinct warning and one with null for a task without any.
 
-    Equal warnings of a task come once, with their times added up. A task tried more than once
-    is reported with its latest attempt.
+    Both tables name the ``attempt`` a row is of: a task tried more than once is reported with the
+    score and the warnings of its latest attempt only. Equal warnings of an attempt come once, with
+    their times added up.
     """
-    latest = results.groupBy(*RUN, "task_id").agg(F.max_by(F.struct("score", "n_warnings"), "ended_at").alias("last"))
-    found = warnings.groupBy(*RUN, "task_id", "warning").agg(F.sum("times").alias("times"))
-    return latest.join(found, [*RUN, "task_id"], "left").select(
-        *RUN, "task_id", "last.score", "last.n_warnings", "warning", "times")
+    latest = latest_attempts(results.select(*RUN, "task_id", "score", "n_warnings", "ended_at", "attempt"))
+    found = warnings.groupBy(*RUN, "task_id", "attempt", "warning").agg(F.sum("times").alias("times"))
+    return latest.join(found, [*RUN, "task_id", "attempt"], "left").select(
+        *RUN, "task_id", "score", "n_warnings", "warning", "times")

@@ -43,7 +43,7 @@ PASSENGERS_CSV = T.StructType([
     T.StructField("Embarked", T.StringType()),
 ])
 
-#: One score per (pipeline, run, task).
+#: One score per (pipeline, run, task) and attempt.
 CHECK_RESULTS = T.StructType([
     T.StructField("pipeline", T.StringType()),
     T.StructField("run_id", T.StringType()),
@@ -53,6 +53,7 @@ CHECK_RESULTS = T.StructType([
     T.StructField("started_at", T.TimestampType()),
     T.StructField("ended_at", T.TimestampType()),
     T.StructField("state", T.StringType()),
+    T.StructField("attempt", T.StringType()),
 ])
 
 #: Warnings stay rows: their number has no bound.
@@ -62,6 +63,13 @@ CHECK_WARNINGS = T.StructType([
     T.StructField("task_id", T.StringType()),
     T.StructField("warning", T.StringType()),
     T.StructField("times", T.LongType()),
+    T.StructField("attempt", T.StringType()),
+])
+
+#: The attempts whose results and warnings are whole.
+COMMITS = T.StructType([
+    T.StructField("attempt", T.StringType()),
+    T.StructField("committed_at", T.TimestampType()),
 ])
 
 RUN_SUMMARY = T.StructType([

@@ -10,7 +10,9 @@ from assayworks.plans.assurance import assure, run_checks
 from assayworks.plans.registry import RUN, Registry, Task, standard_registry
 from assayworks.plans.standard import (
     CLASSIFICATION_JOBS, KMEANS_JOBS, assured_training_plan, expected_args, expected_jobs)
-from assayworks.sources.sinks import published_results, published_warnings
+from assayworks.operators.report import task_warnings
+from assayworks.schemas import CHECK_RESULTS, CHECK_WARNINGS
+from assayworks.sources.sinks import publish, published_results, published_warnings, stage
 
 
 def test_tasks_are_validated_before_anything_runs():
@@ -148,3 +150,38 @@ def test_warnings_of_keys_without_a_subject_are_left_out(spark, rows):
     subjects = spark.createDataFrame([("a",), ("b",)], "k string")
     violations = spark.createDataFrame([("a", 0.5), ("zz", 0.1)], "k string, score double")
     assert rows(lowest_score(subjects, violations, ["k"])) == [("a", 1, 0.5), ("b", 0, 1.0)]
+
+
+def test_attempts_do_not_mix(spark, tmp_path):
+    """A run assured twice, and an attempt that died between its two writes: the last whole attempt counts."""
+    runs, tables = evidence(spark)
+    plan = [t for t in assured_training_plan(False, "etl") if t.task_id == "python_code_check_spark"]
+    place = str(tmp_path)
+    clean = {**tables, "lint": tables["lint"].limit(0)}
+
+    def state():
+        rows = task_warnings(published_results(spark, place), published_warnings(spark, place)).where("pipeline = 'bad'").collect()
+        return [(r.score, r.n_warnings, r.warning, r.times) for r in rows]
+
+    assure(plan, runs, tables, place)
+    assert state() == [(0.0, 1, "error", 1)]
+    assure(plan, runs, tables, place)
+    assert state() == [(0.0, 1, "error", 1)]
+    report = assure(plan, runs, clean, place, attempt="fixed")
+    assert state() == [(1.0, 0, None, None)] and {r.score for r in report.collect()} == {1.0}
+    # One that dies after its results, one after its warnings: neither has a commit.
+    half = run_checks(plan, runs, tables)
+    stage(half.results, place, "results", CHECK_RESULTS, F.to_date("started_at"), "half")
+    assert state() == [(1.0, 0, None, None)]
+    started = half.warnings.join(runs, RUN)
+    stage(started, place, "warnings", CHECK_WARNINGS, F.to_date("started_at"), "half")
+    assert state() == [(1.0, 0, None, None)]
+    # Published again under its name it replaces what it left, and counts once.
+    for _ in range(2):
+        publish(half.results, half.warnings, runs, place, "half")
+        assert state() == [(0.0, 1, "error", 1)]
+    assert published_results(spark, place).where("attempt = 'half'").count() == runs.count()
+    # Kept results bring the warnings of the attempt that is kept.
+    later = runs.withColumn("run_id", F.lit("r9")).withColumn("started_at", F.timestamp_seconds(F.lit(900)))
+    kept = run_checks(plan, later, clean, published_results(spark, place), ["python_code_check_spark"], history_warnings=published_warnings(spark, place))
+    assert [(r.pipeline, r.warning, r.times) for r in kept.warnings.collect()] == [("bad", "error", 1)]
