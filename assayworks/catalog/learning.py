@@ -175,7 +175,8 @@ def silhouette(spark, folder):
     """How well the predicted clusters of one fit part, beside the labels' own separation."""
     vectors = _vectors(spark, folder).persist()
     try:
-        model = train.KMeans(featuresCol="features", predictionCol="pred", k=10, seed=train.CLUSTERING_SEED).fit(vectors)
+        kmeans = train.KMeans(featuresCol="features", predictionCol="pred", k=10, seed=train.CLUSTERING_SEED)
+        model = kmeans.fit(prep.laid_out(vectors, "vec_id"))
         values = (evaluate.silhouette_evaluator("pred").evaluate(model.transform(vectors)),
                   evaluate.label_separation(vectors, "label"))
     finally:
@@ -203,10 +204,20 @@ def model_roundtrip(spark, folder):
     return before.join(after, "doc_id").select("doc_id", F.col("before").eqNullSafe(F.col("after")).alias("same"))
 
 
-@CATALOG.add()
+@CATALOG.add("""
+    SELECT TRUE AS own_app, 1 AS n_scores, TRUE AS in_range, 1 AS n_params, '' AS params,
+           count(*) FILTER (embedding IS NOT NULL) AS n_predicted, 2 AS n_clusters FROM embeddings
+""")
 def ml_run_summary(spark, folder):
-    """The run summary row, written as JSON and read back."""
-    trained = train.train_kmeans(_vectors(spark, folder), "vec_id")
+    """The shape of the run summary row, written as JSON and read back, and what the saved model predicts."""
+    vectors = _vectors(spark, folder)
+    trained = train.train_kmeans(vectors, "vec_id")
     path = workspace(spark, "summary")
     train.save_run(spark, trained.model, f"{path}/model", f"{path}/results")
-    return read_json(spark, f"{path}/results", RUN_SUMMARY)
+    again = train.load_model(f"{path}/model")
+    n, k = again.transform(vectors).where("pred IS NOT NULL").count(), len(again.bestModel.stages[-1].clusterCenters())
+    return read_json(spark, f"{path}/results", RUN_SUMMARY).select(
+        (F.col("app_id") == spark.sparkContext.applicationId).alias("own_app"), F.size("scores").alias("n_scores"),
+        F.forall("scores", lambda s: s.between(-1.0, 1.0)).alias("in_range"), F.size("summary").alias("n_params"),
+        F.array_join("summary", ";").alias("params"), F.lit(n).alias("n_predicted"),
+        F.lit(k).alias("n_clusters"))

@@ -14,8 +14,17 @@ def roc_evaluator(label: str) -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(labelCol=label)
 
 
+class Silhouette(ClusteringEvaluator):
+    """Spark's silhouette, and 0.0, the value of a point alone in its cluster, where all rows share one cluster."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        if dataset.select(self.getPredictionCol()).distinct().limit(2).count() < 2:
+            return 0.0
+        return super()._evaluate(dataset)
+
+
 def silhouette_evaluator(prediction: str = "pred", features: str = "features") -> ClusteringEvaluator:
-    return ClusteringEvaluator(predictionCol=prediction, featuresCol=features)
+    return Silhouette(predictionCol=prediction, featuresCol=features)
 
 
 def label_separation(df: DataFrame, label: str, features: str = "features") -> float:

@@ -31,6 +31,20 @@ def holdout_split(df: DataFrame, key: str, train_share: float = 0.8, seed: int =
     return df.where(ticket < bound), df.where(ticket >= bound)
 
 
+#: Rows in a part of a table laid out for a seeded fit.
+LAYOUT_ROWS = 100_000
+
+
+def laid_out(df: DataFrame, key: str) -> DataFrame:
+    """The rows in parts and an order that depend on their number and keys only.
+
+    What an estimator draws with a seed depends on the parts it finds; here they are the same for any
+    number of shuffle partitions and files. ``key`` tells rows apart. Counts the rows when called.
+    """
+    parts = max(1, -(-df.count() // LAYOUT_ROWS))
+    return df.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key)
+
+
 def string_indexer(columns: Sequence[str], suffix: str = "Id") -> StringIndexer:
     """Indices by descending frequency; unseen values and nulls get an index of their own."""
     return StringIndexer(inputCols=list(columns), outputCols=[c + suffix for c in columns],

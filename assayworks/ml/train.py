@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayworks.ml.evaluate import roc_evaluator, silhouette_evaluator
-from assayworks.ml.prep import assembler, fold_of, string_indexer
+from assayworks.ml.prep import assembler, fold_of, laid_out, string_indexer
 from assayworks.operators.frames import drop_incomplete, null_to_text
 from assayworks.schemas import RUN_SUMMARY
 from assayworks.session import discard, settle
@@ -44,9 +44,11 @@ class Trained(NamedTuple):
 
 def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]], evaluator: Evaluator,
                    key: str, folds: int, seed: int = FOLD_SEED,
-                   parallelism: int = PARALLEL_FITS) -> CrossValidatorModel:
+                   parallelism: int = PARALLEL_FITS, drawn: bool = False) -> CrossValidatorModel:
     """Fit every parameter set on every fold and refit the best on all rows.
 
+    With ``drawn`` the estimator draws its start from a seed and gets its rows laid out by key.
+
     The fold of a row comes from its key, so a re-read or re-partitioned table gives the same
     folds and metrics. The feature stages do not depend on the parameter set: they are fitted once
     per fold and their vectors written, where Spark's own validator fits them for every set, and
@@ -55,7 +57,8 @@ def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]
     *feature_stages, estimator = stages
     pipeline = Pipeline(stages=stages)
     rows = train.withColumn(FOLD, fold_of(F.col(key), folds, seed))
-    needed = [FOLD, *dict.fromkeys(
+    arranged = (lambda df: laid_out(df, key)) if drawn else (lambda df: df)
+    needed = [FOLD, *([key] if drawn else []), *dict.fromkeys(
         estimator.getOrDefault(p) for p in estimator.params if p.name in ("featuresCol", "labelCol") and estimator.hasParam(p.name))]
 
     @inheritable_thread_target(train.sparkSession)
@@ -64,7 +67,7 @@ def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]
         ready = settle(features.transform(rows).select(*needed), "fold")
         try:
             kept, held = ready.where(F.col(FOLD) != fold), ready.where(F.col(FOLD) == fold)
-            return [evaluator.evaluate(estimator.fit(kept, values).transform(held, values)) for values in grid]
+            return [evaluator.evaluate(estimator.fit(arranged(kept), values).transform(held, values)) for values in grid]
         finally:
             discard(ready)
 
@@ -75,7 +78,7 @@ def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]
     choose = max if evaluator.isLargerBetter() else min
     best = averages.index(choose(averages))
     model = CrossValidatorModel(
-        pipeline.fit(rows, grid[best]), averages, stdMetrics=[pstdev(values) for values in per_set])
+        pipeline.fit(arranged(rows), grid[best]), averages, stdMetrics=[pstdev(values) for values in per_set])
     for param, value in ((model.estimator, pipeline), (model.estimatorParamMaps, grid),
                          (model.evaluator, evaluator), (model.numFolds, folds), (model.seed, seed)):
         model.set(param, value)
@@ -119,14 +122,14 @@ def train_kmeans(train: DataFrame, key: str, columns: Sequence[str] | None = Non
                  test: DataFrame | None = None, k: int = 2, folds: int = CLUSTERING_FOLDS,
                  parallelism: int = PARALLEL_FITS, **kmeans) -> Trained:
     """K-means over the given columns (or a ready ``features`` vector), measured by silhouette
-    of its own predictions."""
+    of its own predictions. Model and metrics do not depend on how the table is partitioned."""
     estimator = KMeans(featuresCol="features", predictionCol="pred", k=k, seed=CLUSTERING_SEED, **kmeans)
     stages = ([assembler(columns)] if columns else []) + [estimator]
     evaluator = silhouette_evaluator("pred")
     rows = settle(train, "training-rows")
     try:
         model = cross_validate(rows, stages, ParamGridBuilder().build(), evaluator, key, folds,
-                               parallelism=parallelism)
+                               parallelism=parallelism, drawn=True)
         train_metric = evaluator.evaluate(model.transform(rows))
         test_metric = None if test is None else evaluator.evaluate(model.transform(test))
     finally:

@@ -115,3 +115,20 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "a array<double>")
     assert list(prep.vector_from_array(df, "a").first().features) == [1.0, 2.0]
     assert prep.widen(df, "a", ["x", "y", "z"]).first().asDict() == {"x": 1.0, "y": 2.0, "z": None}
+
+
+def test_one_cluster_has_a_silhouette(spark):
+    df = prep.vector_from_array(spark.createDataFrame([([float(i), 1.0], 0) for i in range(5)], "a array<double>, pred int"), "a")
+    evaluator = evaluate.silhouette_evaluator("pred")
+    assert evaluator.evaluate(df) == 0.0 and evaluator.evaluate(df.limit(0)) == 0.0
+    two = df.withColumn("pred", (F.col("a")[0] > 2).cast("int"))
+    assert evaluator.evaluate(two) == pytest.approx(evaluate.ClusteringEvaluator(predictionCol="pred").evaluate(two))
+
+
+def test_layout_does_not_depend_on_partitions(spark):
+    def parts(df):
+        return df.select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")).orderBy("id").collect()
+
+    df = spark.range(250_000)
+    assert parts(prep.laid_out(df, "id")) == parts(prep.laid_out(df.repartition(7), "id"))
+    assert prep.laid_out(df, "id").rdd.getNumPartitions() == 3
