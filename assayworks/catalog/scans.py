@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayworks.catalog import CATALOG, table
+from assayworks.checks.jobs import stems
 from assayworks.ml.prep import widen
+from assayworks.operators.differences import unexpected_jobs
 from assayworks.operators.frames import seconds_between
+from assayworks.plans.standard import expected_jobs
 from assayworks.session import workspace
 from assayworks.sources import files
+from assayworks.sources.eventlogs import load_event_logs, stored_conf, stored_jobs
 from assayworks.sources.sinks import read_json, write_json
 
 _NOTE = "concat(o_orderpriority, ', \"', o_orderstatus, '\"')"
@@ -248,3 +254,91 @@ def scan_source_files(spark, folder):
     lines = table(spark, folder, "supplier").selectExpr("s_suppkey AS file", "concat('name = \"', s_name, '\"\n', 'key = ', s_suppkey) AS value")
     lines.write.partitionBy("file").text(path)
     return files.read_source_files(spark, path).select(F.regexp_extract("path", r"/file=(\d+)/", 1).alias("file"), "text")
+
+
+# A customer's broken line, one of every five; its record says what it is.
+_BROKEN = "c_custkey % 5 = 0"
+
+
+@CATALOG.add(f"""
+    SELECT 'listing' AS reader, 'drwxr-x--- - u ' || c_name AS record, 'no line of a listing' AS reason FROM customer WHERE {_BROKEN}
+    UNION ALL SELECT 'ini', 'novalue' || c_custkey, 'no key and value' FROM customer WHERE {_BROKEN}
+    UNION ALL SELECT 'ini', 'my_password' || c_custkey, 'in no section' FROM customer WHERE FALSE
+    UNION ALL SELECT 'tasks', 'dag_id: d' || c_custkey || chr(10) || '  state: success',
+                     'no task_id' FROM customer WHERE {_BROKEN} AND c_custkey % 2 = 0
+    UNION ALL SELECT 'tasks', 'task_id: t' || c_custkey || chr(10) || '  start_date: soon',
+                     'start_date is no date' FROM customer WHERE {_BROKEN} AND c_custkey % 2 = 1
+""")
+def scan_rejects(spark, folder):
+    """What three readers could not read, with the reason."""
+    customer = table(spark, folder, "customer")
+    listing, ini, tasks = (workspace(spark, kind) for kind in ("listing", "ini", "tasks"))
+    customer.selectExpr(f"""CASE WHEN {_BROKEN} THEN concat('drwxr-x--- - u ', c_name)
+        WHEN c_custkey % 5 = 1 THEN concat('Found ', c_custkey, ' items') WHEN c_custkey % 5 = 2 THEN ''
+        ELSE concat('-rw-r--r--   3 u g 42 2022-04-20 13:05 /a/', c_name) END AS value""").write.text(listing)
+    customer.selectExpr(f"""concat('[s', c_custkey, ']\n', CASE WHEN {_BROKEN} THEN concat('novalue', c_custkey)
+        WHEN c_custkey % 5 = 1 THEN '# comment' ELSE concat('key = ', c_custkey) END) AS value""").write.text(ini)
+    customer.selectExpr(f"""concat('- ', CASE WHEN {_BROKEN} AND c_custkey % 2 = 0 THEN concat('dag_id: d', c_custkey, '\n  state: success')
+        WHEN {_BROKEN} THEN concat('task_id: t', c_custkey, '\n  start_date: soon')
+        ELSE concat('task_id: t', c_custkey, '\n  start_date: ''2022-04-20T13:05:00+00:00''') END) AS value""").write.text(tasks)
+    parsed = {"listing": files.parse_listing(spark, listing), "ini": files.parse_ini(spark, ini), "tasks": files.parse_task_log(spark, tasks)}
+    rejects = [p.rejects.select(F.lit(reader).alias("reader"), F.regexp_replace(F.regexp_replace("record", r"\A- ", ""), r"\n\z", "").alias("record"), "reason")
+               for reader, p in parsed.items()]
+    return reduce(DataFrame.unionByName, rejects)
+
+
+# A user is an application whose log names one of three releases; the first twelve jobs are expected, the
+# first four before release 3.5 only, the next four from it on.
+_JOB_NAMES = ["collectAsMap at ClusteringMetrics", "collectAsMap at KMeans", "collect at ClusteringMetrics", "collect at ClusteringSummary",
+              "collect at KMeans", "countByValue at KMeans", "json at NativeMethodAccessorImpl.java:0", "parquet at KMeans",
+              "runJob at SparkHadoopWriter", "showString at NativeMethodAccessorImpl.java:0", "sum at KMeans", "takeSample at KMeans",
+              "mine at Bitcoin", "collect at Elsewhere"]
+_RELEASE = "CASE user_id % 3 WHEN 0 THEN '3.2.1' WHEN 1 THEN '3.5.0' ELSE '4.0.0-preview1' END"
+
+
+def _release_logs(spark, folder, where):
+    """Rolling logs, one folder per user: release, start, properties and jobs."""
+    events = table(spark, folder, "events").where(where)
+    names = F.array(*[F.lit(n) for n in _JOB_NAMES])
+    name = F.get(names, (F.col("event_id") % len(_JOB_NAMES)).cast("int"))
+    # Some names end in the file and line they were called from, as in a log.
+    name = F.when(name.contains(":"), name).otherwise(F.concat(name, F.lit(".scala:"), F.col("event_id") % 400))
+    jobs = events.select("user_id", F.to_json(F.struct(
+        F.lit("SparkListenerJobStart").alias("Event"), F.col("event_id").alias("Job ID"),
+        F.array(F.struct(F.col("event_id").alias("Stage ID"), name.alias("Stage Name"))).alias("Stage Infos"))).alias("value"))
+    heads = events.groupBy("user_id").agg(F.min("ts").alias("ts")).selectExpr("user_id", f"""explode(array(
+        to_json(named_struct('Event', 'SparkListenerLogStart', 'Spark Version', {_RELEASE})),
+        to_json(named_struct('Event', 'SparkListenerEnvironmentUpdate', 'Spark Properties', map('spark.user', CAST(user_id AS STRING)))),
+        to_json(named_struct('Event', 'SparkListenerApplicationStart', 'App Name', 'spark_kmeans', 'App ID', concat('app-', user_id),
+                             'Timestamp', unix_millis(CAST(ts AS TIMESTAMP)))))) AS value""")
+    path = workspace(spark, "logs")
+    heads.unionByName(jobs).withColumnRenamed("user_id", "eventlog_v2_user").write.partitionBy("eventlog_v2_user").text(path)
+    return path
+
+
+@CATALOG.add(f"""
+    WITH jobs AS (
+        SELECT DISTINCT user_id, event_id % {len(_JOB_NAMES)} AS i,
+               [{", ".join(f"'{n}'" for n in _JOB_NAMES)}][event_id % {len(_JOB_NAMES)} + 1] AS job FROM events)
+    SELECT 'app-' || user_id AS app_id, 'spark_kmeans' AS app_name, job, 'Unexpected job ' || job AS warning
+    FROM jobs WHERE i >= 12 OR (i < 4 AND user_id % 3 <> 0) OR (i BETWEEN 4 AND 7 AND user_id % 3 = 0)
+""")
+def unexpected_jobs_by_release(spark, folder):
+    expected = expected_jobs(spark, _JOB_NAMES[:4], "spark_kmeans", until="3.5").unionByName(
+        expected_jobs(spark, _JOB_NAMES[4:8], "spark_kmeans", since="3.5")).unionByName(
+        expected_jobs(spark, _JOB_NAMES[8:12], "spark_kmeans"))
+    return unexpected_jobs(stems(files.read_event_log(spark, _release_logs(spark, folder, "true"))), expected)
+
+
+@CATALOG.add("""
+    SELECT 'app-' || user_id AS app_id, count(*) AS n_jobs, CAST(user_id AS VARCHAR) AS property,
+           CASE user_id % 3 WHEN 0 THEN '3.2.1' WHEN 1 THEN '3.5.0' ELSE '4.0.0-preview1' END AS spark_version
+    FROM events GROUP BY user_id
+""")
+def scan_event_store(spark, folder):
+    """Jobs, properties and releases from one store, loaded in two goes that parse each log once."""
+    store = workspace(spark, "store")
+    for part in ("user_id % 2 = 0", "user_id % 2 = 1"):
+        load_event_logs(spark, _release_logs(spark, folder, part), store)
+    conf = stored_conf(spark, store).select(F.concat(F.lit("app-"), "value").alias("app_id"), F.col("value").alias("property"))
+    return stored_jobs(spark, store).groupBy("app_id", "spark_version").agg(F.count("job_id").alias("n_jobs")).join(conf, "app_id")

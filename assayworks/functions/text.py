@@ -52,6 +52,15 @@ def urls_in_code(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(URL_IN_CODE), F.lit(0))
 
 
+def version_order(version: Column) -> Column:
+    """A release as an array of numbers that compares as releases do; null where it starts with none.
+
+    What follows the numbers, as in 4.0.0-preview1, is left out, and so are zeros at the end.
+    """
+    numbers = F.regexp_replace(F.regexp_extract(version, r"^[0-9]+(?:\.[0-9]+)*", 0), r"(?:\.0+)+$", "")
+    return F.when(numbers != "", F.transform(F.split(numbers, r"\."), lambda n: n.cast("long")))
+
+
 def job_stem(job_name: Column) -> Column:
     """Job name up to the Scala file it names: ``collect at KMeans.scala:1`` -> ``collect at KMeans``."""
     return F.substring_index(job_name, ".scala", 1)

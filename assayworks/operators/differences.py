@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayworks.functions.patterns import FLAGS, REFERS, java_pattern, java_patterns
+from assayworks.functions.text import version_order
 from assayworks.operators.literals import candidates, needed_literal
 
 #: About how many entries of one allow-list are compared as one piece.
@@ -139,10 +140,28 @@ def _unlisted_pieces(values: DataFrame, listing: DataFrame, column: str, allowed
 
 def unexpected_jobs(jobs: DataFrame, expected: DataFrame) -> DataFrame:
     """Distinct (app_id, app_name, job) of ``jobs`` that ``expected`` (app_name, job) does
-    not list."""
+    not list.
+
+    Names of jobs depend on the Spark release: an entry may hold from the release ``since`` and up
+    to, but without, ``until``, null being open. It is compared with the jobs' ``spark_version``; of a
+    run whose release is not known, only entries that hold for all releases are expected.
+    """
+    ranged = {"since", "until"} & set(expected.columns)
+    if not ranged:
+        left = jobs.select("app_id", "app_name", "job").distinct().join(
+            expected.select("app_name", "job").distinct(), ["app_name", "job"], "left_anti")
+    else:
+        bounds = {c: version_order(F.col(c)) if c in ranged else F.lit(None).cast("array<long>") for c in ("since", "until")}
+        given = {c: F.col(c).isNotNull() if c in ranged else F.lit(False) for c in bounds}
+        want = expected.select(F.col("app_name").alias("_app"), F.col("job").alias("_job"), *[v.alias(f"_{c}") for c, v in bounds.items()],
+                               (given["since"] | given["until"]).alias("_bound")).distinct()
+        release = version_order(F.col("spark_version")) if "spark_version" in jobs.columns else F.lit(None).cast("array<long>")
+        have = jobs.select("app_id", "app_name", "job", release.alias("_release")).distinct()
+        holds = ~F.col("_bound") | (F.coalesce(F.col("_release") >= F.col("_since"), F.col("_release").isNotNull())
+                                    & F.coalesce(F.col("_release") < F.col("_until"), F.col("_release").isNotNull()))
+        left = have.join(want, (F.col("app_name") == F.col("_app")) & (F.col("job") == F.col("_job")) & holds, "left_anti")
     return (
-        jobs.select("app_id", "app_name", "job").distinct()
-        .join(expected.select("app_name", "job").distinct(), ["app_name", "job"], "left_anti")
+        left
         .select("app_id", "app_name", "job",
                 F.concat(F.lit("Unexpected job "), F.col("job")).alias("warning"))
     )

@@ -14,8 +14,8 @@ from assayworks.plans.registry import Task
 ALLOWED_PATHS = [r"hdfs://localhost.+"]
 ALLOWED_SERVICES: list[str] = []
 
-# Jobs of the two training applications. Names depend on the Spark release, so
-# newer releases need a list of their own.
+# Jobs of the two training applications, as the releases name them that the plans were
+# written for. Other releases have entries of their own (see expected_jobs).
 KMEANS_JOBS = [
     "collectAsMap at ClusteringMetrics",
     "collectAsMap at KMeans",
@@ -44,8 +44,9 @@ CLASSIFICATION_JOBS = [
 ]
 
 
-def expected_jobs(spark: SparkSession, names: Sequence[str], app_name: str) -> DataFrame:
-    return spark.createDataFrame([(app_name, name) for name in names], "app_name string, job string")
+def expected_jobs(spark: SparkSession, names: Sequence[str], app_name: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """(app_name, job, since, until): the jobs an application has from one Spark release up to, but without, another."""
+    return spark.createDataFrame([(app_name, name, since, until) for name in names], "app_name string, job string, since string, until string")
 
 
 def expected_args(runs: DataFrame, application: str) -> DataFrame:

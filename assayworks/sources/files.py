@@ -7,15 +7,15 @@ reading files whole, except for source files, which are matched as whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayworks.functions.perms import symbolic_to_octal
 from assayworks.functions.text import strip
-from assayworks.session import settle
+from assayworks.sources.eventlogs import read_event_log, read_spark_conf  # noqa: F401
 
 _FILE = "_metadata.file_path"
 
@@ -24,6 +24,30 @@ REDACTED = "<redacted>"
 SECRET_KEY = r"(?i)(password|passwd|secret|token|private_key|sql_alchemy_conn|result_backend|broker_url|fernet_key)"
 
 
+class Parsed:
+    """What a reader made of its files: ``rows``, and the records it could not read.
+
+    ``records`` has file, record and ``reason``, which is null for a record that became a row: there
+    are as many rows as such records. ``rejects`` are the others.
+    """
+
+    def __init__(self, records: DataFrame, made: Callable[[DataFrame], DataFrame]) -> None:
+        self.records, self._made = records, made
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._made(self.records.where(F.col("reason").isNull()))
+
+    @property
+    def rejects(self) -> DataFrame:
+        return self.records.where(F.col("reason").isNotNull()).select("file", "record", "reason")
+
+    def counted(self, counts: Observation) -> DataFrame:
+        """The rows; the first action on them also counts ``n_records`` and ``n_rejected``."""
+        seen = self.records.observe(counts, F.count(F.lit(1)).alias("n_records"), F.count("reason").alias("n_rejected"))
+        return self._made(seen.where(F.col("reason").isNull()))
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
              **options) -> DataFrame:
     """CSV with a header line. Without a schema the types are inferred, at the price of one
@@ -74,87 +98,42 @@ def read_hadoop_xml(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     )
 
 
-def read_ini(spark: SparkSession, path: str | Sequence[str], redact: bool = True) -> DataFrame:
-    """(path, key, value) from sectioned files, keys as ``section.key``.
+def parse_ini(spark: SparkSession, path: str | Sequence[str], redact: bool = True) -> Parsed:
+    """(path, key, value) from sectioned files, keys as ``section.key``, and the lines that are none.
 
-    One record per section, split at the line that opens the next one. Secret values are
-    replaced unless they are empty (an empty secret is what the rules look for).
+    One record per section, split at the line that opens the next one; then one per entry. Secret
+    values are replaced unless they are empty (an empty secret is what the rules look for), in what
+    is rejected too. Blank lines, comments and sections without entries are no records.
     """
     record = F.regexp_replace(F.col("value"), r"\r\n", "\n")
     header = r"^\[?([^\]\n]+)\][^\n]*(?:\n|\z)"
     entry = r"^([^=:\s][^=:]*?)\s*[=:]\s*((?s:.*))\z"
     sections = (
-        spark.read.text(path, lineSep="\n[").select(F.col(_FILE).alias("path"), record.alias("record"))
+        spark.read.text(path, lineSep="\n[").select(F.col(_FILE).alias("file"), record.alias("section"))
         # Text before the first section may hold comments only; cut it off its header.
-        .withColumn("record", F.regexp_replace("record", r"\A(?:[ \t]*(?:[#;][^\n]*)?\n)+(?=\[)", ""))
-        .where(F.col("record").rlike(header))
-        .select("path", strip(F.regexp_extract("record", header, 1)).alias("section"),
-                F.regexp_replace("record", header, "").alias("body"))
+        .withColumn("section", F.regexp_replace("section", r"\A(?:[ \t]*(?:[#;][^\n]*)?\n)+(?=\[)", ""))
+        .withColumn("name", F.when(F.col("section").rlike(header), strip(F.regexp_extract("section", header, 1))))
+        .withColumn("body", F.when(F.col("name").isNotNull(), F.regexp_replace("section", header, "")).otherwise(F.col("section")))
         # Full-line comments go away, indented lines continue the value above them.
         .withColumn("body", F.regexp_replace("body", r"(?m)^[ \t]*[#;][^\n]*(?:\n|\z)", ""))
-        .withColumn("line", F.explode(F.split("body", r"\n(?![ \t]+\S)")))
-        .where(F.col("line").rlike(entry))
-        .select("path",
-                F.concat_ws(".", "section", F.lower(strip(F.regexp_extract("line", entry, 1)))).alias("key"),
-                F.regexp_replace(strip(F.regexp_extract("line", entry, 2)), r"\n[ \t]+", "\n").alias("value"))
+        .select("file", "name", F.explode(F.split("body", r"\n(?![ \t]+\S)")).alias("record"))
+        .where(~F.col("record").rlike(r"^\s*$"))
     )
-    if not redact:
-        return sections
-    secret = F.col("key").rlike(SECRET_KEY) & (F.col("value") != "")
-    return sections.withColumn("value", F.when(secret, F.lit(REDACTED)).otherwise(F.col("value")))
-
-
-_STAGE = T.StructType([
-    T.StructField("Stage ID", T.LongType()), T.StructField("Stage Name", T.StringType())])
-
-_EVENT = T.StructType([
-    T.StructField("Event", T.StringType()),
-    T.StructField("App Name", T.StringType()),
-    T.StructField("App ID", T.StringType()),
-    T.StructField("Timestamp", T.LongType()),
-    T.StructField("Job ID", T.LongType()),
-    T.StructField("Stage Infos", T.ArrayType(_STAGE)),
-    T.StructField("Spark Properties", T.MapType(T.StringType(), T.StringType())),
-])
-
-# The event names of Spark's listener log that are read.
-_APP_START = "SparkListenerApplicationStart"
-_JOB_START = "SparkListenerJobStart"
-_ENVIRONMENT = "SparkListenerEnvironmentUpdate"
-
-
-def _events(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Log lines with the log they belong to: a file, or the folder of a rolling log."""
-    log = F.regexp_replace(F.col(_FILE), r"(/eventlog_v2_[^/]+)/.*", "$1")
-    return spark.read.option("recursiveFileLookup", True).schema(_EVENT).json(path).withColumn("path", log)
-
+    reason = F.when(F.col("name").isNull(), "in no section").when(~F.col("record").rlike(entry), "no key and value")
+    key = F.concat_ws(".", "name", F.lower(strip(F.regexp_extract("record", entry, 1))))
+    value = F.regexp_replace(strip(F.regexp_extract("record", entry, 2)), r"\n[ \t]+", "\n")
+    if redact:
+        value = F.when(key.rlike(SECRET_KEY) & (value != ""), F.lit(REDACTED)).otherwise(value)
+    records = sections.withColumn("reason", reason)
+    if redact:
+        hidden = F.when(F.col("reason").isNotNull() & F.col("record").rlike(SECRET_KEY), F.lit(REDACTED)).otherwise(F.col("record"))
+        records = records.withColumn("record", hidden)
+    return Parsed(records, lambda good: good.select(F.col("file").alias("path"), key.alias("key"), value.alias("value")))
 
-def read_event_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(app_id, app_name, started_at, job_id, job_name) from Spark event logs, one row per
-    job; an application without jobs has one row with null job columns.
 
-    One log belongs to one application. A job is named after its last stage, as the history
-    server does. Jobs of a log without a start event have null application columns. Reads the
-    logs at once: the events kept are written as a table.
-    """
-    # Parsed once, into a narrow table of start and job events.
-    events = settle(_events(spark, path).where(F.col("Event").isin(_APP_START, _JOB_START)).select(
-        "path", (F.col("Event") == _JOB_START).alias("is_job"),
-        F.struct(F.col("Timestamp").alias("at"), F.col("App ID").alias("app_id"), F.col("App Name").alias("app_name")).alias("app"),
-        F.col("Job ID").alias("job_id"), F.array_max(F.col("Stage Infos"))["Stage Name"].alias("job_name")), "events")
-    apps = events.where(~F.col("is_job")).groupBy("path").agg(F.min("app").alias("app"))
-    jobs = events.where("is_job").select("path", "job_id", "job_name")
-    return jobs.join(apps, "path", "full_outer").select(
-        "app.app_id", "app.app_name", F.timestamp_millis("app.at").alias("started_at"),
-        "job_id", "job_name")
-
-
-def read_spark_conf(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, key, value): the Spark properties recorded in event logs."""
-    return (
-        _events(spark, path).where(F.col("Event") == _ENVIRONMENT)
-        .select("path", F.explode("Spark Properties").alias("key", "value"))
-    )
+def read_ini(spark: SparkSession, path: str | Sequence[str], redact: bool = True) -> DataFrame:
+    """The rows of :func:`parse_ini`."""
+    return parse_ini(spark, path, redact).rows
 
 
 def read_scans(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -162,29 +141,41 @@ def read_scans(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return read_source_files(spark, path).withColumnRenamed("text", "report")
 
 
-def read_listing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, owner, group, perm) from recursive directory listings.
+# Lines of a listing that name a folder or count entries.
+_HEADING = r"^(?:Found \d+ items?|total \S+|[^\s].*:)$"
+
 
-    Lines look like ``-rw-r--r--   3 owner group 42 2022-04-20 13:05 /a/b``; the access mark
-    ``+`` after the mode is allowed, other lines drop out.
+def parse_listing(spark: SparkSession, path: str | Sequence[str]) -> Parsed:
+    """(path, owner, group, perm) from recursive directory listings, and the lines that are none.
+
+    Lines look like ``-rw-r--r--   3 owner group 42 2022-04-20 13:05 /a/b``; the access mark ``+``
+    after the mode is allowed. Blank lines and the headings of folders are no records.
     """
     line = (
         r"^[-dl]([-rwxsStT]{9})[+.]?\s+\S+\s+(\S+)\s+(\S+)\s+\d+\s+\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}\s+(.+)$")
-    return spark.read.text(path).where(F.col("value").rlike(line)).select(
-        F.regexp_extract("value", line, 4).alias("path"),
-        F.regexp_extract("value", line, 2).alias("owner"),
-        F.regexp_extract("value", line, 3).alias("group"),
-        symbolic_to_octal(F.regexp_extract("value", line, 1)).alias("perm"))
+    records = spark.read.text(path).where(~F.col("value").rlike(r"^\s*$") & ~F.col("value").rlike(_HEADING)).select(
+        F.col(_FILE).alias("file"), F.col("value").alias("record"), F.when(~F.col("value").rlike(line), "no line of a listing").alias("reason"))
+    return Parsed(records, lambda good: good.select(
+        F.regexp_extract("record", line, 4).alias("path"),
+        F.regexp_extract("record", line, 2).alias("owner"),
+        F.regexp_extract("record", line, 3).alias("group"),
+        symbolic_to_octal(F.regexp_extract("record", line, 1)).alias("perm")))
+
+
+def read_listing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The rows of :func:`parse_listing`."""
+    return parse_listing(spark, path).rows
 
 
 # Task ids that were spelled differently in the logs.
 TASK_ALIASES = {"network_traffick_check": "network_traffic_check"}
 
 
-def read_task_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(dag_id, task_id, execution_date, start_date, end_date, state) from a YAML list of flat
-    maps, whatever the order of the keys."""
-    record = F.concat(F.lit("\n"), F.regexp_replace("value", r"\A- ", ""))
+def parse_task_log(spark: SparkSession, path: str | Sequence[str]) -> Parsed:
+    """(dag_id, task_id, execution_date, start_date, end_date, state) from a YAML list of flat maps,
+    whatever the order of the keys, and the records that name no task or hold a date that is none."""
+    record = F.concat(F.lit("\n"), F.regexp_replace("record", r"\A- ", ""))
+    dates = ("execution_date", "start_date", "end_date")
 
     def field(name: str) -> Column:
         raw = F.regexp_extract(record, rf"\n\s*{name}:[ \t]*'?([^'\n]*)'?", 1)
@@ -193,14 +184,19 @@ def read_task_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     task = field("task_id")
     for spelled, meant in TASK_ALIASES.items():
         task = F.regexp_replace(task, rf"\b{spelled}\b", meant)
-    return (
-        spark.read.text(path, lineSep="\n- ")
-        .select(field("dag_id").alias("dag_id"), task.alias("task_id"),
-                *[F.try_to_timestamp(field(name)).alias(name)
-                  for name in ("execution_date", "start_date", "end_date")],
-                field("state").alias("state"))
-        .where(F.col("task_id").isNotNull())
-    )
+    # YAML writes a date that is not there as null or ~.
+    unread = [F.when(field(d).isNotNull() & ~field(d).isin("null", "~") & F.try_to_timestamp(field(d)).isNull(), f"{d} is no date") for d in dates]
+    records = spark.read.text(path, lineSep="\n- ").select(F.col(_FILE).alias("file"), F.col("value").alias("record")).where(
+        ~F.col("record").rlike(r"^\s*(?:-\s*)?$"))
+    records = records.withColumn("reason", F.coalesce(F.when(task.isNull(), "no task_id"), *unread))
+    return Parsed(records, lambda good: good.select(
+        field("dag_id").alias("dag_id"), task.alias("task_id"), *[F.try_to_timestamp(field(d)).alias(d) for d in dates],
+        field("state").alias("state")))
+
+
+def read_task_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The rows of :func:`parse_task_log`."""
+    return parse_task_log(spark, path).rows
 
 
 def read_probe_timings(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

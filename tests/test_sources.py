@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from assayworks.checks import config_check
@@ -12,7 +13,9 @@ from assayworks.operators.frames import drop_incomplete, null_to_text, seconds_b
 from assayworks.operators.rules import ENGINE, SCHEDULER
 from assayworks.schemas import PASSENGERS_CSV
 from assayworks.session import workspace
-from assayworks.sources import files, sinks
+from assayworks.operators import differences
+from assayworks.sources.eventlogs import load_event_logs, stored_jobs
+from assayworks.sources import eventlogs, files, sinks
 
 
 def write(path, text, newline=None):
@@ -173,3 +176,56 @@ def test_workspace_uses_the_shared_folder(spark):
     shared = workspace(spark, "x")
     assert shared.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/")
     assert shared != workspace(spark, "x")
+
+
+def test_a_store_parses_each_log_once(spark, tmp_path, rows):
+    logs, store = tmp_path / "logs", str(tmp_path / "store")
+    assert stored_jobs(spark, store).count() == 0 and eventlogs.stored_conf(spark, store).count() == 0
+    write(logs / "app 1", "\n".join(event_lines("one", [["a at B"]], {"k": "v"})))
+    grown = event_lines("two", [["a at B"], ["b at B"]], {"k": "w"})
+    write(logs / "eventlog_v2_app-2" / "events_1_app-2", "\n".join(grown[:4]))
+    found = lambda: rows(stored_jobs(spark, store), "app_id", "job_id", "job_name", "spark_version")
+    assert load_event_logs(spark, str(logs), store) == 2 and load_event_logs(spark, str(logs), store) == 0
+    first = [("one-1", 0, "a at B", "4"), ("two-1", 0, "a at B", "4")]
+    assert found() == first
+    # A load that died left events without its logs' names.
+    left = spark.read.parquet(f"{store}/events").withColumn("load", F.lit("dead"))
+    left.write.mode("append").partitionBy("kind").parquet(f"{store}/events")
+    assert found() == first
+    # A log that has grown is parsed again, whole; the others are not.
+    write(logs / "eventlog_v2_app-2" / "events_2_app-2", "\n".join(grown[4:]))
+    assert load_event_logs(spark, str(logs), store) == 2
+    assert found() == [*first, ("two-1", 1, "b at B", "4")]
+    assert rows(eventlogs.stored_conf(spark, store), "key", "value") == [("k", "v"), ("k", "w")]
+    plan = stored_jobs(spark, store)._jdf.queryExecution().executedPlan().toString()
+    assert "kind" in plan and "conf" not in plan
+
+
+def test_rows_and_rejects_add_up(spark, tmp_path):
+    listing = write(tmp_path / "ls", "Found 3 items\n/a:\n\n-rw-r--r--   3 o g 42 2022-04-20 13:05 /a/b c\ndrwx 3 o g\ntotal 8\njunk")
+    ini = write(tmp_path / "x.cfg", "# top\nstray = 1\n[a]\nk = v\nno value\n\n; c\nx: y\n  more\n[empty]\n[b]\nmy_token here\n=v")
+    tasks = write(tmp_path / "t.yaml", "- dag_id: d\n  task_id: t\n  start_date: '2022-04-20T13:05:00+00:00'\n  end_date: null\n- dag_id: d\n- task_id: u\n  end_date: '2022-99-01'\n")
+    expected = {
+        "listing": (files.parse_listing(spark, listing), 1, {("drwx 3 o g", "no line of a listing"), ("junk", "no line of a listing")}),
+        "ini": (files.parse_ini(spark, ini), 2, {("stray = 1", "in no section"), ("no value", "no key and value"),
+                                                 ("<redacted>", "no key and value"), ("=v", "no key and value")}),
+        "tasks": (files.parse_task_log(spark, tasks), 1, {("dag_id: d", "no task_id"), ("task_id: u\n  end_date: '2022-99-01'\n", "end_date is no date")}),
+    }
+    for name, (parsed, n, rejects) in expected.items():
+        assert {(r.record, r.reason) for r in parsed.rejects.collect()} == rejects, name
+        assert all(r.file.startswith("file:") for r in parsed.rejects.collect())
+        counts = Observation()
+        assert parsed.counted(counts).count() == parsed.rows.count() == n, name
+        assert counts.get == {"n_records": n + len(rejects), "n_rejected": len(rejects)}
+
+
+def test_expected_jobs_by_release(spark, rows):
+    jobs = spark.createDataFrame([("a", "x", "j", "3.5"), ("b", "x", "j", "3.4.9"), ("c", "x", "j", None), ("d", "x", "j", "4.0.0-preview1"),
+                                  ("e", "x", "j", "10.1"), ("f", "x", "any", None), ("g", "x", "other", "3.5"), ("h", "x", "j", "3.5.0")],
+                                 "app_id string, app_name string, job string, spark_version string")
+    expected = spark.createDataFrame([("x", "j", "3.5.0", "4.0"), ("x", "j", "10", None), ("x", "any", None, None)],
+                                     "app_name string, job string, since string, until string")
+    assert [r[0] for r in rows(differences.unexpected_jobs(jobs, expected))] == ["b", "c", "d", "g"]
+    assert [r[0] for r in rows(differences.unexpected_jobs(jobs, expected.drop("until")))] == ["b", "c", "g"]
+    assert [r[0] for r in rows(differences.unexpected_jobs(jobs, expected.drop("since", "until")))] == ["g"]
+    assert [r[0] for r in rows(differences.unexpected_jobs(jobs.drop("spark_version"), expected))] == ["a", "b", "c", "d", "e", "g", "h"]
