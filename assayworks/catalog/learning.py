@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayworks.catalog import CATALOG, table
 from assayworks.ml import evaluate, prep, train
+from assayworks.ml.indexer import TableIndexer
 from assayworks.schemas import RUN_SUMMARY
 from assayworks.session import settle, workspace
 from assayworks.sources.sinks import read_json
@@ -68,6 +69,16 @@ def string_index_large(spark, folder):
     return prep.frequency_index(items, "part")
 
 
+@CATALOG.add("""
+    WITH labels AS (
+        SELECT l_partkey, row_number() OVER (ORDER BY count(*) DESC, CAST(l_partkey AS VARCHAR)) - 1 AS i FROM lineitem GROUP BY l_partkey)
+    SELECT l_orderkey, l_linenumber, l_partkey, CAST(i AS DOUBLE) AS part_index FROM lineitem JOIN labels USING (l_partkey)
+""")
+def string_index_table(spark, folder):
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return TableIndexer(inputCols=["l_partkey"], outputCols=["part_index"]).fit(items).transform(items)
+
+
 @CATALOG.add(f"""
     WITH {_INDEX_SQL}
     SELECT o_orderkey, o_totalprice AS f0, CAST(o_custkey AS DOUBLE) AS f1, priority_id AS f2, status_id AS f3 FROM indexed

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayworks.ml.evaluate import roc_evaluator, silhouette_evaluator
+from assayworks.ml.indexer import TableIndexer, TableIndexerModel
 from assayworks.ml.prep import assembler, fold_of, laid_out, string_indexer
 from assayworks.operators.frames import drop_incomplete, null_to_text
 from assayworks.schemas import RUN_SUMMARY
@@ -70,6 +71,9 @@ def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]
             return [evaluator.evaluate(estimator.fit(arranged(kept), values).transform(held, values)) for values in grid]
         finally:
             discard(ready)
+            for stage in features.stages:
+                if isinstance(stage, TableIndexerModel):
+                    stage.discard()
 
     with ThreadPool(max(1, min(parallelism, folds))) as pool:
         by_fold = pool.map(metrics_of, range(folds), chunksize=1)
@@ -89,13 +93,14 @@ def train_classifier(train: DataFrame, label: str, key: str, numeric: Sequence[s
                      categorical: Sequence[str] = (), optional: Sequence[str] = (),
                      test: DataFrame | None = None, folds: int = CLASSIFIER_FOLDS,
                      parallelism: int = PARALLEL_FITS, reg_params: Sequence[float] = REG_PARAMS,
-                     **svc) -> Trained:
+                     large: Sequence[str] = (), **svc) -> Trained:
     """Linear SVM over numeric and indexed text columns, chosen by area under ROC.
 
     The cleaned rows are written once; the many small jobs of the fits start from there.
 
     Nulls in ``optional`` columns become a category of their own; other rows with nulls drop
-    out. ``test`` is scored when given.
+    out. ``test`` is scored when given. Categorical columns named in ``large`` keep their labels in a
+    table (see :mod:`~assayworks.ml.indexer`), those of the others are on the driver.
     """
     def clean(df: DataFrame, needed: Sequence[str]) -> DataFrame:
         df = df.select(*dict.fromkeys([key, *numeric, *categorical, *needed]))
@@ -104,7 +109,10 @@ def train_classifier(train: DataFrame, label: str, key: str, numeric: Sequence[s
         return drop_incomplete(df)
 
     estimator = LinearSVC(labelCol=label, featuresCol="features", **svc)
-    stages = [string_indexer(categorical)] if categorical else []
+    small = [c for c in categorical if c not in large]
+    stages = [string_indexer(small)] if small else []
+    if large:
+        stages.append(TableIndexer(inputCols=list(large), outputCols=[c + "Id" for c in large]))
     stages += [assembler([*numeric, *[c + "Id" for c in categorical]]), estimator]
     grid = ParamGridBuilder().addGrid(estimator.regParam, list(reg_params)).build()
     evaluator = roc_evaluator(label)

@@ -6,11 +6,12 @@ import random
 
 import pytest
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from assayworks.ml import evaluate, prep, train
+from assayworks.ml.indexer import TableIndexer
 from assayworks.plans import training
 from assayworks.schemas import RUN_SUMMARY
 from assayworks.sources.sinks import read_json
@@ -132,3 +133,28 @@ def test_layout_does_not_depend_on_partitions(spark):
     df = spark.range(250_000)
     assert parts(prep.laid_out(df, "id")) == parts(prep.laid_out(df.repartition(7), "id"))
     assert prep.laid_out(df, "id").rdd.getNumPartitions() == 3
+
+
+def test_a_table_of_labels_indexes_like_sparks(spark, tmp_path):
+    df = spark.range(500).selectExpr("id", "concat('v', CAST(sqrt(id) AS INT) % 17) AS a", "if(id % 9 = 0, NULL, id % 5) AS b", "'mine' AS _value")
+    other = spark.createDataFrame([(1, "v3", 4, "x"), (2, "unseen", None, "y"), (3, None, 99, "z")], "id long, a string, b long, _value string")
+    theirs = prep.string_indexer(["a", "b"]).fit(df.withColumn("b", F.col("b").cast("string")))
+    model = TableIndexer(inputCols=["a", "b"], outputCols=["aId", "bId"]).fit(df.drop("_value"))
+    PipelineModel([model]).write().overwrite().save(f"{tmp_path}/m")
+    loaded = PipelineModel.load(f"{tmp_path}/m")
+    for rows in (df.drop("_value"), other.drop("_value")):
+        want = sorted(map(tuple, theirs.transform(rows.withColumn("b", F.col("b").cast("string"))).select("id", "aId", "bId").collect()))
+        for one in (model, loaded, model.copy()):
+            assert sorted(map(tuple, one.transform(rows).select("id", "aId", "bId").collect())) == want
+
+
+def test_a_classifier_over_a_million_values(spark, tmp_path):
+    df = spark.range(1_000_000).selectExpr("id", "concat('user-', id) AS name", "CAST(id % 1000 AS DOUBLE) AS x", "CAST(id % 1000 > 500 AS INT) AS label")
+    df = df.withColumn("name", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("name")))
+    trained = train.train_classifier(df, "label", "id", ["x"], ["name"], large=["name"], folds=2, reg_params=[0.1], maxIter=2)
+    assert trained.train_metric > 0.9
+    train.save_run(spark, trained.model, f"{tmp_path}/model", f"{tmp_path}/results")
+    loaded = train.load_model(f"{tmp_path}/model")
+    some = df.where("id % 100000 < 3")
+    scores = lambda m: {r.id: (r.nameId, r.prediction) for r in m.transform(some).collect()}
+    assert scores(loaded) == scores(trained.model) and scores(loaded)[0][0] == 0.0
