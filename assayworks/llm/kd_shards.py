@@ -1,134 +1,140 @@
 """Sharding by k-d tree: weighted medians along the widest metadata dimension.
 
-Only DataFrame functions. Documents become points: one number per metadata column, in equal grids,
-plus a fraction from a hash that spreads ties. Every level of the tree finds all its cuts at once from
-histograms of bytes (cells x bins rows, whatever the size of the table) that zoom in on the cut.
+Only DataFrame functions. Documents become points: one whole number per metadata column, in equal grids,
+with a hash in its last digits that spreads ties. The cells of the tree are rows of a table. Every level
+finds all its cuts at once from histograms of bytes that zoom in on them, one row per cell being left of
+each; what the driver sees is whether cells are left to cut.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayworks.llm.common import written
+from assayworks.operators.ranges import sum_before
+from assayworks.session import discard
 
-#: Integer steps of a dimension before the tie-breaking fraction.
-GRID = float(1 << 30)
+#: Steps of a dimension, and of the hash below one step.
+GRID, TIES = 1 << 30, 1 << 20
 BINS = 512
-#: A cut is good when its bin holds less than this share of one shard, or after so many zooms.
-CUT_SHARE, ZOOMS = 0.002, 6
-#: Bins are not zoomed into below the last digits that points have.
-RESOLUTION = 1e-6
-#: Rows numbered by one task.
-SLOT_ROWS = 50_000
-
-
-@dataclass
-class Cell:
-    """A cell of the tree: it holds ``shards`` leaves, ``dimension`` and ``cut`` once it is split."""
-
-    shards: int
-    number: int
-    dimension: int = -1
-    cut: float = 0.0
-    halves: list[Cell] = field(default_factory=list)
-    low: float = 0.0
-    high: float = 0.0
-    below: float = 0.0
-    weight: float = 0.0
-
-    def column(self, leaf) -> Column:
-        """The cell of a row as an expression; ``leaf`` gives the number of an unsplit cell."""
-        if not self.halves:
-            return F.lit(leaf(self))
-        left, right = self.halves
-        return F.when(F.col(f"kd_{self.dimension}") < F.lit(self.cut), left.column(leaf)).otherwise(right.column(leaf))
-
-    def leaves(self) -> list[Cell]:
-        return [x for half in self.halves for x in half.leaves()] if self.halves else [self]
-
-
-def _number(column: Column, kind: str) -> Column:
-    """Any metadata value as a number that keeps its order (of texts, the first six bytes)."""
-    if kind in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if kind in ("date", "timestamp"):
-        return column.cast("timestamp").cast("double")
-    return column.cast("double")
+#: A cut is near enough when its bin holds less than this share of a shard's bytes.
+CUT_SHARE = 0.002
+#: Rows numbered by one task, and copies of a row made by one.
+SLOT_ROWS, COPY_ROWS = 50_000, 10_000
+
+
+def _ranked(docs: DataFrame, column: str, number: str) -> DataFrame:
+    """A text column as the rank of its value among the values there are, bytewise; nulls stay."""
+    values = docs.select(F.col(column).alias("kd_value")).where("kd_value IS NOT NULL").distinct().withColumn("kd_one", F.lit(1))
+    ranks = sum_before(values, [("kd_value", True)], "kd_one", number).select("kd_value", F.col(number).cast("double").alias(number))
+    return docs.join(ranks, F.col(column) == F.col("kd_value"), "left").drop("kd_value")
 
 
 def _points(docs: DataFrame, dimensions: list[str]) -> DataFrame:
-    """doc_id, size, text_crc32, and kd_0.. on the grid; nulls and NaN come first."""
+    """doc_id, size, text_crc32 and ``at``, a whole number per dimension; nulls and NaN come first.
+
+    Repeated rows are counted and made again by number, so that their ties do not depend on where
+    they were read.
+    """
     kinds = dict(docs.dtypes)
     text = F.coalesce(F.col("text"), F.lit(""))
-    numbers = [_number(F.col(f"`{d}`"), kinds[d]) for d in dimensions] + [F.log1p(F.octet_length(text).cast("double"))]
-    plain = docs.select(
-        F.col("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        *[F.when(F.isnan(n), None).otherwise(n).alias(f"kd_{i}") for i, n in enumerate(numbers)])
-    plain = written(plain, "kd-plain")
-    names = [f"kd_{i}" for i in range(len(numbers))]
-    span = plain.agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("low", F.min), ("high", F.max))]).first()
-    # Rows with equal ids and texts differ only by the random digits below the hash.
-    tie = (F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << 20)) + F.rand(17)) / F.lit(float(1 << 20))
-    scaled = []
+    named = [F.col(f"`{d}`").cast("binary" if kinds[d] in ("string", "binary") else "timestamp" if kinds[d] == "date" else kinds[d]).alias(f"kd_from_{i}")
+             for i, d in enumerate(dimensions)]
+    plain = written(docs.select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *named)
+        .groupBy("doc_id", "size", "text_crc32", *[f"kd_from_{i}" for i in range(len(named))]).agg(F.count("*").alias("kd_copies")), "kd-plain")
+    numbered = plain
+    for i, d in enumerate(dimensions):
+        if kinds[d] in ("string", "binary"):
+            numbered = _ranked(numbered, f"kd_from_{i}", f"kd_{i}")
+        else:
+            numbered = numbered.withColumn(f"kd_{i}", F.col(f"kd_from_{i}").cast("double"))
+    numbered = written(numbered.withColumn(f"kd_{len(dimensions)}", F.log1p(F.col("size").cast("double"))), "kd-numbered")
+    names = [f"kd_{i}" for i in range(len(dimensions) + 1)]
+    real = {n: F.when(~F.isnan(n), F.col(n)) for n in names}
+    span = numbered.agg(*[f(real[n]).alias(f"{k}_{n}") for n in names for k, f in (("low", F.min), ("high", F.max))]).first()
+    places = []
     for n in names:
-        low, high = span[f"low_{n}"], span[f"high_{n}"]
-        width = (high - low) if low is not None and high > low else 1.0
-        place = F.floor((F.col(n) - F.lit(low if low is not None else 0.0)) / F.lit(width) * F.lit(GRID)) + 1
-        scaled.append((F.coalesce(place, F.lit(0)).cast("double") + F.col("kd_tie")).alias(n))
-    return written(plain.withColumn("kd_tie", tie).select("doc_id", "size", "text_crc32", *scaled), "kd-points")
-
-
-def _split(points: DataFrame, root: Cell, dims: int, per_shard: float) -> bool:
-    """Split every cell of several shards once; False if there was none."""
-    open_cells = {c.number: c for c in root.leaves() if c.shards > 1}
-    if not open_cells:
-        return False
-    number = root.column(lambda c: c.number if c.shards > 1 else -1)
-    rows = points.withColumn("cell", number).where("cell >= 0")
-    names = [f"kd_{i}" for i in range(dims)]
-    spans = rows.groupBy("cell").agg(
-        F.sum("size").alias("weight"), *[F.min(n).alias(f"low_{n}") for n in names], *[F.max(n).alias(f"high_{n}") for n in names])
-    seen = {r["cell"]: r for r in spans.collect()}
-    for cell in open_cells.values():
-        r = seen.get(cell.number)
-        widths = [r[f"high_{n}"] - r[f"low_{n}"] for n in names] if r else [0.0] * dims
-        cell.dimension = max(range(dims), key=lambda i: widths[i])
-        cell.low = r[f"low_kd_{cell.dimension}"] if r else 0.0
-        cell.high = r[f"high_kd_{cell.dimension}"] + 1e-6 if r else 1.0
-        cell.weight, cell.below = float(r["weight"] if r else 0), 0.0
-    todo = dict(open_cells)
-    for _ in range(ZOOMS):
-        if not todo:
-            break
-        # Each cell looks at its own dimension and range.
-        place = F.coalesce(*[F.when(F.col("cell") == c.number, F.floor(
-            (F.col(f"kd_{c.dimension}") - F.lit(c.low)) / F.lit(c.high - c.low) * BINS)) for c in todo.values()])
-        bins = rows.withColumn("bin", place).where(F.col("bin").between(0, BINS - 1)).groupBy("cell", "bin").agg(F.sum("size").alias("w"))
-        held: dict[int, dict[int, int]] = {}
-        for r in bins.collect():
-            held.setdefault(r["cell"], {})[r["bin"]] = r["w"]
-        for cell in list(todo.values()):
-            want = cell.weight * (cell.shards // 2) / cell.shards
-            step, at = (cell.high - cell.low) / BINS, cell.below
-            low = cell.low
-            for b in range(BINS):
-                w = held.get(cell.number, {}).get(b, 0)
-                if at + w >= want or b == BINS - 1:
-                    break
-                at += w
-            cell.below = at
-            cell.low, cell.high = low + b * step, low + (b + 1) * step
-            cell.cut = cell.low if want - at < at + w - want else cell.high
-            if w <= CUT_SHARE * per_shard or cell.high - cell.low < RESOLUTION:
-                del todo[cell.number]
-    for cell in open_cells.values():
-        left = cell.shards // 2
-        cell.halves = [Cell(left, 2 * cell.number + 1), Cell(cell.shards - left, 2 * cell.number + 2)]
-    return True
+        low, high = span[f"low_{n}"] or 0.0, span[f"high_{n}"] or 0.0
+        share = (real[n] - F.lit(low)) / F.lit((high - low) or 1.0)
+        places.append(F.coalesce(F.floor(share * F.lit(float(GRID))) + 1, F.lit(0)).cast("long"))
+    # A row's copies in parts, so that no task makes all copies of a very common row.
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(kd_copies - 1) div {COPY_ROWS}"))).alias("kd_part")
+    parts = numbered.select("doc_id", "size", "text_crc32", "kd_copies", F.array(*places).alias("kd_places"), part)
+    first = F.col("kd_part") * COPY_ROWS
+    last = F.least(F.col("kd_copies"), first + COPY_ROWS) - 1
+    copies = parts.repartition("doc_id", "text_crc32", "kd_part").select(
+        "doc_id", "size", "text_crc32", "kd_places", F.explode(F.sequence(first, last)).alias("kd_copy"))
+    tie = F.pmod(F.xxhash64("doc_id", "text_crc32", "kd_copy"), F.lit(TIES))
+    rows = written(copies.select("doc_id", "size", "text_crc32", F.transform("kd_places", lambda p: p * TIES + tie).alias("at")), "kd-points")
+    discard(plain)
+    discard(numbered)
+    return rows
+
+
+def _cut(rows: DataFrame, cells: DataFrame, dims: int, near: float) -> DataFrame:
+    """(cell, first, shards, dimension, cut) for every cell of several shards.
+
+    A cell is cut along its widest dimension where its bytes part as its shards do; of the two
+    places around that point the nearer one. Each zoom looks at the bin that holds the point, until it
+    holds one row, or at most ``near`` bytes.
+    """
+    held = rows.join(cells.where("shards > 1"), "cell")
+    spans = held.groupBy("cell", "first", "shards").agg(
+        F.sum("size").alias("weight"), F.array(*[F.min(F.get("at", F.lit(i))) for i in range(dims)]).alias("lows"),
+        F.array(*[F.max(F.get("at", F.lit(i))) for i in range(dims)]).alias("highs"))
+    widths = F.transform(F.arrays_zip("lows", "highs"), lambda z: z["highs"] - z["lows"])
+    # Of equally wide dimensions the first.
+    spans = spans.withColumn("dimension", (F.array_position(widths, F.array_max(widths)) - 1).cast("int"))
+    step = F.expr(f"greatest((high - low + {BINS - 1}) div {BINS}, 1)")
+    looks = written(spans.select(
+        "cell", "first", "shards", "dimension", (F.col("weight") * F.expr("shards div 2") / F.col("shards")).alias("want"),
+        F.get("lows", "dimension").alias("low"), (F.get("highs", "dimension") + 1).alias("high"), F.lit(0).cast("long").alias("below"),
+        F.lit(None).cast("long").alias("cut")), "kd-looks")
+    while not looks.where("cut IS NULL").isEmpty():
+        open_cells = looks.where("cut IS NULL").withColumn("step", step)
+        placed = rows.select("cell", "size", "at").join(open_cells.select("cell", "dimension", "low", "high", "step"), "cell").withColumn("x", F.get("at", "dimension"))
+        bins = placed.where("x >= low AND x < high").groupBy("cell", F.expr("(x - low) div step").alias("bin")).agg(
+            F.sum("size").alias("w"), F.count("*").alias("n"))
+        upto = F.sum("w").over(Window.partitionBy("cell").orderBy("bin"))
+        summed = bins.join(open_cells.select("cell", "below", "want"), "cell").withColumn("upto", F.col("below") + upto)
+        # The first bin that reaches the point; its edges are the nearest places so far.
+        reached = summed.where("upto >= want").groupBy("cell").agg(F.min(F.struct("bin", "upto", "w", "n")).alias("b")).select("cell", "b.*")
+        found = open_cells.join(reached, "cell")
+        low = F.col("low") + F.col("bin") * F.col("step")
+        before = F.col("upto") - F.col("w")
+        nearer = F.when(F.col("want") - before < F.col("upto") - F.col("want"), low).otherwise(low + F.col("step"))
+        done = (F.col("n") <= 1) | (F.col("w") <= near) | (F.col("step") == 1)
+        zoomed = found.select(
+            "cell", "first", "shards", "dimension", "want", low.alias("low"), (low + F.col("step")).alias("high"), before.alias("below"),
+            F.when(done, nearer).alias("cut"))
+        looks = written(looks.where("cut IS NOT NULL").unionByName(zoomed), "kd-looks")
+    return looks.select("cell", "first", "shards", "dimension", "cut")
+
+
+def _tree(rows: DataFrame, shards: int, dims: int, near: float = 0.0) -> DataFrame:
+    """The rows with ``shard``: every level is a written table of rows with their cells."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("cell", F.lit(0).cast("long"))
+    cells = spark.range(1).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("first"), F.lit(shards).cast("long").alias("shards"))
+    left = shards
+    while left > 1:
+        cuts = _cut(rows, cells, dims, near)
+        side = F.get("at", "dimension") >= F.col("cut")
+        moved = rows.join(cuts.select("cell", "dimension", "cut"), "cell", "left").withColumn(
+            "cell", F.when(F.col("cut").isNull(), F.col("cell") * 2 + 1).otherwise(F.col("cell") * 2 + 1 + side.cast("long")))
+        # A cell of one shard goes down as it is; of several, the left half takes the lesser part.
+        half = F.expr("shards div 2")
+        halves = F.when(F.col("shards") == 1, F.array(F.struct((F.col("cell") * 2 + 1).alias("cell"), F.col("first").alias("first"), F.col("shards").alias("shards")))).otherwise(
+            F.array(F.struct((F.col("cell") * 2 + 1).alias("cell"), F.col("first").alias("first"), half.alias("shards")),
+                    F.struct((F.col("cell") * 2 + 2).alias("cell"), (F.col("first") + half).alias("first"), (F.col("shards") - half).alias("shards"))))
+        below = written(cells.select(F.explode(halves).alias("c")).select("c.*"), "kd-cells")
+        down = written(moved.drop("dimension", "cut"), "kd-rows")
+        for old in (cells, cuts, *([rows] if left < shards else [])):
+            discard(old)
+        rows, cells, left = down, below, -(-left // 2)
+    return rows.join(cells.select("cell", F.col("first").cast("int").alias("shard")), "cell")
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None,
@@ -142,8 +148,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
     size is the text's UTF-8 bytes (none for null) plus 16. The law is bytes: shards differ by about
     a document and a few thousandths of a shard, so equal texts may part. slot numbers the rows of
-    a shard without gaps, and grown_shard is null. Nulls in metadata come first, ties and repeated
-    rows are spread by hash and chance, an empty table gives no rows.
+    a shard without gaps, and grown_shard is null. Text metadata counts by the order of its values,
+    nulls come first, ties and repeated rows are spread by hash, an empty table gives no rows.
     """
     names = [d for d in dimensions if d in docs.columns]
     points = _points(docs, names)
@@ -151,14 +157,9 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     total = total or 0
     if shards is None:
         shards = max(1, -(-total // (target_bytes or 1)))
-    root = Cell(shards, 0)
-    while _split(points, root, len(names) + 1, max(1.0, total / shards)):
-        pass
-    number = {id(c): i for i, c in enumerate(root.leaves())}
     buckets = max(8, -(-rows // (shards * SLOT_ROWS)))
-    placed = written(points.select(
-        "doc_id", "size", "text_crc32", root.column(lambda c: number[id(c)]).cast("int").alias("shard"),
-        F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).alias("bucket")), "kd-placed")
+    placed = written(_tree(points, shards, len(names) + 1, CUT_SHARE * total / shards).select(
+        "doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32", "at"), F.lit(buckets)).alias("bucket")), "kd-placed")
     before = (
         placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")

@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from assayworks.llm import byte_bpe, toxicity
+from assayworks.llm import kd_shards as kd_module
 from assayworks.llm.kd_shards import kd_shards
 from assayworks.llm.minhash_dedup import near_duplicates, without_near_duplicates
 from assayworks.llm.mixing import mix_sources, rates
@@ -366,3 +367,52 @@ def test_empty_tables(spark, ranks):
     for found in (substring_dedup(none), near_duplicates(none), without_near_duplicates(none), kd_shards(none, 4), mix_sources(none),
                   toxicity.toxicity(none, model), byte_bpe.encode(none, ranks, public_tokenizers.PATTERN)):
         assert found.count() == 0
+
+
+def test_the_tree_cuts_where_a_plain_one_does(spark):
+    """Shards of the same points by recursion over sorted lists."""
+    rng = random.Random(12)
+    sources = ["https://example.org/" + rng.choice(["a", "b", "c", "d"]) * rng.randint(1, 3) for _ in range(300)]
+    rows = [(rng.choice([i, 7, None]), "x" * rng.choice([0, 5, 40, 3_000]), rng.choice(["en", None, "é"]), s, 1) for i, s in enumerate(sources)]
+    rows += [(1, "same", "en", "https://example.org/a", 1)] * 60
+    table = spark.createDataFrame(rows, SCHEMA)
+    points = kd_module._points(table, ["lang", "source", "doc_id"])
+    assert points.count() == len(rows)
+    plain = [(r.doc_id, r["size"], r.text_crc32, tuple(r["at"])) for r in points.collect()]
+    def tree(held, shards, first):
+        if shards == 1:
+            return [(first, *p) for p in held]
+        spans = [max(p[3][i] for p in held) - min(p[3][i] for p in held) if held else 0 for i in range(4)]
+        d = spans.index(max(spans))
+        want, at, cut = sum(p[1] for p in held) * (shards // 2) / shards, 0, 0
+        for x in sorted({p[3][d] for p in held}):
+            w = sum(p[1] for p in held if p[3][d] == x)
+            if at + w >= want:
+                cut = x if want - at < at + w - want else x + 1
+                break
+            at += w
+        return (tree([p for p in held if p[3][d] < cut], shards // 2, first)
+                + tree([p for p in held if p[3][d] >= cut], shards - shards // 2, first + shards // 2))
+
+    for shards in (1, 7, 12):
+        found = kd_module._tree(points, shards, 4).collect()
+        assert sorted(((r.shard, r.doc_id, r["size"], r.text_crc32, tuple(r["at"])) for r in found), key=repr) == sorted(tree(plain, shards, 0), key=repr)
+
+
+def test_text_metadata_keeps_its_order(spark):
+    sources = sorted(f"https://example.org/{a}{b}" for a in "abcz" for b in ("", "é", "0"))
+    table = spark.createDataFrame([(i, "x", None, s, 1) for i, s in enumerate(sources)] + [(99, "x", None, None, 1)], SCHEMA)
+    places = {r.doc_id: r["at"][0] // kd_module.TIES for r in kd_module._points(table, ["source"]).collect()}
+    assert sorted(places, key=places.get) == [99, *range(len(sources))] and len(set(places.values())) == len(places)
+
+
+def test_shards_do_not_depend_on_partitions(spark, docs):
+    rows = lambda df: sorted((tuple(r) for r in kd_shards(df, 9).collect()), key=repr)
+    table = docs.unionByName(docs.limit(20)).unionByName(docs.where("doc_id = 2").crossJoin(spark.range(50).select()))
+    assert rows(table) == rows(table.repartition(11))
+
+
+def test_many_shards(spark):
+    rows = spark.range(9_000).selectExpr("id AS doc_id", "repeat('ab ', CAST(10 + id % 40 AS INT)) AS text", "'en' AS lang", "concat('s', id % 97) AS source")
+    sizes = [r.s for r in kd_shards(rows, 1_500).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 1_500 and max(sizes) < 2.2 * sum(sizes) / 1_500
