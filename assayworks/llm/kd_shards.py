@@ -17,7 +17,7 @@ from assayworks.session import discard
 
 #: Steps of a dimension, and of the hash below one step.
 GRID, TIES = 1 << 30, 1 << 20
-BINS = 512
+BINS = 2048
 #: A cut is near enough when its bin holds less than this share of a shard's bytes.
 CUT_SHARE = 0.002
 #: Rows numbered by one task, and copies of a row made by one.
@@ -67,7 +67,8 @@ def _points(docs: DataFrame, dimensions: list[str]) -> DataFrame:
     copies = parts.repartition("doc_id", "text_crc32", "kd_part").select(
         "doc_id", "size", "text_crc32", "kd_places", F.explode(F.sequence(first, last)).alias("kd_copy"))
     tie = F.pmod(F.xxhash64("doc_id", "text_crc32", "kd_copy"), F.lit(TIES))
-    rows = written(copies.select("doc_id", "size", "text_crc32", F.transform("kd_places", lambda p: p * TIES + tie).alias("at")), "kd-points")
+    rows = written(copies.select("doc_id", "size", "text_crc32", F.transform("kd_places", lambda p: p * TIES + tie).alias("at"),
+        F.lit(0).cast("long").alias("cell")), "kd-points")
     discard(plain)
     discard(numbered)
     return rows
@@ -77,8 +78,8 @@ def _cut(rows: DataFrame, cells: DataFrame, dims: int, near: float) -> DataFrame
     """(cell, first, shards, dimension, cut) for every cell of several shards.
 
     A cell is cut along its widest dimension where its bytes part as its shards do; of the two
-    places around that point the nearer one. Each zoom looks at the bin that holds the point, until it
-    holds one row, or at most ``near`` bytes.
+    places around that point the nearer one. Each zoom looks at the bin that holds the point, until that
+    holds one place, or at most ``near`` bytes.
     """
     held = rows.join(cells.where("shards > 1"), "cell")
     spans = held.groupBy("cell", "first", "shards").agg(
@@ -96,27 +97,25 @@ def _cut(rows: DataFrame, cells: DataFrame, dims: int, near: float) -> DataFrame
         open_cells = looks.where("cut IS NULL").withColumn("step", step)
         placed = rows.select("cell", "size", "at").join(open_cells.select("cell", "dimension", "low", "high", "step"), "cell").withColumn("x", F.get("at", "dimension"))
         bins = placed.where("x >= low AND x < high").groupBy("cell", F.expr("(x - low) div step").alias("bin")).agg(
-            F.sum("size").alias("w"), F.count("*").alias("n"))
+            F.sum("size").alias("w"), F.min("x").alias("least"), F.max("x").alias("most"))
         upto = F.sum("w").over(Window.partitionBy("cell").orderBy("bin"))
-        summed = bins.join(open_cells.select("cell", "below", "want"), "cell").withColumn("upto", F.col("below") + upto)
-        # The first bin that reaches the point; its edges are the nearest places so far.
-        reached = summed.where("upto >= want").groupBy("cell").agg(F.min(F.struct("bin", "upto", "w", "n")).alias("b")).select("cell", "b.*")
-        found = open_cells.join(reached, "cell")
-        low = F.col("low") + F.col("bin") * F.col("step")
-        before = F.col("upto") - F.col("w")
-        nearer = F.when(F.col("want") - before < F.col("upto") - F.col("want"), low).otherwise(low + F.col("step"))
-        done = (F.col("n") <= 1) | (F.col("w") <= near) | (F.col("step") == 1)
-        zoomed = found.select(
-            "cell", "first", "shards", "dimension", "want", low.alias("low"), (low + F.col("step")).alias("high"), before.alias("below"),
-            F.when(done, nearer).alias("cut"))
-        looks = written(looks.where("cut IS NOT NULL").unionByName(zoomed), "kd-looks")
+        summed = bins.join(open_cells.select("cell", "first", "shards", "dimension", "below", "want"), "cell").withColumn("upto", F.col("below") + upto)
+        # The first bin that reaches the point; the next look is at what lies in it.
+        zoomed = summed.where("upto >= want AND upto - w < want").withColumn("before", F.col("upto") - F.col("w"))
+        nearer = F.when(F.expr("want - before < upto - want"), F.col("least")).otherwise(F.col("most") + 1)
+        done = (F.col("least") == F.col("most")) | (F.col("w") <= near)
+        zoomed = zoomed.select(
+            "cell", "first", "shards", "dimension", "want", F.col("least").alias("low"), (F.col("most") + 1).alias("high"),
+            F.col("before").cast("long").alias("below"), F.when(done, nearer).alias("cut"))
+        closed, last = looks.where("cut IS NOT NULL"), looks
+        looks = written(closed.unionByName(zoomed), "kd-looks")
+        discard(last)
     return looks.select("cell", "first", "shards", "dimension", "cut")
 
 
 def _tree(rows: DataFrame, shards: int, dims: int, near: float = 0.0) -> DataFrame:
-    """The rows with ``shard``: every level is a written table of rows with their cells."""
+    """The rows (with cell 0) with ``shard``: every level is a written table of rows with their cells."""
     spark = rows.sparkSession
-    rows = rows.withColumn("cell", F.lit(0).cast("long"))
     cells = spark.range(1).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("first"), F.lit(shards).cast("long").alias("shards"))
     left = shards
     while left > 1:
