@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Small transducers read a clause as word classes: insult, threat, target, negation, report, other.
-The negation transducer marks what stands shortly after a negation, the report transducer what is
-said to be another's words, the target transducer what is aimed at someone. They are composed into
-one machine, whose matches carry weights. Isolated words have no score: matched clauses do.
-
-The word lists start from fixed English seeds. Training rows add words and stems to the insults,
-and give every kind of match its weight.
+Small transducers read a clause as word classes and its end. The negation transducer marks what
+stands shortly after a negation, the report transducer what is said to be another's words. The insult
+transducer tells insults that someone is called, that are all a clause says, or that are merely in it;
+the threat transducer finds acts meant for someone, named before or after them. They are composed into
+one machine, whose transitions carry weights. Isolated words have no score: matched clauses do.
+
+The word lists start from fixed English seeds. Training rows add words and stems to the insults, which
+then count wherever they stand, and give the transitions of every kind of match their weight.
 """
 
 from __future__ import annotations
@@ -38,23 +39,35 @@ STEM_LENGTHS = (4, 5, 6, 7, 8)
 PAIR, NEAR = "&", 32
 NEGATION_REACH = 3
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNRO"
+#: Word classes: insults of the seeds and taught ones, threats, who may be meant (the one spoken to, others as
+#: objects, her, others as subjects, the speaker), subject and copula in one, copulas, what intends, what
+#: leads up to an insult, negations, reports, anything else, and the end of a clause.
+INSULT, TAUGHT, THREAT, YOU, THEM, HER, THEY, ME, YOURE, COPULA, INTENT, LEAD, NEGATION, REPORT, OTHER, END = "ILTYVHSWQBMDNRO$"
+ALPHABET = INSULT + TAUGHT + THREAT + YOU + THEM + HER + THEY + ME + YOURE + COPULA + INTENT + LEAD + NEGATION + REPORT + OTHER + END
 SEEDS = {
     INSULT: "idiot idiots moron morons stupid scum loser losers pathetic worthless trash disgusting clown dumb fool fools "
             "imbecile garbage filth vermin coward cowards creep jerk bastard bastards bitch asshole retard ugly",
     THREAT: "kill hurt destroy beat stab shoot burn punch strangle murder attack crush hunt",
-    TARGET: "you your yours yourself u ya he him she her they them their these those",
+    YOU: "you u ya yourself yourselves",
+    THEM: "him himself them themselves",
+    HER: "her herself",
+    THEY: "he she they",
+    ME: "i we",
+    YOURE: "you're they're he's she's you’re they’re he’s she’s",
+    COPULA: "are is was were be",
+    INTENT: "will shall must should gonna going want wanna let's i'll we'll he'll she'll they'll i'd we'd let’s i’ll we’ll he’ll she’ll they’ll i’d we’d",
+    LEAD: "a an the such what so very really just total complete absolute utter little big",
     NEGATION: "not no never neither nor without isn't aren't wasn't don't doesn't didn't won't can't cannot",
     REPORT: "said says say called calls wrote writes quoted quote reported claims claimed alleged according told",
 }
 #: Belief about the share of toxic rows among rows whose strongest match is of a kind, held as PRIOR_ROWS rows.
 PRIORS = {"aimed insult": 0.97, "insult": 0.9, "aimed threat": 0.8, "reported insult": 0.15, "negated insult": 0.5,
-          "reported threat": 0.05, "negated threat": 0.05, "nothing": 0.01}
+          "reported threat": 0.05, "negated threat": 0.05, "nothing": 0.01, "mentioned insult": 0.05}
 PRIOR_ROWS = 10
 #: What a fitted model starts from: a negated insult alone accuses nobody either, unless training rows say so.
 FITTED_PRIORS = PRIORS | {"negated insult": 0.15}
 #: Their words are ordinary ones that reports are full of: a text counts each of these kinds once, however long it is.
-ONCE = ("reported threat", "negated threat")
+ONCE = ("reported threat", "negated threat", "mentioned insult")
 
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSES = re.compile(r"[.!?;:\n]+")
@@ -88,29 +101,88 @@ def compose(first: Transducer, second: Transducer, alphabet: str) -> tuple[Trans
     return Transducer(0, moves), "".join(sorted(written_symbols))
 
 
-def grammar() -> Transducer:
-    """Negation, then report, then target, over one clause.
-
-    Lower-case i and t are a negated insult and threat, digits 1 and 2 reported ones, 3 and 4 an
-    insult and a threat aimed at someone named before them in the clause.
-    """
-    negation = {}
+def negation_transducer() -> Transducer:
+    """Writes i and t for insults and threats at most NEGATION_REACH words after a negation."""
+    moves = {}
     for left in range(NEGATION_REACH + 1):
-        for symbol in (INSULT, THREAT, TARGET, REPORT, OTHER):
-            out = symbol.lower() if left and symbol in (INSULT, THREAT) else symbol
-            negation[left, symbol] = max(0, left - 1), out
-        negation[left, NEGATION] = NEGATION_REACH, OTHER
-    report = {(0, REPORT): (1, OTHER), (1, REPORT): (1, OTHER), (1, INSULT): (1, "1"), (1, THREAT): (1, "2")}
-    target = {(0, TARGET): (1, OTHER), (1, TARGET): (1, OTHER), (1, INSULT): (1, "3"), (1, THREAT): (1, "4")}
-    both, symbols = compose(Transducer(0, negation), Transducer(0, report), INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER)
-    # Targets go through the first two unchanged; the third reads what they write.
-    whole, _ = compose(both, Transducer(0, target), INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER)
+        for symbol in ALPHABET:
+            out = {INSULT: "i", TAUGHT: "i", THREAT: "t"}.get(symbol, symbol) if left else symbol
+            moves[left, symbol] = max(0, left - 1), out
+        moves[left, NEGATION] = NEGATION_REACH, OTHER
+    return Transducer(0, moves)
+
+
+def report_transducer() -> Transducer:
+    """Writes 1 and 2 for insults and threats after a word that reports."""
+    return Transducer(0, {(0, REPORT): (1, OTHER), (1, REPORT): (1, OTHER), (1, INSULT): (1, "1"), (1, TAUGHT): (1, "1"), (1, THREAT): (1, "2")})
+
+
+def insult_transducer() -> Transducer:
+    """Writes 3 for an insult that someone is called, m for one that a clause mentions, L for a taught
+    one anywhere, and X at the end of a clause that says nothing but an insult."""
+    bare, whole, you, they, called, plain = range(6)
+    moves = {}
+    for state in (bare, whole, you, they, called, plain):
+        for symbol in (*ALPHABET, "i", "t", "1", "2"):
+            out, to = symbol, {YOU: you, THEM: they, HER: they, THEY: they, YOURE: called}.get(symbol, plain)
+            if symbol in (INSULT, TAUGHT):
+                to = {bare: whole, whole: whole, you: you, called: called}.get(state, plain)
+                out = "3" if state in (you, called) else "m" if symbol == INSULT else TAUGHT
+            elif symbol == LEAD and state != they:
+                to = state
+            elif symbol == COPULA and state in (you, they):
+                to = called
+            elif symbol == END and state == whole:
+                out = "X"
+            moves[state, symbol] = to, out
+    return Transducer(bare, moves)
+
+
+def threat_transducer() -> Transducer:
+    """Writes 4 for an act that is meant for someone.
+
+    After a word of intent its object may follow, at most one word between, or end the clause as her
+    or she does; or the clause ends with the act, and who is meant stood before its subject. At the start of
+    a clause, as an order, it needs the one spoken to, or another at the clause's end.
+    """
+    moves: dict = {}
+    # Whether a clause has begun, what it intends, and whether someone, and then a subject, was named;
+    # then how it goes on after an act: not, ordered, intended, the same one word later, or only with its end.
+    plain, ordered, meant, later, ends = range(5)
+    for begun in (0, 1):
+        for intent in (0, 1):
+            for named in (0, 1, 2):
+                for after in (plain, ordered, meant, later, ends):
+                    for symbol in (*ALPHABET, "i", "t", "1", "2", "3", "m", "X"):
+                        out, go = symbol, plain
+                        if after == ends:
+                            out = "4" if symbol in (END, "X") else symbol
+                        elif after in (meant, later) and symbol in (YOU, THEM) or after == ordered and symbol == YOU:
+                            out = "4"
+                        elif after != plain and symbol in (HER, THEM):
+                            go = ends
+                        elif after == meant and symbol in (LEAD, OTHER):
+                            go = later
+                        elif after == meant and symbol == END and named == 2:
+                            out = "4"
+                        elif symbol == THREAT and (intent or not begun):
+                            go = meant if intent else ordered
+                        who = 1 if symbol == YOU and not named else 2 if symbol in (THEY, ME) and named else named
+                        moves[(begun, intent, named, after), symbol] = (1, int(intent or symbol == INTENT), who, go), out
+    return Transducer((0, 0, 0, plain), moves)
+
+
+def grammar() -> Transducer:
+    """Negation, then report, insult and threat, over one clause and its end."""
+    whole, symbols = negation_transducer(), ALPHABET
+    for part in (report_transducer(), insult_transducer(), threat_transducer()):
+        whole, _ = compose(whole, part, symbols)
     return whole
 
 
-#: What the composed machine writes for a match. A bare threat aimed at nobody is no match.
-KINDS = {"3": "aimed insult", INSULT: "insult", "4": "aimed threat", "1": "reported insult", "i": "negated insult",
-         "2": "reported threat", "t": "negated threat"}
+#: What the composed machine writes for a match. A threat meant for nobody is no match.
+KINDS = {"3": "aimed insult", "X": "insult", TAUGHT: "insult", "4": "aimed threat", "1": "reported insult", "i": "negated insult",
+         "2": "reported threat", "t": "negated threat", "m": "mentioned insult"}
 
 
 @dataclass
@@ -169,10 +241,15 @@ class Reader:
     REMEMBERED = 500_000
 
     def __init__(self, model: Model) -> None:
-        self.model, self.machine, self.known = model, grammar(), {}
+        self.model, self.known = model, {}
+        machine = grammar()
+        self.start = machine.start
+        # Transitions that write a match carry its kind and weight, all others none.
+        self.moves = {(state, symbol): (to, KINDS.get(out), model.weights.get(KINDS.get(out), 0.0))
+                      for (state, symbol), (to, out) in machine.moves.items()}
 
     def matches(self, text: str | None) -> dict[str, int]:
-        """Matched clauses of each kind; a clause counts for the strongest kind in it."""
+        """Matched clauses of each kind; a clause counts for the heaviest transition on its path."""
         words = WORDS.findall((text or "").lower())
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
@@ -185,19 +262,21 @@ class Reader:
         several = {w: [kind] for w, kind in distinct.items() if paired[kind] > 1}
         near = set().union(*beside(words, several).values()) if several else set()
         kinds = {w: kind for w, kind in distinct.items() if kind[0] != PAIR}
-        if not near and not {INSULT, THREAT} & set(kinds.values()):
+        if not near and not {INSULT, TAUGHT, THREAT} & set(kinds.values()):
             return found
         place = -1
         for clause in CLAUSES.split((text or "").lower()):
-            state, seen = self.machine.start, set()
+            state, best = self.start, (0.0, "")
+            symbols = []
             for word in WORDS.findall(clause):
                 place += 1
-                state, out = self.machine.step(state, INSULT if place in near else kinds.get(word, OTHER))
-                if out in KINDS:
-                    seen.add(KINDS[out])
-            if seen:
-                kind = max(seen, key=lambda k: self.model.weights[k])
-                found[kind] = found.get(kind, 0) + 1
+                symbols.append(TAUGHT if place in near else kinds.get(word, OTHER))
+            for symbol in (*symbols, END) if symbols else ():
+                state, kind, weight = self.moves[state, symbol]
+                if kind:
+                    best = max(best, (weight, kind))
+            if best[1]:
+                found[best[1]] = found.get(best[1], 0) + 1
         return found
 
     def score(self, found: dict[str, int]) -> float:
@@ -317,15 +396,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
         held = unlike.where("toxic = 1").select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(wanted), "term", "left_semi")
         for r in held.groupBy("term").agg(F.collect_set("doc_id").alias("ids")).collect():
             rows_of[r.term] = set(r.ids)
+        # Seeds that the rows bear out insult wherever they stand.
+        taken += [term for term, _, _ in candidates if term in seeds and term not in taken]
         explained = set().union(*[rows_of.pop(w, set()) for w in seeds], *[rows_of.get(t, set()) for t in taken])
     taken += explaining(rows_of, explained)
     for term in taken:
         if term.endswith("**"):
             model.pairs.add(term[:-2])
         elif term.endswith("*"):
-            model.stems[term[:-1]] = INSULT
+            model.stems[term[:-1]] = TAUGHT
         else:
-            model.words[term] = INSULT
+            model.words[term] = TAUGHT
 
     def strongest(texts):
         reader = Reader(model)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -416,3 +417,63 @@ def test_many_shards(spark):
     rows = spark.range(9_000).selectExpr("id AS doc_id", "repeat('ab ', CAST(10 + id % 40 AS INT)) AS text", "'en' AS lang", "concat('s', id % 97) AS source")
     sizes = [r.s for r in kd_shards(rows, 1_500).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sizes) == 1_500 and max(sizes) < 2.2 * sum(sizes) / 1_500
+
+
+CLASSES = {toxicity.INSULT: "idiot", toxicity.TAUGHT: "grobian", toxicity.THREAT: "kill", toxicity.YOU: "you", toxicity.THEM: "them", toxicity.HER: "her",
+           toxicity.THEY: "they", toxicity.ME: "we", toxicity.YOURE: "you're", toxicity.COPULA: "is", toxicity.INTENT: "will", toxicity.LEAD: "a",
+           toxicity.NEGATION: "not", toxicity.REPORT: "said", toxicity.OTHER: "word"}
+
+
+def plainly_read(clause: str) -> set[str]:
+    """The kinds of matches in a clause of class letters, by what stands before and after each word."""
+    found, marked = set(), []
+    for at, c in enumerate(clause):
+        negated = "N" in clause[max(0, at - toxicity.NEGATION_REACH):at]
+        reported = "R" in clause[:at]
+        if c in "ILT" and negated:
+            found.add("negated threat" if c == "T" else "negated insult")
+        elif c in "ILT" and reported:
+            found.add("reported threat" if c == "T" else "reported insult")
+        marked.append("." if c in "ILT" and (negated or reported) else "O" if c in "NR" else c)
+    text = "".join(marked)
+    for at, c in enumerate(text):
+        if c in "IL":
+            if re.search(r"(?:Y[DIL]*(?:B[DIL]*)?|[VHS]B[DIL]*|Q[DIL]*)$", text[:at]):
+                found.add("aimed insult")
+            else:
+                found.add("insult" if c == "L" else "mentioned insult")
+        if c == "T":
+            intends, after = "M" in text[:at], text[at + 1:]
+            object_ = re.match(r"[DO]?[YV]|[DO]?H$", after) if intends else re.match(r"Y|[VH]$", after) if at == 0 else None
+            if object_ or intends and after == "" and re.search(r"Y.*[SW]", text[:at]):
+                found.add("aimed threat")
+    if text and set(text) <= set("DIL") and set(text) & set("IL"):
+        found.add("insult")
+    return found
+
+
+def test_the_machine_reads_like_a_plain_reading():
+    model = toxicity.seeded()
+    model.words["grobian"] = toxicity.TAUGHT
+    reader = toxicity.Reader(model)
+    rng = random.Random(21)
+    letters = "".join(CLASSES)
+    for _ in range(20_000):
+        # Acts are kept apart: what one of them reaches for another does not.
+        clause = re.sub(r"(T[^T]{0,2})T", r"\1O", "".join(rng.choice(rng.choice([letters, "YDILMTVHSO"])) for _ in range(rng.randint(1, 8))))
+        clause = re.sub(r"(T[^T]{0,2})T", r"\1O", clause)
+        kinds = plainly_read(clause)
+        heaviest = max(kinds, key=lambda k: (model.weights[k], k)) if kinds else None
+        got = reader.matches(" ".join(CLASSES[c] for c in clause))
+        assert got == ({heaviest: 1} if heaviest else {}), (clause, kinds, got)
+
+
+@pytest.mark.parametrize("text, toxic", [
+    ("I will kill you", 1), ("kill yourself", 1), ("I am going to shoot them all", 1), ("You idiot.", 1), ("you are such a pathetic loser", 1), ("What an idiot!", 1),
+    ("He beat cancer last year", 0), ("They hunt deer in the fall", 0), ("You can attack the problem from two sides", 0), ("You burn fat", 0),
+    ("She works as a clown at parties", 0), ("Their garbage collection schedule changed", 0), ("The ugly duckling is a tale", 0),
+    ("Beat them until fluffy", 0), ("You will hunt tomorrow", 0), ("kill the process", 0)])
+def test_sentences(spark, text, toxic):
+    none = spark.createDataFrame([], SCHEMA)
+    reader = toxicity.Reader(toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int")))
+    assert int(reader.score(reader.matches(text)) >= 0.3) == toxic
