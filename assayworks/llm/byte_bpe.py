@@ -201,14 +201,15 @@ def _running(lengths):
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: bool = True,
            keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
+    """The columns ``keep`` of each row with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids,
+    which replace columns of these names.
 
     Each match of ``pattern`` is encoded on its own, without special tokens; ids_sha256 is over the
     decimal ids joined by one space, decoded_sha256 over the bytes that the ids stand for. A null text
     is empty: no tokens, digests of nothing. Every row gives one row, repeated ones too; a very long
     piece takes time in proportion to its length times its logarithm.
     """
-    columns = list(dict.fromkeys(keep))
+    columns = [c for c in dict.fromkeys(keep) if c not in ("n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids)]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     asked = docs.select(*[F.col(f"`{c}`") for c in columns], *([] if "text" in columns else ["text"]))

@@ -14,9 +14,9 @@ BROADCAST_SOURCES = 10_000
 SALTS = 32
 
 
-def uniform(doc_id: Column, seed: int, part: Column) -> Column:
-    """A number in [0, 1) from a hash of the id, the seed and a part number."""
-    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(str(seed)), part.cast("string"))
+def uniform(name: Column, seed: int, part: Column) -> Column:
+    """A number in [0, 1) from a hash of a row's name, the seed and a part number."""
+    key = F.concat_ws(":", name, F.lit(str(seed)), part.cast("string"))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -53,37 +53,41 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.7,
-                total: float | None = None, seed: int = 0) -> DataFrame:
-    """Each document as often as its Poisson count says, with ``copy`` (from 0), in random order.
+                total: float | None = None, seed: int = 0, copy: str | None = "copy") -> DataFrame:
+    """Each document as often as its Poisson count says, numbered from 0 in ``copy``, in random order.
 
     The count inverts a Poisson distribution, whose mean is the rate of the document's source, at a
     number hashed from its id and the seed. So it depends on no other row and on no partitioning;
-    rows with equal ids have equal counts. A null source is a source of its own, a null id hashes as
-    an empty one, and null or empty texts count like others. An empty table stays empty. A column
-    named copy is replaced.
+    rows with equal ids have equal counts. A null source is a source of its own, rows without an id are
+    drawn by source and text, and null or empty texts count like others. An empty table stays empty. A
+    column named as ``copy`` is replaced (None numbers nothing); all others stay, whatever their names.
 
     Rows are dealt to partitions by a hash of id and copy and sorted by it there: a global shuffle in
     one exchange, in which a hot source is spread like any other.
     """
-    columns = [c for c in docs.columns if c != "copy"]
+    columns = [c for c in docs.columns if c != copy]
     parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
     table = (
         rates(docs, weights, power, total).withColumn("mix_parts", parts)
         .withColumn("mix_sums", _distribution(F.col("rate") / F.col("mix_parts"))).drop("rate")
     )
-    kept = docs.select(*[F.col(f"`{c}`") for c in columns])
+    # The whole row as one column: no name of the table's meets one of these.
+    kept = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("mix_row"), F.col("source").alias("source"),
+        F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.xxhash64("source", "text").cast("string"))).alias("mix_name"))
     if table.count() <= BROADCAST_SOURCES:
         joined = kept.join(F.broadcast(table), kept["source"].eqNullSafe(table["mix_source"]))
     else:
         salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        kept = kept.withColumn("salt_of_row", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        kept = kept.withColumn("salt_of_row", F.pmod(F.xxhash64("mix_name"), F.lit(SALTS)).cast("int"))
         joined = kept.join(salted, kept["source"].eqNullSafe(salted["mix_source"]) & (kept["salt_of_row"] == salted["mix_salt"]))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0),
-        lambda n, part: n + F.size(F.filter("mix_sums", lambda s: s <= uniform(F.col("doc_id"), seed, part))))
+        lambda n, part: n + F.size(F.filter("mix_sums", lambda s: s <= uniform(F.col("mix_name"), seed, part))))
     copies = (
         joined.withColumn("mix_count", count).where("mix_count > 0")
-        .select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)).alias("copy"))
-        .withColumn("mix_order", F.xxhash64(F.col("doc_id"), F.col("copy"), F.lit(seed)))
+        .select("mix_row", "mix_name", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)).alias("mix_copy"))
+        .withColumn("mix_order", F.xxhash64(F.col("mix_name"), F.col("mix_copy"), F.lit(seed)))
     )
-    return copies.repartition("mix_order").sortWithinPartitions("mix_order", "doc_id", "copy").drop("mix_order")
+    number = [F.col("mix_copy").alias(copy)] if copy else []
+    return copies.repartition("mix_order").sortWithinPartitions("mix_order", "mix_name", "mix_copy").select("mix_row.*", *number)

@@ -215,7 +215,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = ROUNDS) ->
 
     A null or empty text has no words and keeps the empty text. Rows without a doc_id are kept
     whole and no row loses words to them. Equal rows get equal results; rows that share a doc_id
-    with different texts count as one document, whose places they share. Other columns stay.
+    with different texts count as one document, whose places they share. Other columns
+    stay, but for those named as one of ``RESERVED``.
     """
     columns = [c for c in docs.columns if c not in RESERVED]
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])

@@ -11,7 +11,8 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from assayworks.llm import byte_bpe, toxicity
+import corpus_pipeline
+from assayworks.llm import byte_bpe, queries, toxicity
 from assayworks.llm import kd_shards as kd_module
 from assayworks.llm.kd_shards import kd_shards
 from assayworks.llm.minhash_dedup import near_duplicates, without_near_duplicates
@@ -477,3 +478,28 @@ def test_sentences(spark, text, toxic):
     none = spark.createDataFrame([], SCHEMA)
     reader = toxicity.Reader(toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int")))
     assert int(reader.score(reader.matches(text)) >= 0.3) == toxic
+
+
+def test_rows_without_an_id_are_mixed_apart(spark):
+    docs = spark.range(3_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('t', id) AS text", "IF(id % 2 = 0, 'a', 'b') AS source")
+    mixed = mix_sources(docs, {"a": 0.8, "b": 0.2})
+    shares = {r.source: r.n for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(shares["a"] - 2_400) < 250 and abs(shares["b"] - 600) < 125
+    sizes = [r.n for r in mixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 1_500 or len(sizes) == 1 and spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+
+
+def test_names_of_other_columns_do_no_harm(spark, docs):
+    clashes = ["copy", "mix_source", "mix_sums", "mix_parts", "mix_count", "mix_row", "rate", "w", "dedup_rows", "dedup_row", "score", "predicted",
+               "kept_text", "n_removed", "starts", "row", "chars"]
+    table, n = crowded(docs, clashes), docs.count()
+    mixed = mix_sources(table, total=5.0 * n, copy=None)
+    assert mixed.columns == table.columns and all(mixed.where(f"`{c}` <> '{c}'").count() == 0 for c in clashes)
+    unlike = without_near_duplicates(table)
+    assert unlike.columns == table.columns and all(unlike.where(f"`{c}` <> '{c}'").count() == 0 for c in clashes)
+    cut = corpus_pipeline.drop_long_repeats(spark, table, "")
+    assert cut.columns == table.columns and cut.count() == n and all(cut.where(f"`{c}` <> '{c}'").count() == 0 for c in clashes)
+    plain = {(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.drop_long_repeats(spark, docs, "").collect()}
+    assert {(r.doc_id, r.text, r.n_chars) for r in cut.collect()} == plain
+    clean = corpus_pipeline.drop_toxic(spark, crowded(queries.table(spark, "/root/testdata/sf0.001", "documents"), clashes), "/root/testdata/sf0.001")
+    assert clean.columns[-len(clashes):] == clashes and 0 < clean.count() <= 200 and clean.where("score <> 'score'").count() == 0
