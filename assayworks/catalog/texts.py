@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import uses_netloc, uses_params
+
 from pyspark.sql import functions as F
 
 from assayworks.catalog import CATALOG, table
 from assayworks.checks import paths_check, urls_check
 from assayworks.checks.code import detected_paths
 from assayworks.functions.text import urls_in_code
-from assayworks.functions.urls import SCHEMES_WITH_HOST, SCHEMES_WITH_PARAMETERS
 
 # A page is a task: its markup is the task source, a call with its address the job source,
 # and the quoted address once more an argument.
@@ -31,7 +32,7 @@ _TEXTS_SQL = f"""
         UNION ALL SELECT page_id, {_JOB} FROM pages
         UNION ALL SELECT page_id, {_ARG} FROM pages)
 """
-# The patterns of locations and, below, of URLs, for the SQL engine.
+# The patterns of locations and, below, of URLs, for the SQL engine. Schemes are Python's own lists.
 _QUOTE = """["'']"""
 _SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NO_SPACE = _SPACES.replace("[", "[^", 1)
@@ -66,7 +67,7 @@ _PATHS_SQL = f"""
                regexp_extract(rest, '(?s)^[^#]*#(.*)$', 1) AS fragment
         FROM schemes),
     parts AS (
-        SELECT *, CASE WHEN scheme IN ({_strings(SCHEMES_WITH_PARAMETERS)})
+        SELECT *, CASE WHEN scheme IN ({_strings(uses_params)})
                        THEN regexp_replace(whole_path, '(?s)^(|.*/)([^/;]*);$', '\\1\\2')
                        ELSE whole_path END AS path
         FROM split),
@@ -75,7 +76,7 @@ _PATHS_SQL = f"""
             CASE WHEN scheme <> '' THEN scheme || ':' ELSE '' END
             || CASE WHEN host <> '' THEN '//' || host || CASE WHEN path <> '' AND path[1] <> '/' THEN '/' ELSE '' END || path
                     WHEN path LIKE '//%' THEN '//' || path
-                    WHEN scheme IN ({_strings(SCHEMES_WITH_HOST)}) AND (path = '' OR path[1] = '/') THEN '//' || path
+                    WHEN scheme IN ({_strings([s for s in uses_netloc if s])}) AND (path = '' OR path[1] = '/') THEN '//' || path
                     ELSE path END
             || CASE WHEN query <> '' THEN '?' || query ELSE '' END
             || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END AS path
