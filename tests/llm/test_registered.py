@@ -24,7 +24,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 def test_all_are_registered():
     found = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(found)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql())
 
 
