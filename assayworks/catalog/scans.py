@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from assayworks.catalog import CATALOG, table
 from assayworks.checks.jobs import stems
+from assayworks.functions.text import urls_in_code
 from assayworks.ml.prep import widen
 from assayworks.operators.differences import unexpected_jobs
 from assayworks.operators.frames import seconds_between
@@ -342,3 +343,15 @@ def scan_event_store(spark, folder):
         load_event_logs(spark, _release_logs(spark, folder, part), store)
     conf = stored_conf(spark, store).select(F.concat(F.lit("app-"), "value").alias("app_id"), F.col("value").alias("property"))
     return stored_jobs(spark, store).groupBy("app_id", "spark_version").agg(F.count("job_id").alias("n_jobs")).join(conf, "app_id")
+
+
+# All pages, each behind a call with its address, one after the other are a few large source files.
+@CATALOG.add("""
+    SELECT found AS url, count(*) AS times
+    FROM (SELECT unnest(regexp_extract_all('load("' || url || '")' || chr(10) || html, 'https?://[!$-_a-z]+')) AS found FROM pages) GROUP BY found
+""")
+def scan_source_pieces(spark, folder):
+    path = workspace(spark, "pages")
+    table(spark, folder, "pages").selectExpr("concat('load(\"', url, '\")\n', html) AS value").where("value IS NOT NULL").write.text(path)
+    urls = files.read_source_pieces(spark, path).select(F.explode(urls_in_code(F.col("text"))).alias("url"))
+    return urls.groupBy("url").agg(F.count("*").alias("times"))

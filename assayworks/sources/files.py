@@ -2,14 +2,14 @@
 
 Every reader is a plain Spark scan with a fixed schema, so many files are read in parallel
 and large ones are split. Records that span lines are cut by a record separator instead of
-reading files whole, except for source files, which are matched as whole texts.
+reading files whole; source files are read as whole texts, or in pieces that no match crosses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,35 @@ def read_source_files(spark: SparkSession, path: str | Sequence[str]) -> DataFra
     return spark.read.text(path, wholetext=True).select(F.col(_FILE).alias("path"), F.col("value").alias("text"))
 
 
+def read_source_pieces(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(path, text): files of any size in pieces of lines, where no quoted location and no URL is cut.
+
+    What :mod:`~assayworks.functions.text` finds in the pieces of a file is what it finds in the whole:
+    only white space beside a quote lets a match go on over a line's end, so files are cut between a
+    line that does not end with a quote and one that does not begin with one, neither of them blank.
+    Large files are read in many tasks; a window looks at the lines of one split, and one row per split
+    tells which piece goes on into the next.
+    """
+    split = [F.col("path"), F.col("block")]
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col(_FILE).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    bare = strip(F.col("value"))
+    ends = F.when(bare == "", "\"").otherwise(F.right(bare, F.lit(1)))
+    lines = lines.withColumn("begins", F.when(bare == "", "\"").otherwise(F.substring(bare, 1, 1)))
+    order = Window.partitionBy(*split).orderBy("line")
+    free = ~F.lag(ends).over(order).isin("'", "\"") & ~F.col("begins").isin("'", "\"")
+    # The lines before a split's first cut belong to piece 0, which an earlier split may have begun.
+    lines = lines.withColumn("cut", F.coalesce(free, F.lit(False)).cast("int")).withColumn("piece", F.sum("cut").over(order))
+    last = lines.groupBy(*split).agg(F.max("piece").alias("piece"))
+    begun = F.when((F.col("piece") > 0) | (F.col("block") == 0), F.struct("block", "piece"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    owners = last.select(*split, F.last(begun, ignorenulls=True).over(before).alias("owner"))
+    own = F.when((F.col("piece") == 0) & F.col("owner").isNotNull(), F.col("owner")).otherwise(F.struct("block", "piece"))
+    held = lines.join(owners, ["path", "block"]).withColumn("own", own)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "value"))), lambda x: x["value"]), "\n")
+    return held.groupBy("path", "own").agg(text.alias("text")).select("path", "text")
+
+
 def read_source_records(spark: SparkSession, path: str | Sequence[str], separator: str) -> DataFrame:
     """(path, text): many texts per file, parted by a separator that no text contains."""
     return spark.read.text(path, lineSep=separator).select(F.col(_FILE).alias("path"), F.col("value").alias("text"))

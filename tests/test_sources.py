@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from assayworks.operators.frames import drop_incomplete, null_to_text, seconds_b
 from assayworks.operators.rules import ENGINE, SCHEDULER
 from assayworks.schemas import PASSENGERS_CSV
 from assayworks.session import workspace
+from assayworks.functions.text import quoted_locations, urls_in_code
 from assayworks.operators import differences
 from assayworks.sources.eventlogs import load_event_logs, stored_jobs
 from assayworks.sources import eventlogs, files, sinks
@@ -229,3 +231,31 @@ def test_expected_jobs_by_release(spark, rows):
     assert [r[0] for r in rows(differences.unexpected_jobs(jobs, expected.drop("until")))] == ["b", "c", "g"]
     assert [r[0] for r in rows(differences.unexpected_jobs(jobs, expected.drop("since", "until")))] == ["g"]
     assert [r[0] for r in rows(differences.unexpected_jobs(jobs.drop("spark_version"), expected))] == ["a", "b", "c", "d", "e", "g", "h"]
+
+
+def test_pieces_of_source_files_hold_what_the_whole_holds(spark, tmp_path):
+    """Random texts full of quotes and line ends, cut into splits of a few bytes."""
+    rng = random.Random(17)
+    parts = ["'", '"', "\n", "\n", " ", "a/b", "x:y", "http://h.org/p", "/", "\r\n", "word", "\x85", "\t", "é"]
+    for i in range(6):
+        write(tmp_path / "src" / f"f{i}.py", "".join(rng.choice(parts) for _ in range(400)), newline="")
+    write(tmp_path / "src" / "quotes.py", "'\n" * 40 + "a/b\n" * 30 + '"\n\n\n  hdfs://x/y \n\n"', newline="")
+    write(tmp_path / "src" / "empty.py", "")
+    path, setting = str(tmp_path / "src"), "spark.sql.files.maxPartitionBytes"
+
+    def found(texts, take):
+        return sorted(map(tuple, texts.select("path", F.explode(take(F.col("text"))).alias("hit")).collect()))
+
+    whole, before = files.read_source_files(spark, path), spark.conf.get(setting)
+    want = [found(whole, quoted_locations), found(whole, urls_in_code)]
+    assert all(len(w) > 20 for w in want)
+    try:
+        for size in ("97b", "1000b", "100m"):
+            spark.conf.set(setting, size)
+            pieces = files.read_source_pieces(spark, path)
+            assert [found(pieces, quoted_locations), found(pieces, urls_in_code)] == want
+            if size == "97b":
+                assert spark.read.text(path, lineSep="\n").rdd.getNumPartitions() > 20
+                assert pieces.count() > 2 * whole.count()
+    finally:
+        spark.conf.set(setting, before)
