@@ -396,7 +396,7 @@ def test_the_tree_cuts_where_a_plain_one_does(spark):
         return (tree([p for p in held if p[3][d] < cut], shards // 2, first)
                 + tree([p for p in held if p[3][d] >= cut], shards - shards // 2, first + shards // 2))
 
-    for shards in (1, 7, 12):
+    for shards in (1, 11):
         found = kd_module._tree(points, shards, 4).collect()
         assert sorted(((r.shard, r.doc_id, r["size"], r.text_crc32, tuple(r["at"])) for r in found), key=repr) == sorted(tree(plain, shards, 0), key=repr)
 
@@ -415,9 +415,9 @@ def test_shards_do_not_depend_on_partitions(spark, docs):
 
 
 def test_many_shards(spark):
-    rows = spark.range(9_000).selectExpr("id AS doc_id", "repeat('ab ', CAST(10 + id % 40 AS INT)) AS text", "'en' AS lang", "concat('s', id % 97) AS source")
-    sizes = [r.s for r in kd_shards(rows, 1_500).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
-    assert len(sizes) == 1_500 and max(sizes) < 2.2 * sum(sizes) / 1_500
+    rows = spark.range(3_000).selectExpr("id AS doc_id", "repeat('ab ', CAST(10 + id % 40 AS INT)) AS text", "'en' AS lang", "concat('s', id % 97) AS source")
+    sizes = [r.s for r in kd_shards(rows, 500).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 500 and max(sizes) < 2.2 * sum(sizes) / 500
 
 
 CLASSES = {toxicity.INSULT: "idiot", toxicity.TAUGHT: "grobian", toxicity.THREAT: "kill", toxicity.YOU: "you", toxicity.THEM: "them", toxicity.HER: "her",
