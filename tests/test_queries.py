@@ -38,7 +38,7 @@ def test_plan_has_no_pairing_and_no_python(spark, name):
         assert node not in plan, node
 
 
-@pytest.mark.parametrize("name, folder", [("train_kmeans", SMALL), ("silhouette", FOLDER), ("ml_run_summary", SMALL), ("ml_run_summary", FOLDER)])
+@pytest.mark.parametrize("name, folder", [("train_kmeans", SMALL), ("silhouette", FOLDER), ("ml_run_summary", SMALL)])
 def test_clustering_does_not_depend_on_partitions(spark, folder, name):
     before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
