@@ -260,12 +260,14 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows that share the id of that document one stays for each shingle set, the first by its text and other columns.
     """
-    stay = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("dedup_rows"))
-    several = F.col("dedup_rows") > 1
-    row, text = F.col("dedup_row"), F.col("dedup_row.text")
-    whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("dedup_row"))
-    rows = whole.join(stay, "doc_id").select(
-        "doc_id", _set_name(SHINGLE)(F.when(several, text)).alias("dedup_set"), row,
-        F.struct(F.when(several, text).alias("text"), F.when(several, F.to_json(row)).alias("all")).alias("dedup_order"))
+    count = "dedup_rows"
+    while count in docs.columns:
+        count += "_"
+    stay = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias(count))
+    several = F.col(count) > 1
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(stay, "doc_id").select(
+        "doc_id", _set_name(SHINGLE)(F.when(several, F.col("text"))).alias("dedup_set"), row.alias("dedup_row"),
+        F.struct(F.when(several, F.col("text")).alias("text"), F.when(several, F.to_json(row)).alias("all")).alias("dedup_order"))
     first = rows.groupBy("doc_id", "dedup_set").agg(F.min_by("dedup_row", "dedup_order").alias("dedup_row")).select("dedup_row.*")
     return first.unionByName(docs.where("doc_id IS NULL"))

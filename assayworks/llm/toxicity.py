@@ -238,7 +238,7 @@ def seeded() -> Model:
 class Reader:
     """Finds the matched clauses of texts; remembers the class of words it has met, up to a bound."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 100_000
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
