@@ -10,27 +10,24 @@ from assayworks.llm.byte_bpe import encode, read_ranks
 from assayworks.llm.common import table, written
 from assayworks.llm.minhash_dedup import without_near_duplicates
 from assayworks.llm.mixing import mix_sources
-from assayworks.llm.substring_dedup import substring_dedup
+from assayworks.llm.substring_dedup import RESERVED, substring_dedup
 from assayworks.llm.toxicity import fit, toxicity
 
 
-def _packed(docs: DataFrame, *bare: str) -> DataFrame:
-    """The columns an operator reads, and all others as one, so that no name meets one of the operator's."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in bare]
-    return docs.select(*bare, F.struct(*rest).alias("row"))
-
-
-def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` again: those beside the packed ones, and the others from there."""
-    bare = set(packed.columns) - {"row"}
-    return packed.select(*[(F.col(c) if c in bare else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+def _aside(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with names that the operator makes out of its way, and what they are now called."""
+    names = {c: f"{c}_of_documents" for c in docs.columns if c in made}
+    while set(names.values()) & set(docs.columns):
+        names = {c: f"{n}_" for c, n in names.items()}
+    return docs.withColumnsRenamed(names), names
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the grammar does not predict to be toxic."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity(_packed(docs, "text"), model).where("predicted = 0")
-    return _unpacked(scored.select("text", "row"), docs)
+    renamed, names = _aside(docs, ("score", "predicted", "matched_clauses"))
+    scored = toxicity(renamed, model)
+    return scored.where("predicted = 0").select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words in windows that start earlier; untouched texts stay as they are."""
-    cut = substring_dedup(_packed(docs, "doc_id", "text"))
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
-    return _unpacked(cut.select("doc_id", text.alias("text"), n_chars.alias("n_chars"), "row"), docs)
+    renamed, names = _aside(docs, RESERVED)
+    cut = substring_dedup(renamed)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": text, "n_chars": n_chars}
+    return cut.select(*[new.get(c, F.col(f"`{names.get(c, c)}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
