@@ -100,8 +100,8 @@ def _outside(values: DataFrame, column: str, keys: Sequence[str], met: DataFrame
 def unlisted_parts(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str]) -> DataFrame:
     """Like :func:`without_any` with an allow-list per key, held in a table (keys, allowed).
 
-    Values meet the entries whose gram they hold (see :mod:`~assayworks.operators.literals`), and
-    only these are compared. An empty entry is part of every value. ``values`` are distinct.
+    Values meet the entries of a short list, and of a long one those whose gram they hold (see
+    :mod:`~assayworks.operators.literals`), and only these are compared. An empty entry is part of every value. ``values`` are distinct.
     """
     entries = listing.select(*keys, F.col(allowed).alias("_entry")).where(F.col("_entry").isNotNull()).distinct()
     met = candidates(values.select(*keys, column), entries, column, "_entry", keys).where(F.col(column).contains(F.col("_entry")))
@@ -114,8 +114,8 @@ def unlisted_parts(values: DataFrame, listing: DataFrame, column: str, allowed:
 def unlisted_patterns(values: DataFrame, listing: DataFrame, column: str, allowed: str, keys: Sequence[str]) -> DataFrame:
     """The same for patterns, searched in the values.
 
-    A pattern with a literal that all its matches need is tried on the values that hold a gram of
-    it. The others make alternations, in pieces per key; a value meets every piece of its key's
+    A pattern with a literal that all its matches need is tried on the values that hold it; in long
+    lists their grams find these values. The others make alternations, in pieces per key; a value meets every piece of its key's
     list, and rows of a key that follow each other share the compiled pattern.
     """
     entries = listing.select(*keys, F.col(allowed).alias("_entry")).where(F.col("_entry").isNotNull()).distinct()

@@ -1,8 +1,9 @@
 """Substring search as a join: a value can only match an entry whose needed literal it holds.
 
-An entry is filed under one run of characters (a gram) of its literal, 2^n long; a value is looked
-up under its own grams of those lengths. Both meet in an equi-join on key and gram, so a busy key
-spreads over its grams, and only entries whose gram a value holds are tried on it.
+An entry of a long list is filed under one run of characters (a gram) of its literal, 2^n long; a value is
+looked up under its own grams of those lengths. Both meet in an equi-join on key and gram, so a key with a
+long list spreads over its grams, and only entries whose gram a value holds are tried on it. The few entries
+of a short list are tried on every value of the key, which then moves as one row.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Lengths of grams; a literal is filed under the longest that it has room for.
 SIZES = (32, 16, 8, 4, 2, 1)
+#: Lists of up to so many entries are tried whole on each value of their key.
+SHORT_LIST = 64
 
 # A pattern's parts, left to right: escapes, classes, single characters; then how often they may occur.
 _PART = (r"(?s)((?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\N\{[^}]*\}|\\[0-9]{1,3}|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.)"
@@ -39,23 +42,28 @@ def needed_literal(pattern: Column) -> Column:
     return F.when(~pattern.rlike(r"[()|]") & (F.length(longest) > 0), longest)
 
 
-def _gram(literal: Column) -> Column:
-    """A literal's last characters: as many as its longest size. Paths and URLs differ at their ends."""
-    size = F.coalesce(*[F.when(F.length(literal) >= n, F.lit(n)) for n in SIZES])
-    return F.right(literal, size)
+def _size(literal: Column) -> Column:
+    return F.coalesce(*[F.when(F.length(literal) >= n, F.lit(n)) for n in SIZES])
 
 
 def candidates(values: DataFrame, listing: DataFrame, column: str, literal: str, keys: Sequence[str]) -> DataFrame:
     """Pairs of a distinct value and a listed entry of its key whose gram the value holds.
 
     ``listing`` (keys, ``literal``, more) keeps its other columns; empty and null literals meet nothing.
+    An entry's gram is its literal's last characters, since paths and URLs differ at their ends. A short list
+    is filed under the empty gram, which every value holds once: a value would have more grams than such a
+    list has entries. Where lists are long, a value is cut into grams of the sizes its key's entries have.
     """
-    def grams(n: int) -> Column:
+    filed = listing.where(F.length(literal) > 0).withColumn("_size", _size(F.col(literal)))
+    lists = filed.groupBy(*keys).agg((F.count(F.lit(1)) > SHORT_LIST).alias("_long"), F.collect_set("_size").alias("_sizes"))
+    filed = filed.join(lists.select(*keys, "_long"), list(keys)).withColumn(
+        "_gram", F.when(F.col("_long"), F.right(F.col(literal), F.col("_size"))).otherwise(""))
+
+    def grams(n: Column) -> Column:
         last = F.length(column) - n + 1
-        every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(n)))
+        every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(column), i, n))
         return F.when(last >= 1, every).otherwise(F.array().cast("array<string>"))
 
-    filed = listing.where(F.length(literal) > 0).withColumn("_gram", _gram(F.col(literal)))
-    held = F.array_distinct(F.flatten(F.array(*[grams(n) for n in SIZES])))
-    looked_up = values.where(F.col(column).isNotNull()).withColumn("_gram", F.explode(held))
-    return looked_up.join(filed, [*keys, "_gram"]).drop("_gram")
+    held = F.when(F.col("_long"), F.array_distinct(F.flatten(F.transform("_sizes", grams)))).otherwise(F.array(F.lit("")))
+    looked_up = values.where(F.col(column).isNotNull()).join(lists, list(keys)).select(*values.columns, F.explode(held).alias("_gram"))
+    return looked_up.join(filed.drop("_size", "_long"), [*keys, "_gram"]).drop("_gram")

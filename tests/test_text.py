@@ -215,3 +215,29 @@ def test_services_per_subject(spark):
     listing = [(rng.randrange(3), "".join(rng.choice("aé/.") for _ in range(rng.randint(0, 5)))) for _ in range(25)] + [(1, None)]
     got = differences.unlisted_parts(spark.createDataFrame(values, "k int, v string"), spark.createDataFrame(listing, "k int, s string"), "v", "s", ["k"])
     assert sorted(map(tuple, got.collect())) == sorted((k, v) for k, v in values if not any(k == j and s is not None and s in v for j, s in listing))
+
+
+def test_a_value_is_not_cut_up_for_a_short_list(spark):
+    """Rows made before the pairs: one for a value whose list is short, as many as grams where it is long."""
+    values = spark.range(200).selectExpr("'short' AS k", "concat('hdfs://name/data/set-', id, '/part.csv') AS v").unionByName(
+        spark.range(200).selectExpr("'long' AS k", "concat('hdfs://name/data/set-', id, '/part.csv') AS v"))
+    listing = spark.range(100).selectExpr("CASE WHEN id < 4 THEN 'short' ELSE 'long' END AS k", "concat('set-', id, '/') AS s")
+    tried = candidates(values, listing, "v", "s", ["k"])
+    found = tried.where("contains(v, s)").groupBy("k").count()
+    assert {r["k"]: r["count"] for r in found.collect()} == {"short": 4, "long": 96}
+    assert tried.where("k = 'short'").count() == 200 * 4
+
+    plan = tried.select("k", "v", "s").where("k = 'short'")
+    plan.collect()
+    made, nodes = [], [plan._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Generate":
+            made.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert made == [200]
