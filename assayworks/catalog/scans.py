@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -246,6 +247,17 @@ def scan_event_log(spark, folder):
         "app_id", "app_name", F.unix_millis("started_at").alias("started_ms"), "job_id", "job_name")
 
 
+#: Folders that one task writes: it opens their files one after the other.
+FOLDERS_A_TASK = 50
+
+
+def _by_folder(rows: DataFrame, column: str) -> DataFrame:
+    """The rows dealt out for ``partitionBy(column)``: those of a folder to one task, so that it gets one
+    file, and so many tasks that each writes a bounded number of folders. Counts the folders when called."""
+    folders = rows.agg(F.approx_count_distinct(column)).first()[0]
+    return rows.repartition(max(1, math.ceil(folders / FOLDERS_A_TASK)), column)
+
+
 # A supplier is a source file of two lines, in a folder of its own.
 @CATALOG.add("""
     SELECT CAST(s_suppkey AS VARCHAR) AS file, 'name = "' || s_name || '"' || chr(10) || 'key = ' || s_suppkey || chr(10) AS text FROM supplier
@@ -253,7 +265,7 @@ def scan_event_log(spark, folder):
 def scan_source_files(spark, folder):
     path = workspace(spark, "sources")
     lines = table(spark, folder, "supplier").selectExpr("s_suppkey AS file", "concat('name = \"', s_name, '\"\n', 'key = ', s_suppkey) AS value")
-    lines.write.partitionBy("file").text(path)
+    _by_folder(lines, "file").write.partitionBy("file").text(path)
     return files.read_source_files(spark, path).select(F.regexp_extract("path", r"/file=(\d+)/", 1).alias("file"), "text")
 
 

@@ -17,6 +17,7 @@ from assayworks.session import workspace
 from assayworks.functions.text import quoted_locations, urls_in_code
 from assayworks.operators import differences
 from assayworks.sources.eventlogs import load_event_logs, stored_jobs
+from assayworks.catalog import scans
 from assayworks.sources import eventlogs, files, sinks
 
 
@@ -259,3 +260,30 @@ def test_pieces_of_source_files_hold_what_the_whole_holds(spark, tmp_path):
                 assert pieces.count() > 2 * whole.count()
     finally:
         spark.conf.set(setting, before)
+
+
+def _files(folder, name):
+    return {d.name: len(list(d.glob("part-*"))) for d in folder.glob(f"{name}=*")}, {p.name[:10] for p in folder.glob(f"{name}=*/part-*")}
+
+
+def test_sources_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Files are opened one after the other in a task, so one part of a table must not write them all."""
+    monkeypatch.setattr(scans, "FOLDERS_A_TASK", 10)
+    monkeypatch.setattr(scans, "workspace", lambda spark, label: str(tmp_path / label))
+    spark.range(200).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name").coalesce(1).write.parquet(str(tmp_path / "tables" / "supplier.parquet"))
+    found = scans.scan_source_files(spark, str(tmp_path / "tables")).collect()
+    assert sorted(int(r.file) for r in found) == list(range(200))
+    files, tasks = _files(tmp_path / "sources", "file")
+    assert set(files.values()) == {1} and len(tasks) >= 10
+
+
+def test_a_log_is_one_file_whatever_parts_its_events_lie_in(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "FOLDERS_A_TASK", 4)
+    monkeypatch.setattr(scans, "workspace", lambda spark, label: str(tmp_path / label))
+    spark.range(240).selectExpr("id AS event_id", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "id % 30 AS user_id").repartition(6).write.parquet(
+        str(tmp_path / "tables" / "events.parquet"))
+    path = scans._release_logs(spark, str(tmp_path / "tables"), "true")
+    files, tasks = _files(tmp_path / "logs", "eventlog_v2_user")
+    assert len(files) == 30 and set(files.values()) == {1} and len(tasks) >= 4
+    jobs = eventlogs.read_event_log(spark, path, str(tmp_path / "store"))
+    assert jobs.where("job_id IS NOT NULL AND app_id IS NOT NULL").count() == 240
