@@ -33,14 +33,21 @@ def ranked_rules(rules: DataFrame) -> DataFrame:
 
 
 def _met(entries: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row (keys, rule, rank, warning, score, bad) per system and rule whose key it sets."""
+    """One row (keys, rule, rank, score, bad) per system and rule whose key it sets.
+
+    What is aggregated has a fixed size, so Spark hashes it; texts of the rules are left to who needs them.
+    """
     ordered = "position" in entries.columns
     place = F.col("position").cast("long") if ordered else F.lit(None).cast("long")
-    given = entries.select(*keys, "key", "value", place.alias("position")).groupBy(*keys, "key", "value").agg(F.max("position").alias("position"))
+    given = entries.select(*keys, "key", "value", place.alias("position"))
     bad = F.coalesce(F.col("value") == F.col("bad_value"), F.lit(False))
-    last = F.max_by(bad, F.struct("position", bad)) if ordered else F.max(bad)
-    return given.join(rules, "key").groupBy(*keys, "rule").agg(
-        last.alias("bad"), *[F.first(c).alias(c) for c in ("rank", "key", "warning", "score")])
+    judged = given.join(rules, "key").select(*keys, "rule", "rank", "score", "position", bad.alias("bad"))
+    sides = judged.groupBy(*keys, "rule").agg(
+        F.first("rank").alias("rank"), F.first("score").alias("score"), F.max("bad").alias("any_bad"), F.min("bad").alias("all_bad"),
+        F.max(F.when(F.col("bad"), F.col("position"))).alias("bad_at"), F.max(F.when(~F.col("bad"), F.col("position"))).alias("good_at"))
+    # Of equal positions, or without any, the bad value counts.
+    last = F.col("any_bad") & (F.col("all_bad") | F.coalesce(F.col("bad_at") >= F.col("good_at"), F.col("good_at").isNull()))
+    return sides.select(*keys, "rule", "rank", "score", last.alias("bad"))
 
 
 def _gaps(met: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,7 +97,8 @@ def table_violations(systems: DataFrame, entries: DataFrame, rules: DataFrame, k
     between = edges.withColumn("before", before).where(F.col("rank") > F.col("before") + 1)
     absent = between.select(*keys, F.explode(F.sequence(F.col("before") + 1, F.col("rank") - 1)).alias("rank"))
     by_default = absent.join(usual.select("rank", "key", "warning", "score"), "rank").select(*keys, "key", "warning", "score")
-    return met.where("bad").select(*keys, "key", "warning", "score").unionByName(by_default)
+    broken = met.where("bad").select(*keys, "rule").join(rules.select("rule", "key", "warning", "score"), "rule")
+    return broken.select(*keys, "key", "warning", "score").unionByName(by_default)
 
 
 def table_rows(systems: DataFrame, entries: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:

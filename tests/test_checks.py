@@ -258,3 +258,19 @@ def test_report_of_no_tasks(spark):
     nothing = spark.createDataFrame([], "pipeline string, task_id string")
     for found in (report(results(spark), []), fleet_report(results(spark), nothing)):
         assert {(r.score, r.prod_score, r.n_incomplete) for r in found.collect()} == {(1.0, 1.0, 0)}
+
+
+def test_entries_of_a_rule_table_are_hashed_not_sorted(spark, rows):
+    """What a system and rule hold has a fixed size; equal and missing positions give the bad value its way."""
+    rules = spark.createDataFrame([("k", "on", "off", "k is off", 0.5), ("j", "off", "off", "j is off", 0.25)],
+                                  "key string, default_value string, bad_value string, warning string, score double")
+    entries = spark.createDataFrame(
+        [("late", "k", "off", 1), ("late", "k", "on", 2), ("back", "k", "on", 1), ("back", "k", "off", 2), ("tie", "k", "on", 3), ("tie", "k", "off", 3),
+         ("blank", "k", "off", None), ("blank", "k", "on", 1), ("bare", "k", "off", None), ("bare", "k", None, None), ("null", "j", None, 1),
+         ("twice", "j", "off", 5), ("twice", "j", "off", 5)], "system string, key string, value string, position long")
+    outcome = config_check(entries.select("system"), entries, rules)
+    assert rows(outcome.warnings, "system", "key") == [
+        ("back", "j"), ("back", "k"), ("bare", "j"), ("bare", "k"), ("blank", "j"), ("late", "j"), ("tie", "j"), ("tie", "k"), ("twice", "j")]
+    assert rows(outcome.results) == [("back", 2, 0.25), ("bare", 2, 0.25), ("blank", 1, 0.25), ("late", 1, 0.25), ("null", 0, 1.0), ("tie", 2, 0.25), ("twice", 1, 0.25)]
+    for found in (outcome.results, outcome.warnings):
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
