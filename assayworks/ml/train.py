@@ -8,7 +8,7 @@ from statistics import mean, pstdev
 from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import Evaluator
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from assayworks.ml.evaluate import roc_evaluator, silhouette_evaluator
 from assayworks.ml.indexer import TableIndexer, TableIndexerModel
-from assayworks.ml.prep import assembler, fold_of, laid_out, string_indexer
+from assayworks.ml.prep import assembler, fold_of, laid_out, packed, string_indexer
 from assayworks.operators.frames import drop_incomplete, null_to_text
 from assayworks.schemas import RUN_SUMMARY
 from assayworks.session import discard, settle
@@ -48,7 +48,8 @@ def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]
                    parallelism: int = PARALLEL_FITS, drawn: bool = False) -> CrossValidatorModel:
     """Fit every parameter set on every fold and refit the best on all rows.
 
-    With ``drawn`` the estimator draws its start from a seed and gets its rows laid out by key.
+    With ``drawn`` the estimator draws its start from a seed and gets its rows laid out by key;
+    others get theirs packed into few parts.
 
     The fold of a row comes from its key, so a re-read or re-partitioned table gives the same
     folds and metrics. The feature stages do not depend on the parameter set: they are fitted once
@@ -59,6 +60,7 @@ def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]
     pipeline = Pipeline(stages=stages)
     rows = train.withColumn(FOLD, fold_of(F.col(key), folds, seed))
     arranged = (lambda df: laid_out(df, key)) if drawn else (lambda df: df)
+    gathered = (lambda df: df) if drawn else (lambda df: packed(df, estimator.getOrDefault("featuresCol")))
     needed = [FOLD, *([key] if drawn else []), *dict.fromkeys(
         estimator.getOrDefault(p) for p in estimator.params if p.name in ("featuresCol", "labelCol") and estimator.hasParam(p.name))]
 
@@ -67,7 +69,8 @@ def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]
         features = Pipeline(stages=feature_stages).fit(rows.where(F.col(FOLD) != fold))
         ready = settle(features.transform(rows).select(*needed), "fold")
         try:
-            kept, held = ready.where(F.col(FOLD) != fold), ready.where(F.col(FOLD) == fold)
+            few = gathered(ready)
+            kept, held = few.where(F.col(FOLD) != fold), few.where(F.col(FOLD) == fold)
             return [evaluator.evaluate(estimator.fit(arranged(kept), values).transform(held, values)) for values in grid]
         finally:
             discard(ready)
@@ -81,8 +84,10 @@ def cross_validate(train: DataFrame, stages: list, grid: list[dict[Param, float]
     averages = [mean(values) for values in per_set]
     choose = max if evaluator.isLargerBetter() else min
     best = averages.index(choose(averages))
+    features = Pipeline(stages=feature_stages).fit(rows)
+    fitted = estimator.fit(gathered(features.transform(arranged(rows))), grid[best])
     model = CrossValidatorModel(
-        pipeline.fit(arranged(rows), grid[best]), averages, stdMetrics=[pstdev(values) for values in per_set])
+        PipelineModel([*features.stages, fitted]), averages, stdMetrics=[pstdev(values) for values in per_set])
     for param, value in ((model.estimator, pipeline), (model.estimatorParamMaps, grid),
                          (model.evaluator, evaluator), (model.numFolds, folds), (model.seed, seed)):
         model.set(param, value)

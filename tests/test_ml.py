@@ -7,9 +7,11 @@ import random
 import pytest
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
+from assayworks.catalog import learning
 from assayworks.ml import evaluate, prep, train
 from assayworks.ml.indexer import TableIndexer
 from assayworks.plans import training
@@ -51,6 +53,55 @@ def test_same_metrics_as_sparks_validator_and_for_any_partitioning(spark):
         assert ours.stdMetrics == pytest.approx(theirs.stdMetrics, abs=1e-6)
 
 
+class RecordingSVC(LinearSVC):
+    parts: list[int] = []
+
+    def _fit(self, dataset):
+        RecordingSVC.parts.append(dataset.rdd.getNumPartitions())
+        return super()._fit(dataset)
+
+
+def test_fits_run_on_few_parts(spark, monkeypatch):
+    svc = RecordingSVC(labelCol="label", featuresCol="features", maxIter=3)
+    stages = [prep.string_indexer(["sex"]), prep.assembler(["age", "sexId"]), svc]
+    fit = lambda: train.cross_validate(people(spark).repartition(6), stages, [{svc.regParam: 0.1}],
+                                       evaluate.roc_evaluator("label"), "id", 2)
+    monkeypatch.setattr(RecordingSVC, "parts", [])
+    model = fit()
+    assert RecordingSVC.parts == [1, 1, 1]
+    monkeypatch.setattr(prep, "PACKED_VALUES", 80)
+    again = fit()
+    assert RecordingSVC.parts[-1] == 4  # 160 rows of 2 values; the fit on all rows comes last
+    assert again.avgMetrics == pytest.approx(model.avgMetrics, abs=1e-6)
+    assert list(again.bestModel.stages[-1].coefficients) == pytest.approx(list(model.bestModel.stages[-1].coefficients), abs=1e-9)
+
+
+def test_packed_keeps_all_rows_and_adds_no_parts(spark, monkeypatch):
+    df = spark.range(0, 90, 1, 3).selectExpr("id", "CASE WHEN id > 0 THEN array(1D, 2D) END AS a")
+    df = df.select("id", F.when(F.col("a").isNotNull(), array_to_vector("a")).alias("features"))
+    assert prep.packed(df, "features").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(prep, "PACKED_VALUES", 1)
+    assert prep.packed(df, "features").rdd.getNumPartitions() == 3
+    monkeypatch.setattr(prep, "PACKED_VALUES", 100)
+    few = prep.packed(df, "features")
+    assert few.rdd.getNumPartitions() == 2 and sorted(r.id for r in few.collect()) == list(range(90))
+    assert prep.packed(df.where("id < 0"), "features").count() == 0
+
+
+def test_measures_of_documents(spark, tmp_path):
+    texts = ["a1\n22 b.", "7", "--", "no mark", "\n\n", "\U0001f600 9\U0001f600!? \u0663", "x" * 500 + "1" * 500 + ";" * 3, None]
+    spark.createDataFrame([(i, t, "en", "src1", len(t or "x")) for i, t in enumerate(texts)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.doc_id: r for r in learning._documents(spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        counts = [None] * 3 if text is None else [
+            text.count("\n") + 1, sum(c in "0123456789" for c in text), sum("!" <= c <= "/" or ":" <= c <= "@" for c in text)]
+        assert [found[i].line_share, found[i].digit_share, found[i].mark_share] == [
+            None if n is None else n / len(text) for n in counts]
+
+
 def test_classifier_saves_and_loads(spark, tmp_path):
     fit, held = prep.holdout_split(people(spark), "id")
     trained = train.train_classifier(fit, "label", "id", ["age"], ["sex", "cabin"], ["cabin"], test=held, folds=2, maxIter=5)
