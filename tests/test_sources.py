@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import random
 
@@ -287,3 +288,70 @@ def test_a_log_is_one_file_whatever_parts_its_events_lie_in(spark, tmp_path, mon
     assert len(files) == 30 and set(files.values()) == {1} and len(tasks) >= 4
     jobs = eventlogs.read_event_log(spark, path, str(tmp_path / "store"))
     assert jobs.where("job_id IS NOT NULL AND app_id IS NOT NULL").count() == 240
+
+
+def test_many_small_logs_are_parsed_in_few_tasks(spark, tmp_path):
+    """Spark's own packing gives a task 32 files; the store then has a file for each of these tasks and kinds."""
+    for i in range(600):
+        write(tmp_path / "logs" / f"eventlog_v2_app-{i}" / f"events_1_app-{i}", "\n".join(event_lines(f"a{i}", [["a at B"]])))
+    store, settings = str(tmp_path / "store"), ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    before = [spark.conf.get(s) for s in settings]
+    assert load_event_logs(spark, str(tmp_path / "logs"), store) == 600
+    assert [spark.conf.get(s) for s in settings] == before
+    assert 0 < len(list((tmp_path / "store" / "events" / "kind=job").glob("part-*"))) <= spark.sparkContext.defaultParallelism
+    assert stored_jobs(spark, store).where("job_name = 'a at B'").select("app_id").distinct().count() == 600
+
+
+def test_small_logs_read_whole_give_what_the_line_reader_gives(spark, tmp_path, monkeypatch):
+    """Odd lines, names and line ends; only files that are new are opened, and none that is large."""
+    lines = event_lines("one", [["a at B"], ["b at \u00e4\u20ac\ufffd"]], {"k": "v", "": "e"})
+    job = {"Event": "SparkListenerJobStart", "Job ID": 7, "Stage Infos": [{"Stage ID": 1, "Stage Name": "x at Y"}]}
+    odd = [*lines, "", "  ", "{", lines[-1][:20], "null", "7", "[]", json.dumps([job, job]), "  " + json.dumps([job]), json.dumps(job) + " tail",
+           json.dumps(job | {"Job ID": "seven"}), json.dumps(job | {"Stage Infos": None}), json.dumps(job | {"Stage Infos": [None]}),
+           json.dumps([job | {"Job ID": "seven"}, job]), json.dumps(job | {"Event": None}), json.dumps(job | {"Job ID": 8}).replace("x at Y", "\\u0041 at Y"), "\ufeff" + json.dumps(job)]
+    logs = tmp_path / "logs"
+    for name, end in (("app-1", "\n"), ("app-2.inprogress", "\r\n"), ("eventlog_v2_app 3/events_1_app 3", "\r")):
+        write(logs / name, end.join(odd) + end, newline="")
+    write(logs / "app-4.dat", lines[0])
+    write(logs / "app-5", "\ufeff" + "\n".join(lines))
+    (logs / "app-6.gz").write_bytes(gzip.compress("\n".join(lines).encode()))
+    (logs / "app-7").write_bytes("\n".join(odd).encode().replace(b"x at", b"x \xff\xc3 at"))
+    write(logs / "app-8", "")
+
+    def found(whole, path, store):
+        monkeypatch.setattr(eventlogs, "WHOLE", whole)
+        n = load_event_logs(spark, path, str(tmp_path / store))
+        events = spark.read.parquet(str(tmp_path / store / "events"))
+        return n, sorted(map(repr, events.drop("load").collect()))
+
+    want = found(-1, str(logs), "lines")
+    assert want[0] == 7 and "seven" not in str(want) and len(want[1]) > 60
+    assert found(1 << 20, str(logs), "whole") == want
+    setting = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(setting)
+    size = (logs / "app-1").stat().st_size
+    try:
+        spark.conf.set(setting, str(size))
+        assert size < (logs / "app-2.inprogress").stat().st_size and found(size, str(logs), "both") == want
+    finally:
+        spark.conf.set(setting, before)
+    # A store that has some of the logs takes the others by name.
+    found(1 << 20, str(logs / "app-1"), "some")
+    assert found(1 << 20, str(logs), "some") == (6, want[1])
+
+
+def test_rows_of_the_store_move_once_to_meet_their_log(spark, tmp_path):
+    """Jobs are shuffled to choose the current loads, and stay there to meet their application."""
+    write(tmp_path / "logs" / "app-1", "\n".join(event_lines("one", [["a at B"]])))
+    load_event_logs(spark, str(tmp_path / "logs"), str(tmp_path / "store"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = stored_jobs(spark, str(tmp_path / "store"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Two tables of events, and the loads: once grouped for each of them.
+    assert plan.count("Exchange hashpartitioning(log") <= 6
