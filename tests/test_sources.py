@@ -355,3 +355,11 @@ def test_rows_of_the_store_move_once_to_meet_their_log(spark, tmp_path):
             spark.conf.set(k, v)
     # Two tables of events, and the loads: once grouped for each of them.
     assert plan.count("Exchange hashpartitioning(log") <= 6
+
+
+def test_logs_are_written_without_files_of_checksums(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "workspace", lambda spark, label: str(tmp_path / label))
+    spark.range(90).selectExpr("id AS event_id", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "nullif(id % 30, 0) AS user_id").write.parquet(str(tmp_path / "tables" / "events.parquet"))
+    path = scans._release_logs(spark, str(tmp_path / "tables"), "true")
+    assert len(list((tmp_path / "logs").rglob("part-*"))) == 30 and not list((tmp_path / "logs").rglob("*.crc"))
+    assert spark.read.text(path).count() == 90 + 30 * 3
